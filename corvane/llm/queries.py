@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_store
+from . import packing, quality, token_store, toxicity
 from .common import table
 
 
@@ -12,9 +12,17 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(spark, table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_token_orc, op5_toxicity, op6_quality_outliers, op9_best_fit_packing)}
 ORACLES: dict[str, str] = {}
