@@ -1,7 +1,7 @@
 """Toxicity by a linear classifier on character n-grams scaled by log-count ratios.
 
 A text's features are the character n-grams (of lower-cased UTF-8, white space
-as blanks) that occur in it at all, hashed into ``2**BITS`` bins. Naive Bayes
+as blanks, one more before and after) that occur in it at all, hashed into ``2**BITS`` bins. Naive Bayes
 gives each bin the log ratio of its smoothed shares in toxic and other texts;
 a logistic regression on the features scaled by these ratios gives the weights.
 
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import U64, Prefix, slices, utf8
 
-ORDERS = (3, 4, 5)
+ORDERS = (4, 5, 6)
 BITS = 18
 #: Labelled texts of each class that a model is fitted on at most.
 SAMPLE_PER_CLASS = 2500
@@ -46,7 +46,8 @@ class Model:
 
 def _hits(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, bin) for each bin that occurs in a text, once; only bins marked in ``wanted``."""
-    data, offsets = utf8(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")))
+    text = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+    data, offsets = utf8(pc.binary_join_element_wise(" ", text, " ", ""))
     data = np.where((data >= 9) & (data <= 13), np.uint8(32), data)
     prefix, keys = Prefix(data), []
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
