@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality, token_store, toxicity
+from . import neardup, packing, pii, quality, token_store, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(spark, table(spark, sf_dir, "documents")).drop("lang", "source")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op5_toxicity, op6_quality_outliers, op9_best_fit_packing, op10_pii_spans)}
+QUERIES = {f.__name__: f for f in (op2_token_orc, op5_toxicity, op6_quality_outliers, op7_minhash_near_dedup, op9_best_fit_packing, op10_pii_spans)}
 ORACLES: dict[str, str] = {}
