@@ -5,9 +5,10 @@ class, and its least document stands for it; classes meet in bands of minima.
 In each bucket the member that shares most with others leads, and all members
 are held against it: first sizes and signatures, with a margin that a true
 link passes, then the full sets of the whole texts. Components of the
-confirmed links follow; buckets whose members are not yet all in one component
-are searched again, each member against those of other components, so that no
-candidate pair goes untested unless its ends are joined anyway.
+confirmed links follow. A leader's family that is not yet in one component is
+searched again in blocks, every member against those of other components, so
+no candidate pair goes untested unless its ends are joined anyway; the blocks
+return pairs of components that meet, never pairs of documents.
 
 With ``BANDS`` of ``ROWS`` minima a pair at the threshold shares no band with
 probability (1 - 0.85**5)**26, about 2 in 10**7.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Prefix, Scratch, fold_ascii, mix64, slices, utf8, windows, word_spans
+from .common import U64, Prefix, Scratch, fold_ascii, groups, mix64, slices, utf8, windows, word_spans
 from .components import components
 
 WORDS, BANDS, ROWS = 5, 26, 5
@@ -33,6 +34,8 @@ WORDS, BANDS, ROWS = 5, 26, 5
 PERCENT = 85
 #: Equal minima out of BANDS * ROWS that a candidate needs; a pair at the threshold misses it once in 10**9.
 LEAST_EQUAL = 85
+#: Members of a block of a family, and shingles that are multiplied at once.
+BLOCK, WIDE = 256, 4096
 _A = mix64(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
 _B = mix64(np.arange(1001, 1001 + BANDS * ROWS, dtype=U64))
 SIGNATURES = "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, minima binary"
@@ -127,6 +130,62 @@ def _confirm(batches):
             yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["u", "v"])
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of each family in blocks of about BLOCK, once for each pair of blocks they are part of."""
+    sizes = members.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(sizes, "lead").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}).drop("own", "other", "blocks")
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition("lead", "bi", "bj").sortWithinPartitions("lead", "bi", "bj")
+
+
+def _partnered(batches):
+    """Members whose signature comes near one of another component."""
+    for group in groups(batches, ["lead", "bi", "bj"]):
+        comp, n = (np.asarray(group.column(c)) for c in ("comp", "n_shingles"))
+        minima = np.frombuffer(b"".join(group.column("minima").to_pylist()), "<u2").reshape(len(comp), -1)
+        equal = np.zeros((len(comp), len(comp)), np.uint8)
+        for k in range(minima.shape[1]):
+            equal += minima[:, k, None] == minima[None, :, k]
+        near = (equal >= LEAST_EQUAL) & (comp[:, None] != comp[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= PERCENT * np.maximum(n[:, None], n[None, :]))
+        rows = group.filter(pa.array(near.any(axis=1))).select(["lead", "rep", "comp"])
+        yield from rows.to_batches()
+
+
+def _merging(batches):
+    """Pairs of components with a confirmed link between members of a block."""
+    for group in groups(batches, ["lead", "bi", "bj"]):
+        comp = np.asarray(group.column("comp"))
+        rows, values, at = [], [], 0
+        for batch in group.select(["text"]).to_batches():
+            for part in slices(batch):
+                row, value = shingles(part.column("text"))
+                rows.append(row + at)
+                values.append(value)
+                at += part.num_rows
+        row = np.concatenate(rows)
+        size = np.bincount(row, minlength=at)
+        _, code, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        shared = count > 1
+        place = np.cumsum(shared) - 1
+        row, code = row[shared[code]], place[code[shared[code]]]
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        both = np.zeros((at, at), np.float32)
+        for a in range(0, int(shared.sum()), WIDE):
+            i, j = np.searchsorted(code, (a, a + WIDE))
+            has = np.zeros((at, min(WIDE, int(shared.sum()) - a)), np.float32)
+            has[row[i:j], code[i:j] - a] = 1
+            both += has @ has.T
+        union = size[:, None] + size[None, :] - both
+        x, y = np.nonzero((100 * both >= PERCENT * union) & (comp[:, None] < comp[None, :]))
+        pairs = np.unique(np.stack([comp[x], comp[y]]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+
+
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The confirmed ones of candidate pairs (a, b)."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("minima").alias(f"s{x}"))
@@ -154,23 +213,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     tested = scratch.cut(stars, "stars")
     links = scratch.cut(_links(tested, reps, source), "links")
     joined = components(links, scratch, "first")
-    # Buckets that are not yet in one component: every pair across components that is not yet tested.
-    placed = buckets.select("key", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = scratch.cut(placed.join(mixed, "key", "left_semi"), "open")
-    x, y = open_.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), open_.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    across = x.join(y, "key").where("ca < cb").select("a", "b").distinct()
-    done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = scratch.cut(across.join(done, ["a", "b"], "left_anti"), "rest")
-    more = scratch.cut(_links(rest, reps, source), "more")
+    # Families (a leader and all it was held against) that are not yet in one component: in blocks,
+    # first by signatures, then the full sets of those that may have a partner elsewhere.
+    family = tested.select(F.col("a").alias("lead"), F.col("b").alias("rep")).unionByName(tested.select(F.col("a").alias("lead"), F.col("a").alias("rep")).distinct())
+    placed = family.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("lead", "rep", F.coalesce("root", "rep").alias("comp"))
+    mixed = placed.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("lead")
+    open_ = scratch.cut(placed.join(mixed, "lead", "left_semi"), "open")
+    signed_open = _blocks(open_).join(reps.select("rep", "n_shingles", "minima"), "rep")
+    maybe = scratch.cut(_by_block(signed_open).mapInArrow(_partnered, "lead long, rep long, comp long").distinct(), "maybe")
+    texts = source.select(F.col("doc_id").alias("rep"), "text")
+    more = scratch.cut(_by_block(_blocks(maybe.join(texts, "rep"))).mapInArrow(_merging, "u long, v long").distinct(), "more")
     if more.isEmpty():
         final = joined
     else:
         roots = joined.select(F.col("node").alias("u"), F.col("root").alias("v"))
         final = components(roots.unionByName(more), scratch, "second")
-    groups = scratch.cut(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("group")), "groups")
+    placed = scratch.cut(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("group")), "groups")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))
-    out = signed.select("doc_id", *key).join(groups, key, "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    out = signed.select("doc_id", *key).join(placed, key, "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
