@@ -13,9 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Stretches that a worker remembers at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Bytes of text in the slices that are encoded at once.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 _state: dict = {}
 _CUT = r"(\p{L})([!-&(-/:-@\[-`{-~]+) "
 
@@ -60,9 +60,11 @@ def _learn(words: list[str], tokenizer, known: dict[str, bytes]) -> None:
 def _encode_distinct(words: list[str], path: str) -> list[bytes]:
     tokenizer, known = _tokenizer(path)
     fresh = [w for w in words if w not in known]
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = words
+    if fresh and len(known) + len(fresh) > REMEMBERED:
+        # Frequent stretches came early and stay; these are forgotten again.
+        more: dict[str, bytes] = {}
+        _learn(fresh, tokenizer, more)
+        return [known.get(w) if w in known else more[w] for w in words]
     if fresh:
         _learn(fresh, tokenizer, known)
     return [known[w] for w in words]
