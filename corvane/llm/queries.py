@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup, packing, pii, quality, token_store, toxicity
+from . import licences, maxscore, mixing, neardup, packing, pii, quality, token_store, toxicity
 from .common import table
 
 
@@ -12,6 +13,15 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.replicate(spark, docs).select("doc_id", "source", "copies", "copy", "shuffle_key")
+
+
+def op4_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,6 +34,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -32,5 +46,23 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op5_toxicity, op6_quality_outliers, op7_minhash_near_dedup, op9_best_fit_packing, op10_pii_spans)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_token_orc,
+        op3_poisson_mixing,
+        op4_licence_sentences,
+        op5_toxicity,
+        op6_quality_outliers,
+        op7_minhash_near_dedup,
+        op8_maxscore_search,
+        op9_best_fit_packing,
+        op10_pii_spans,
+    )
+}
+#: The same rows in SQL, where it can say them.
+ORACLES = {
+    "op3_poisson_mixing": mixing.oracle(),
+    "op4_licence_sentences": licences.oracle(),
+    "op8_maxscore_search": maxscore.oracle(),
+}
