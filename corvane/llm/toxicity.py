@@ -47,7 +47,8 @@ class Model:
 def _hits(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, bin) for each bin that occurs in a text, once; only bins marked in ``wanted``."""
     text = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
-    data, offsets = utf8(pc.binary_join_element_wise(" ", text, " ", ""))
+    blank, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+    data, offsets = utf8(pc.binary_join_element_wise(blank, text, blank, none))
     data = np.where((data >= 9) & (data <= 13), np.uint8(32), data)
     prefix, keys = Prefix(data), []
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
