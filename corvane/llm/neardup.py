@@ -236,6 +236,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component."""
-    judged = near_duplicates(spark, docs)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    judged = Scratch(spark, "neardup-kept").cut(near_duplicates(spark, docs).where("not kept").select("doc_id"), "gone")
+    gone = judged.select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
