@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, maxscore, mixing, neardup, packing, pii, quality, token_store, toxicity
+from . import licences, maxscore, mixing, neardup, packing, pii, quality, repeats, token_store, toxicity
 from .common import table
 
 
+def op1_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(spark, table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(spark, table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_run_index_dedup,
         op2_token_orc,
         op3_poisson_mixing,
         op4_licence_sentences,
