@@ -24,9 +24,20 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    from .queries import evaluation, graphs, ingest, ranking, texts  # noqa: F401
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine top-k of each hundredth vector."""
+    return queries()["cosine_topk"](spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
