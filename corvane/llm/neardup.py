@@ -36,6 +36,8 @@ PERCENT = 85
 LEAST_EQUAL = 85
 #: Members of a block of a family, and shingles that are multiplied at once.
 BLOCK, WIDE = 256, 4096
+#: Bits of the map that keeps texts nobody asks for out of a shuffle.
+SLOTS = 1 << 24
 _A = mix64(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
 _B = mix64(np.arange(1001, 1001 + BANDS * ROWS, dtype=U64))
 SIGNATURES = "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, minima binary"
@@ -186,12 +188,33 @@ def _merging(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that may have one of the ids, by a bitmap of SLOTS hashes; the join that follows is exact.
+
+    The bitmap's size is fixed; over very many ids it only lets more rows pass.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+    marks = ids.toDF("id").select(slot.alias("s")).groupBy((F.col("s") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(s % 64 AS INT))")).alias("m")).toArrow()
+    bitmap = np.zeros(SLOTS // 64, np.int64)
+    bitmap[np.asarray(marks.column("w"))] = np.asarray(marks.column("m"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(U64))
+
+    def passing(batches):
+        for batch in batches:
+            s = np.asarray(batch.column("slot"))
+            keep = (shared.value[s >> 6] >> (s & 63).astype(U64)) & U64(1) == 1
+            yield batch.filter(pa.array(keep)).select(["doc_id", "text"])
+
+    return docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")).mapInArrow(passing, "doc_id long, text string")
+
+
+def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The confirmed ones of candidate pairs (a, b)."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("minima").alias(f"s{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    likely = sized.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long")
-    text = lambda x: docs.select(F.col("doc_id").cast("long").alias(x), F.col("text").cast("string").alias(f"t{x}"))
+    likely = scratch.cut(sized.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long"), "likely")
+    few = _of(docs, likely.select("a").unionByName(likely.select(F.col("b").alias("a"))))
+    text = lambda x: few.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     return likely.join(text("b"), "b").join(text("a"), "a").mapInArrow(_confirm, "u long, v long")
 
 
@@ -211,7 +234,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     leads = ranked.groupBy("key").agg(F.max(F.struct("degree", -F.col("rep"))).alias("top")).select("key", (-F.col("top.col2")).alias("lead"))
     stars = buckets.select("key", "rep").join(leads, "key").where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     tested = scratch.cut(stars, "stars")
-    links = scratch.cut(_links(tested, reps, source), "links")
+    links = scratch.cut(_links(tested, reps, source, scratch), "links")
     joined = components(links, scratch, "first")
     # Families (a leader and all it was held against) that are not yet in one component: in blocks,
     # first by signatures, then the full sets of those that may have a partner elsewhere.
@@ -221,7 +244,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     open_ = scratch.cut(placed.join(mixed, "lead", "left_semi"), "open")
     signed_open = _blocks(open_).join(reps.select("rep", "n_shingles", "minima"), "rep")
     maybe = scratch.cut(_by_block(signed_open).mapInArrow(_partnered, "lead long, rep long, comp long").distinct(), "maybe")
-    texts = source.select(F.col("doc_id").alias("rep"), "text")
+    texts = _of(source, maybe.select("rep")).withColumnRenamed("doc_id", "rep")
     more = scratch.cut(_by_block(_blocks(maybe.join(texts, "rep"))).mapInArrow(_merging, "u long, v long").distinct(), "more")
     if more.isEmpty():
         final = joined
