@@ -19,7 +19,7 @@ THRESHOLDS = (
 def thresholds(text: Column) -> Column:
     """All thresholds of a text: distinct, trimmed, in order."""
     found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in THRESHOLDS)))
-    return F.array_sort(F.array_distinct(F.transform(found, F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.trim(x))))
 
 
 def _header(section: Column) -> Column:
@@ -52,7 +52,7 @@ def build_context(hits: DataFrame, parents: DataFrame | None = None) -> DataFram
     where it first appears, with the parent's whole text where it has one.
     """
     if parents is not None:
-        w = Window.partitionBy("query_id", F.coalesce(F.nullif("article", F.lit("")), F.col("node_id").cast("string"))).orderBy("rank")
+        w = Window.partitionBy("query_id", F.coalesce(F.nullif("article", F.lit("")), F.col("node_id").cast("string"))).orderBy("rank", "node_id")
         first = hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
         whole = parents.select("article", "language", F.col("text").alias("_whole"))
         hits = first.join(whole, ["article", "language"], "left").withColumn("text", F.coalesce("_whole", "text")).drop("_whole")

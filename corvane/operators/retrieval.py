@@ -111,7 +111,7 @@ def blended_rerank(hits: DataFrame, model_score: str, weight: float, top_n: int)
 
 def paragraph_windows(nodes: DataFrame, most: int = 4, least_chars: int = 30) -> DataFrame:
     """(node_id, window, text): paragraphs of enough characters, evenly chosen; the whole text if there are none."""
-    parts = F.filter(F.transform(F.split("text", r"\n\n+"), F.trim), lambda p: F.length(p) >= least_chars)
+    parts = F.filter(F.transform(F.split("text", r"\n\n+"), lambda p: F.trim(p)), lambda p: F.length(p) >= least_chars)
     n = F.size("_p")
     chosen = F.when(n == 0, F.array("text")).when(n <= most, F.col("_p")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get("_p", F.floor(i * n / most).cast("int"))))
     return nodes.withColumn("_p", parts).select("node_id", F.posexplode(chosen).alias("window", "text"))
