@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -41,6 +43,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of plans that were dropped; they go when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -39,7 +39,8 @@ from .run_index import RunIndex
 LENGTH, GRAM = 50, 20
 #: Distinct stretches of one anchor that are indexed together at most, and bytes of a block.
 MOST_STRETCHES, BLOCK_BYTES = 4000, 1 << 20
-_PLACE = 28
+#: Anchors are counted by 48 bits of their hash: two that share these only pass the count for nothing.
+_PLACE, SHORT = 28, 16
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +74,7 @@ def _anchor_rows(batches):
         for part in slices(batch):
             data, offsets = utf8(part.column("text"))
             text, start, _, h = anchors(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("doc_id").take(pa.array(text)), pa.array(start, pa.int32())], names=["h", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array((h >> U64(SHORT)).view(np.int64)), part.column("doc_id").take(pa.array(text)), pa.array(start, pa.int32())], names=["h", "doc_id", "start"])
 
 
 def _cut_rows(batches):
@@ -196,9 +197,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = known.mapInArrow(_anchor_rows, "h long, doc_id long, start int")
     shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
     starts = scratch.cut(found.join(shared, "h").groupBy("doc_id").agg(F.collect_list("start").alias("starts")), "starts")
+    del found, shared
+    scratch.free()
     texts = known.select("doc_id", "text", F.xxhash64("text").alias("t"))
     stretches = scratch.cut(texts.join(starts, "doc_id").mapInArrow(_cut_rows, "h long, doc_id long, t long, start int, content binary"), "stretches")
     distinct = scratch.cut(stretches.groupBy("h", "content").agg(F.min("doc_id").alias("first")), "distinct")
+    scratch.drop("starts")
+    scratch.free()
     crowded = scratch.cut(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MOST_STRETCHES).select("h"), "crowded")
     few = distinct.join(crowded, "h", "left_anti")
     least = few.repartition("h").sortWithinPartitions("h", "first", "content").mapInArrow(_least_rows, "content binary, least binary")
@@ -210,6 +215,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
         least = least.unionByName(packed)
     marks = stretches.join(least, "content").mapInArrow(_marks, "doc_id long, t long, mark binary")
     marked = scratch.cut(marks.groupBy("doc_id", "t").agg(F.collect_list("mark").alias("marks")), "marks")
+    del marks, least, few
+    scratch.free()
+    for done in ("stretches", "distinct", "crowded"):
+        scratch.drop(done)
     return source.withColumn("t", F.xxhash64("text")).join(marked, ["doc_id", "t"], "left").select("doc_id", "text", "marks").mapInArrow(_remaining, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -16,24 +16,28 @@ from .common import Prefix
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Of symbols 0..256, by prefix doubling from seven symbols on."""
+    """Of symbols 0..256, by ranks of seven symbols, then of three times as many in each round."""
     n, k = len(text), 7
     key = np.zeros(n, np.int64)
     padded = np.concatenate([text.astype(np.int64), np.zeros(k, np.int64)])
     for j in range(k):
         key = (key << 9) | (padded[j : j + n] + 1) * (np.arange(n) + j < n)
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         by = key[order]
         step = np.concatenate([[0], np.cumsum(by[1:] != by[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        if step[-1] == n - 1 or k >= n:
+        if step[-1] == n - 1:
             return order
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + after
-        k *= 2
+        # Ranks after k and 2k symbols are joined on: each round sorts by three times as many.
+        rank = np.zeros(n + 2 * k, np.int64)
+        rank[order] = step + 1
+        wide = int(n + 2).bit_length()
+        if 3 * wide > 63:
+            key = rank[:n] * (n + 2) + rank[k : n + k]
+            k *= 2
+        else:
+            key = (((rank[:n] << wide) | rank[k : n + k]) << wide) | rank[2 * k : n + 2 * k]
+            k *= 3
 
 
 class RunIndex:
@@ -75,6 +79,9 @@ class RunIndex:
         owner = np.repeat(owners, sizes + 1)
         self.least = np.minimum.reduceat(owner[order], self.classes)
         self.first_row = int(np.flatnonzero(order == n - 1)[0])
+        # A block is small: rows look up their run and class in tables instead of searching.
+        self.run_of = (np.cumsum(head) - 1).astype(np.int32)
+        self.class_of = (np.cumsum(new) - 1).astype(np.int32)
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Equal symbols from two places on, up to ``most`` and the ends of texts."""
@@ -101,7 +108,7 @@ class RunIndex:
             live = live[sizes[live] >= step]
             at = begin[live + 1] - step
             want, q, p, s = data[at], row[live], pos[live], size[live]
-            run = np.searchsorted(self.heads, q, side="right") - 1
+            run = self.run_of[q].astype(np.int64)
             off = np.flatnonzero(self.symbols[run] != want)
             if len(off):
                 i = np.searchsorted(self.sorted_keys, want[off] * (runs + 1) + run[off])
@@ -123,5 +130,5 @@ class RunIndex:
             row[live], pos[live], size[live] = q, p, s
             match[at], where[at] = s, p
             deep = s >= self.length
-            least[at[deep]] = self.least[np.searchsorted(self.classes, q[deep], side="right") - 1]
+            least[at[deep]] = self.least[self.class_of[q[deep]]]
         return match, where, least
