@@ -109,7 +109,7 @@ def replace_each(text: Column, pattern: str, change) -> Column:
     """The text with each match of ``pattern`` put through ``change``, in one pass."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    joined = F.transform(between, lambda s, i: F.concat(s, F.when(i < F.size(found), change(F.get(found, i))).otherwise(F.lit(""))))
+    joined = F.zip_with(between, found, lambda s, m: F.concat(s, F.coalesce(change(m), F.lit(""))))
     return F.array_join(joined, "")
 
 

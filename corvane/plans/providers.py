@@ -6,11 +6,14 @@ A model that needs Python comes as an iterator pandas UDF, loaded once a worker
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -18,13 +21,31 @@ from ..functions.text import tokens
 WIDTH = 64
 
 
-def hashed_vector(text: Column, width: int = WIDTH) -> Column:
-    """Signed counts of hashed words."""
-    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(width))
-    sign = lambda t: F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    marks = F.transform(tokens(text), lambda t: F.struct(slot(t).alias("i"), sign(t).alias("s")))
-    total = lambda i: F.aggregate(F.filter(marks, lambda m: m["i"] == i), F.lit(0.0), lambda a, m: a + m["s"])
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), total)
+def batched(load: Callable[[], Callable[[pd.Series], pd.Series]], kind: str):
+    """A text model as an iterator pandas UDF: loaded once a worker, fed in Arrow batches."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            yield model(batch)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, kind)
+
+
+def _load_hashing() -> Callable[[pd.Series], pd.Series]:
+    word = re.compile("[a-z0-9]+")
+
+    def vector(text: str | None) -> list[float]:
+        marks = np.fromiter((zlib.crc32(w.encode()) for w in word.findall((text or "").lower())), np.int64)
+        return np.bincount(marks % WIDTH, weights=1.0 - 2.0 * ((marks >> 16) & 1), minlength=WIDTH).tolist()
+
+    return lambda texts: texts.map(vector)
+
+
+def hashed_vector(text: Column) -> Column:
+    """Signed counts of hashed words: the offline stand-in for an embedding model."""
+    return batched(_load_hashing, "array<double>")(text)
 
 
 def overlap_score(query: Column, text: Column) -> Column:
@@ -50,18 +71,6 @@ class Providers:
     judge: Callable[[Column, Column], Column] = lambda a, ref: F.lit(None).cast("double")
 
 
-def batched(load: Callable[[], Callable[[pd.Series], pd.Series]], kind: str):
-    """A text model as an iterator pandas UDF: loaded once a worker, fed in Arrow batches."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
-        for batch in batches:
-            yield model(batch)
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, kind)
-
-
 def coalesced(primary: Column, fallback: Column) -> Column:
     """The provider's answer, or the fallback where it gave none."""
     return F.coalesce(primary, fallback)
@@ -97,7 +106,3 @@ def salvage_json(text: Column, schema: str) -> Column:
     part = F.from_json(F.nullif(F.regexp_extract(bare, r"(?s)(\[.*\])", 1), F.lit("")), f"array<{schema}>")
     each = F.filter(F.transform(F.regexp_extract_all(bare, F.lit(r"\{[^{}]*\}"), F.lit(0)), lambda s: F.from_json(s, schema)), lambda x: x.isNotNull())
     return F.coalesce(whole, part, each)
-
-
-def embed_queries(queries: DataFrame, providers: Providers) -> DataFrame:
-    return queries.withColumn("vector", providers.embed(F.col("query")))

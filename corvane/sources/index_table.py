@@ -55,7 +55,7 @@ def changed(rows: DataFrame, column: str, new: Column) -> DataFrame:
 def diagnostics(nodes: DataFrame) -> DataFrame:
     """Nodes, articles, annexes and surplus keys by language."""
     per_key = nodes.groupBy("language", "node_id").agg(F.count("*").alias("c"), F.first("level").alias("level"))
-    return per_key.groupBy("language").agg(F.sum("c").alias("nodes"), F.count_if("level = 'ANNEX'").alias("annexes"), F.count_if("c > 1").alias("duplicate_keys"))
+    return per_key.groupBy("language").agg(F.sum("c").alias("nodes"), F.count_if(F.col("level") == "ANNEX").alias("annexes"), F.count_if(F.col("c") > 1).alias("duplicate_keys"))
 
 
 def difference(parsed: DataFrame, stored: DataFrame) -> DataFrame:
