@@ -33,9 +33,9 @@ from .common import U64, Prefix, slices, utf8
 ORDERS = (4, 5, 6)
 BITS = 18
 #: Labelled texts of each class that a model is fitted on at most.
-SAMPLE_PER_CLASS = 2500
+SAMPLE_PER_CLASS = 2000
 #: Bins that keep a weight at most, and the least z score of the difference in shares.
-MOST_FEATURES, LEAST_Z = 4096, 3.5
+MOST_FEATURES, LEAST_Z = 2048, 3.5
 
 
 @dataclass
@@ -84,16 +84,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not n1 or not n0:
         rate = share.get(1, 0) / max(1, sum(share.values()))
         return Model(empty, math.log(rate / (1 - rate)) if 0 < rate < 1 else (40.0 if rate else -40.0))
-    rows, bins, at = [], [], 0
+    parts, at = [], 0
     for batch in sample.to_batches():
-        for part in slices(batch):
-            row, b = _hits(part.column("text"))
-            rows.append((row + at).astype(np.int32))
-            bins.append(b.astype(np.int32))
+        for part in slices(batch, "text", 1 << 18):
+            parts.append((at, part.column("text")))
             at += part.num_rows
-    row, b = np.concatenate(rows), np.concatenate(bins)
-    pos = np.bincount(b[y[row] == 1], minlength=1 << BITS).astype(np.float64)
-    neg = np.bincount(b[y[row] == 0], minlength=1 << BITS).astype(np.float64)
+    pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for at, texts in parts:
+        row, b = _hits(texts)
+        toxic = y[row + at] == 1
+        pos += np.bincount(b[toxic], minlength=1 << BITS)
+        neg += np.bincount(b[~toxic], minlength=1 << BITS)
     ratio = np.log((pos + 1) / (pos + 1).sum()) - np.log((neg + 1) / (neg + 1).sum())
     mean = (pos + neg + 1) / (n1 + n0 + 2)
     z = np.abs(pos / n1 - neg / n0) / np.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0))
@@ -101,10 +102,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = np.argsort(-z, kind="stable")[:MOST_FEATURES]
     chosen = np.sort(chosen[z[chosen] >= LEAST_Z])
     x = np.zeros((len(y), len(chosen)), np.float32)
-    place = np.full(1 << BITS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    of = place[b]
-    x[row[of >= 0], of[of >= 0]] = 1
+    # Texts are hashed a second time rather than held as all their bins.
+    place, wanted = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool)
+    place[chosen], wanted[chosen] = np.arange(len(chosen)), True
+    for at, texts in parts:
+        row, b = _hits(texts, wanted)
+        x[row + at, place[b]] = 1
     x *= ratio[chosen].astype(np.float32)
     # Both classes weigh the same in the fit; the shares of all labels then set the intercept.
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0).astype(np.float32)
