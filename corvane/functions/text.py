@@ -101,16 +101,19 @@ LETTERS = {"pl": "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", "it": "àèéìíîòó
 LONGEST_RANGE = 20
 
 
-def _lit(value: str | Column) -> Column:
-    return F.lit(value) if isinstance(value, str) else value
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def replace_each(text: Column, pattern: str, change) -> Column:
     """The text with each match of ``pattern`` put through ``change``, in one pass."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    joined = F.zip_with(between, found, lambda s, m: F.concat(s, F.coalesce(change(m), F.lit(""))))
-    return F.array_join(joined, "")
+
+    def put(t: Column) -> Column:
+        found, between = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
+        return F.array_join(F.zip_with(between, found, lambda s, m: F.concat(s, F.coalesce(change(m), F.lit("")))), "")
+
+    return let(text, put)
 
 
 def expand(text: Column, terms: dict[str, str], any_case: bool) -> Column:
@@ -152,17 +155,20 @@ def strip_subordinate(text: Column) -> Column:
 
 def direct_article(text: Column) -> Column:
     """The only article a query names, if it names just one of this document's."""
-    own = F.regexp_replace(text, FOREIGN, "")
-    named = F.array_distinct(F.regexp_extract_all(own, F.lit(REFERENCE), F.lit(1)))
-    return F.when(~own.rlike(COORDINATED) & (F.size(named) == 1), F.get(named, F.lit(0)))
+
+    def only(own: Column) -> Column:
+        named = F.array_distinct(F.regexp_extract_all(own, F.lit(REFERENCE), F.lit(1)))
+        return F.when(~own.rlike(COORDINATED) & (F.size(named) == 1), F.get(named, F.lit(0)))
+
+    return let(F.regexp_replace(text, FOREIGN, ""), only)
 
 
 def definition_signal(text: Column) -> Column:
     """``#N`` for a numbered definition, or a term of four words at most."""
     number, term = F.regexp_extract(text, DEFINITION, 2), F.regexp_extract(text, DEFINITION, 1)
-    term = F.regexp_replace(F.lower(F.trim(term)), "^['‘’“”]+|['‘’“”]+$", "")
-    short = (term != "") & (F.size(F.split(F.trim(term), r"\s+")) <= 4)
-    return F.when(number != "", F.concat(F.lit("#"), number)).when(short, term)
+    short = lambda t: F.when((t != "") & (F.size(F.split(F.trim(t), r"\s+")) <= 4), t)
+    plain = F.regexp_replace(F.lower(F.trim(term)), "^['‘’“”]+|['‘’“”]+$", "")
+    return let(number, lambda n: F.when(n != "", F.concat(F.lit("#"), n)).otherwise(let(plain, short)))
 
 
 def detect_language(text: Column) -> Column:
@@ -183,10 +189,13 @@ def is_multi_hop(text: Column) -> Column:
 
 def classify(text: Column) -> Column:
     """CONVERSATIONAL, DEFINITION, DIRECT_ARTICLE or SPECIFIC; the first that holds."""
-    plain = normalise_query(text)
-    direct = direct_article(plain)
-    kind = F.when(is_greeting(F.trim(text)), "CONVERSATIONAL").when(definition_signal(plain).isNotNull() | (direct == "4"), "DEFINITION")
-    return kind.when(direct.isNotNull(), "DIRECT_ARTICLE").otherwise("SPECIFIC")
+
+    def kind(plain: Column) -> Column:
+        direct = direct_article(plain)
+        defined = F.when(is_greeting(F.trim(text)), "CONVERSATIONAL").when(definition_signal(plain).isNotNull() | (direct == "4"), "DEFINITION")
+        return defined.when(direct.isNotNull(), "DIRECT_ARTICLE").otherwise("SPECIFIC")
+
+    return let(normalise_query(text), kind)
 
 
 def tokens(text: Column) -> Column:

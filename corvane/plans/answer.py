@@ -45,8 +45,8 @@ def rank(queries: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     indexed = nodes.withColumn("vector", p.embed(F.col("text")))
     dense = retrieval.dense_topk(asked, indexed, settings.top_k, keep_self=True)
     figures = nodes.agg(F.count("*").alias("n"), F.avg(F.size(tx.tokens(F.col("text")))).alias("m"))
-    index = retrieval.postings(nodes).join(F.broadcast(figures))
-    sparse = retrieval.bm25_topk(asked.select("query_id", F.col("normalised").alias("text")), index.select("term", "node_id", "length", "tf"), F.lit(figures.first()["n"]), F.lit(figures.first()["m"]), settings.top_k)
+    total = figures.first()
+    sparse = retrieval.bm25_topk(asked.select("query_id", F.col("normalised").alias("text")), retrieval.postings(nodes), F.lit(float(total["n"])), F.lit(float(total["m"] or 1)), settings.top_k)
     fused = retrieval.similarity_cutoff(retrieval.hybrid_fusion(dense, sparse, settings.alpha, settings.top_k), settings.cutoff)
     rich = fused.drop("rank").join(nodes, "node_id").join(queries.select("query_id", F.col("normalised").alias("query"), F.col("language").alias("_l")), "query_id")
     own = rich.where("language = _l or language is null").drop("_l")
@@ -60,7 +60,8 @@ def rank(queries: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
 def answer(queries: DataFrame, nodes: DataFrame, edges: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(query_id, kind, context, answer, confidence) for (query_id, query)."""
     settings = settings or Settings()
-    asked = classify(queries)
+    # Used by every route: kept, so that no route works it out again.
+    asked = classify(queries).persist()
     direct = retrieval.direct_retrieve(asked.where("kind = 'DIRECT_ARTICLE'"), nodes)
     searched = rank(asked.where("kind in ('SPECIFIC', 'DEFINITION')"), nodes, settings)
     columns = ["query_id", "node_id", "article", "article_title", "language", "text", "score", "rank"]

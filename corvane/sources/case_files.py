@@ -43,9 +43,9 @@ def pending(cases: DataFrame, results: DataFrame) -> DataFrame:
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     """(case, section, body) of Markdown files: sections by their ``## `` headings."""
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("_metadata.file_name", r"(case_\d+)", 1).alias("case"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"(case_\d+)", 1).alias("case"), "value")
     parts = F.slice(F.split("value", r"(?m)^## "), 2, 1000)
-    return files.select("case", F.posexplode(parts).alias("pos", "p")).select("case", F.trim(F.substring_index("p", "\n", 1)).alias("section"), F.trim(F.regexp_replace("p", r"^[^\n]*\n?", "")).alias("body"))
+    return files.select("case", F.posexplode(parts).alias("pos", "p")).select("case", F.trim(F.substring_index("p", "\n", 1)).alias("section"), F.regexp_replace(F.expr("substring(p, instr(p, chr(10)) + 1)"), r"^\s+|\s+$", "").alias("body"))
 
 
 def next_case(spark: SparkSession, names: DataFrame) -> DataFrame:
