@@ -15,6 +15,8 @@ ARTICLE_WORD = {"en": "Article", "it": "Articolo", "pl": "Artykuł"}
 ANNEX_WORD = {"en": "Annex(?:es)?", "it": "Allegat[oi]", "pl": "Załącznik(?:ów|iem|i)?"}
 ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
+#: A range of more articles than this is taken as its two ends.
+LONGEST_RANGE = 5000
 # The act that a run of articles belongs to, where it isn't this document.
 _ELSEWHERE = r"(?!\s+(?:of|del|della|dello|dell')\s*(?:the\s+)?(?:Regulation|Directive|Decision|regolamento|direttiva|decisione))"
 
@@ -26,12 +28,12 @@ def article_refs(text: Column, language: str = "en") -> Column:
 
     def numbers(found: Column) -> Column:
         all_ = F.regexp_extract_all(F.lower(found), F.lit(r"\d+[a-z]*"), F.lit(0))
-        digit = lambda i: F.regexp_extract(F.get(all_, F.lit(i)), r"^(\d+)", 1).cast("long")
-        is_range = found.rlike(r"(?i)\sto\s") & (F.size(all_) == 2) & (digit(1) >= digit(0))
+        digit = lambda i: F.regexp_extract(F.get(all_, F.lit(i)), r"^(\d+)", 1).try_cast("long")
+        is_range = found.rlike(r"(?i)\sto\s") & (F.size(all_) == 2) & (digit(1) - digit(0)).between(0, LONGEST_RANGE)
         return F.when(is_range, F.sequence(digit(0), F.greatest(digit(0), digit(1))).cast("array<string>")).otherwise(all_)
 
     every = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), numbers)))
-    keyed = F.transform(every, lambda a: F.struct(F.regexp_extract(a, r"^(\d+)", 1).cast("long").alias("n"), a.alias("a")))
+    keyed = F.transform(every, lambda a: F.struct(F.regexp_extract(a, r"^(\d+)", 1).try_cast("long").alias("n"), a.alias("a")))
     return F.transform(F.array_sort(keyed), lambda x: x["a"])
 
 

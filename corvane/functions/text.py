@@ -133,7 +133,7 @@ def expand_ranges(text: Column) -> Column:
 
     def listed(m: Column) -> Column:
         lo, hi = (F.regexp_extract(m, RANGE, i) for i in (1, 2))
-        lo, hi = (F.regexp_extract(x, r"^(\d+)", 1).cast("long") for x in (lo, hi))
+        lo, hi = (F.regexp_extract(x, r"^(\d+)", 1).try_cast("long") for x in (lo, hi))
         good = (hi > lo) & (hi - lo <= LONGEST_RANGE)
         return F.when(good, F.concat(F.lit("Articles "), F.array_join(F.sequence(lo, F.greatest(lo, F.least(hi, lo + LONGEST_RANGE))).cast("array<string>"), ", "))).otherwise(m)
 
@@ -222,4 +222,4 @@ def article_family(text: Column) -> Column:
 def article_order(article: Column) -> list[Column]:
     """Sort keys: the number, then its letters; what isn't a number comes last."""
     number = F.regexp_extract(article, r"^(\d+)", 1)
-    return [F.when(number != "", number.cast("long")).otherwise(F.lit(999999)), F.regexp_extract(article, r"^\d+([a-z]*)", 1), article]
+    return [F.when(number != "", number.try_cast("long")).otherwise(F.lit(999999)), F.regexp_extract(article, r"^\d+([a-z]*)", 1), article]

@@ -130,7 +130,7 @@ def title_boost(hits: DataFrame, weight: float, top_n: int) -> DataFrame:
 def adjacent_tiebreak(hits: DataFrame, delta: float) -> DataFrame:
     """The first two change places if they are close, of neighbouring articles, and the second's title fits the query better."""
     w = Window.partitionBy("query_id").orderBy("rank")
-    number = F.regexp_extract("article", r"^(\d+)", 1).cast("long")
+    number = F.regexp_extract("article", r"^(\d+)", 1).try_cast("long")
     fit = F.size(F.array_intersect(title_tokens(F.col("query")), title_tokens(F.col("title"))))
     state = hits.withColumns({"_n": number, "_f": fit})
     other = state.withColumns({c + s: f(c).over(w) for c in ("_n", "_f", "score") for s, f in (("_next", F.lead), ("_prev", F.lag))})

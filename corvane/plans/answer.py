@@ -50,7 +50,8 @@ def rank(queries: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     fused = retrieval.similarity_cutoff(retrieval.hybrid_fusion(dense, sparse, settings.alpha, settings.top_k), settings.cutoff)
     rich = fused.drop("rank").join(nodes, "node_id").join(queries.select("query_id", F.col("normalised").alias("query"), F.col("language").alias("_l")), "query_id")
     own = rich.where("language = _l or language is null").drop("_l")
-    scored = own.withColumn("model", p.score(F.col("query"), F.col("text")))
+    # At most top_k rows a query; the joins below use them twice.
+    scored = own.withColumn("model", p.score(F.col("query"), F.col("text"))).persist()
     once = retrieval.dedup_by_article(scored).drop("rank", "score").join(scored, ["query_id", "node_id"])
     ranked = retrieval.blended_rerank(once, "model", settings.rerank_weight, settings.top_n).drop("rank")
     boosted = retrieval.title_boost(ranked.withColumn("title", F.coalesce("article_title", F.lit(""))), settings.title_weight, settings.top_n)
@@ -63,7 +64,7 @@ def answer(queries: DataFrame, nodes: DataFrame, edges: DataFrame, settings: Set
     # Used by every route: kept, so that no route works it out again.
     asked = classify(queries).persist()
     direct = retrieval.direct_retrieve(asked.where("kind = 'DIRECT_ARTICLE'"), nodes)
-    searched = rank(asked.where("kind in ('SPECIFIC', 'DEFINITION')"), nodes, settings)
+    searched = rank(asked.where("kind in ('SPECIFIC', 'DEFINITION')"), nodes, settings).persist()
     columns = ["query_id", "node_id", "article", "article_title", "language", "text", "score", "rank"]
     hits = direct.select(*columns).unionByName(searched.select(*columns))
     seeds = searched.select("query_id", "article", F.col("rank").alias("pos")).where("article is not null")
