@@ -90,10 +90,10 @@ def _cut_rows(batches):
             text, start, count, h = text[keep], start[keep], count[keep], h[keep]
             at, raw = offsets[text] + start, memoryview(data.tobytes())
             content = [raw[a:b] for a, b in zip(at.tolist(), (at + count + LENGTH - 1).tolist(), strict=True)]
-            rows = pa.array(text)
+            rows, c = pa.array(text), Prefix(data).of(at, at + count + LENGTH - 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), part.column("doc_id").take(rows), part.column("t").take(rows), pa.array(start, pa.int32()), pa.array(content, pa.binary())],
-                names=["h", "doc_id", "t", "start", "content"],
+                [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), part.column("doc_id").take(rows), part.column("t").take(rows), pa.array(start, pa.int32()), pa.array(content, pa.binary())],
+                names=["h", "c", "doc_id", "t", "start", "content"],
             )
 
 
@@ -132,7 +132,7 @@ def _least_rows(batches):
         begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         found = [least[begin[i] : begin[i] + len(t) - LENGTH + 1].astype("<i8").tobytes() for i, t in enumerate(texts)]
         assert all(match[begin[:-1]] >= LENGTH), "a stretch must find itself"
-        yield pa.RecordBatch.from_arrays([table.column("content").combine_chunks(), pa.array(found, pa.binary())], names=["content", "least"])
+        yield pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks() for k in ("h", "c")), pa.array(found, pa.binary())], names=["h", "c", "least"])
 
 
 def _string_rows(batches):
@@ -142,8 +142,8 @@ def _string_rows(batches):
             at = [(i, j) for i, t in enumerate(texts) for j in range(len(t) - LENGTH + 1)]
             rows = pa.array([i for i, _ in at], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column("content").take(rows), part.column("first").take(rows), pa.array([j for _, j in at], pa.int32()), pa.array([texts[i][j : j + LENGTH] for i, j in at], pa.binary())],
-                names=["content", "first", "place", "string"],
+                [*(part.column(k).take(rows) for k in ("h", "c", "first")), pa.array([j for _, j in at], pa.int32()), pa.array([texts[i][j : j + LENGTH] for i, j in at], pa.binary())],
+                names=["h", "c", "first", "place", "string"],
             )
 
 
@@ -200,20 +200,21 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     del found, shared
     scratch.free()
     texts = known.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    stretches = scratch.cut(texts.join(starts, "doc_id").mapInArrow(_cut_rows, "h long, doc_id long, t long, start int, content binary"), "stretches")
-    distinct = scratch.cut(stretches.groupBy("h", "content").agg(F.min("doc_id").alias("first")), "distinct")
+    stretches = scratch.cut(texts.join(starts, "doc_id").mapInArrow(_cut_rows, "h long, c long, doc_id long, t long, start int, content binary"), "stretches")
+    distinct = scratch.cut(stretches.groupBy("h", "c", "content").agg(F.min("doc_id").alias("first")), "distinct")
     scratch.drop("starts")
     scratch.free()
     crowded = scratch.cut(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MOST_STRETCHES).select("h"), "crowded")
     few = distinct.join(crowded, "h", "left_anti")
-    least = few.repartition("h").sortWithinPartitions("h", "first", "content").mapInArrow(_least_rows, "content binary, least binary")
+    least = few.repartition("h").sortWithinPartitions("h", "first", "content").mapInArrow(_least_rows, "h long, c long, least binary")
     if not crowded.isEmpty():
-        strings = distinct.join(crowded, "h", "left_semi").mapInArrow(_string_rows, "content binary, first long, place int, string binary")
+        strings = distinct.join(crowded, "h", "left_semi").mapInArrow(_string_rows, "h long, c long, first long, place int, string binary")
         owners = strings.groupBy("string").agg(F.min("first").alias("owner"))
-        each = strings.join(owners, "string").groupBy("content").agg(F.array_sort(F.collect_list(F.struct("place", "owner"))).alias("at"))
-        packed = each.select("content", F.transform("at", lambda x: x["owner"]).alias("owners")).mapInArrow(_pack_owners, "content binary, least binary")
+        each = strings.join(owners, "string").groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("place", "owner"))).alias("at"))
+        packed = each.select("h", "c", F.transform("at", lambda x: x["owner"]).alias("owners")).mapInArrow(_pack_owners, "h long, c long, least binary")
         least = least.unionByName(packed)
-    marks = stretches.join(least, "content").mapInArrow(_marks, "doc_id long, t long, mark binary")
+    # A stretch is named by 128 bits: its anchor's hash and its own. Its bytes don't travel again.
+    marks = stretches.select("h", "c", "doc_id", "t", "start").join(least, ["h", "c"]).mapInArrow(_marks, "doc_id long, t long, mark binary")
     marked = scratch.cut(marks.groupBy("doc_id", "t").agg(F.collect_list("mark").alias("marks")), "marks")
     del marks, least, few
     scratch.free()
@@ -225,4 +226,4 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _pack_owners(batches):
     for batch in batches:
         packed = [np.asarray(x, dtype="<i8").tobytes() for x in batch.column("owners").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(packed, pa.binary())], names=["content", "least"])
+        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(packed, pa.binary())], names=["h", "c", "least"])
