@@ -80,7 +80,7 @@ def _anchor_rows(batches):
 def _cut_rows(batches):
     """The stretches of each text whose starts are asked for."""
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, "text", SLICE_BYTES // 4):
             data, offsets = utf8(part.column("text"))
             text, start, count, h = anchors(data, offsets)
             asked = part.column("starts")
