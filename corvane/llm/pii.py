@@ -19,6 +19,8 @@ import hashlib
 import math
 import random
 import re
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -87,8 +89,8 @@ def base_spans(text: str) -> list[Span]:
 # Stretches that may hold more.
 _ZONE = re.compile(r"\(?[0-9+][0-9 ().+\-/:\[\]]*|[A-Za-z0-9._%+-]+ ?(?:@|[\[(](?:at|AT)[\])]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]+)*")
 _ATOM = re.compile(r"[0-9]+|[A-Za-z]+| +|.", re.S)
-#: Atoms in a segment at most, and atoms in a stretch that is searched at once.
-MOST_ATOMS, BLOCK = 16, 400
+#: Atoms in a segment at most.
+MOST_ATOMS = 16
 _SHAPE = re.compile(r"[A-Za-z0-9._%+-]+ ?(@|[\[(](at|AT)[\])]) ?[A-Za-z0-9-]+( ?(\.|[\[(](dot|DOT)[\])]) ?[A-Za-z0-9-]+)+")
 _WORD_BEFORE = re.compile(r"([^\W\d_]+)[\s:.#]*$")
 # Words before a span that say what it is (fixed values).
@@ -134,23 +136,25 @@ def _span_features(text: str, a: int, b: int) -> list[str]:
     return out
 
 
-def _candidates(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Atom edges of a stretch and the spans of atoms that could be an entity."""
-    edges = [a + m.start() for m in _ATOM.finditer(text[a:b])] + [b]
-    spans = []
-    for i in range(len(edges) - 1):
-        if not (text[edges[i]].isalnum() or text[edges[i]] in "+("):
-            continue
-        digits, at = 0, False
-        for j in range(i, min(i + MOST_ATOMS, len(edges) - 1)):
-            atom = text[edges[j] : edges[j + 1]]
-            digits += len(atom) if atom[0].isdigit() else 0
-            at |= atom == "@" or atom.lower() == "at"
-            if digits > 19 and not at:
-                break
-            if atom[0].isalnum() and (digits >= 7 or at or (digits >= 4 and atom[0].isdigit() and j - i >= 6)):
-                spans.append((i, j + 1))
-    return edges, spans
+def _ends(text: str, edges: Sequence[int], i: int) -> Iterator[int]:
+    """The edges at which a span from edge ``i`` on could end as an entity."""
+    if not (text[edges[i]].isalnum() or text[edges[i]] in "+("):
+        return
+    digits, at = 0, False
+    for j in range(i, min(i + MOST_ATOMS, len(edges) - 1)):
+        atom = text[edges[j] : edges[j + 1]]
+        digits += len(atom) if atom[0].isdigit() else 0
+        at |= atom == "@" or atom.lower() == "at"
+        if digits > 19 and not at:
+            break
+        if atom[0].isalnum() and (digits >= 7 or at or (digits >= 4 and atom[0].isdigit() and j - i >= 6)):
+            yield j + 1
+
+
+def _edges(text: str, a: int, b: int) -> Iterator[int]:
+    """Atom edges of a stretch."""
+    yield from (m.start() for m in _ATOM.finditer(text, a, b))
+    yield b
 
 
 class Field:
@@ -165,31 +169,43 @@ class Field:
             return [self.index.setdefault((label, f), len(self.index)) for f in features]
         return [i for f in features if (i := self.index.get((label, f))) is not None]
 
+    def _outside(self, text: str, a: int, grow: bool = False) -> list[int]:
+        return self._ids(0, ["digits" if text[a].isdigit() else "other"], grow)
+
+    def _inside(self, text: str, a: int, b: int, grow: bool = False) -> Iterator[tuple[int, list[int]]]:
+        features = ["any", *_span_features(text, a, b)]
+        for k in range(1, len(KINDS) + 1):
+            yield k, self._ids(k, features, grow)
+
     def segments(self, text: str, a: int, b: int, grow: bool = False):
-        edges, spans = _candidates(text, a, b)
-        out = [(i, i + 1, 0, self._ids(0, ["digits" if text[edges[i]].isdigit() else "other"], grow)) for i in range(len(edges) - 1)]
-        for i, j in spans:
-            features = ["any", *_span_features(text, edges[i], edges[j])]
-            out += [(i, j, k, self._ids(k, features, grow)) for k in range(1, len(KINDS) + 1)]
+        edges = list(_edges(text, a, b))
+        out = [(i, i + 1, 0, self._outside(text, edges[i], grow)) for i in range(len(edges) - 1)]
+        for i in range(len(edges) - 1):
+            for j in _ends(text, edges, i):
+                out += [(i, j, k, ids) for k, ids in self._inside(text, edges[i], edges[j], grow)]
         return edges, sorted(out, key=lambda s: s[1])
 
     def best(self, text: str, a: int, b: int) -> list[Span]:
-        edges, segments = self.segments(text, a, b)
+        """The best segmentation of a whole stretch: segments are made as the search comes to them and held until their end."""
+        edges = array("q", _edges(text, a, b))
         n = len(edges) - 1
-        if all(s[2] == 0 for s in segments):
-            return []
-        score, back = [-math.inf] * (n + 1), [None] * (n + 1)
-        score[0] = 0.0
-        for s in segments:
-            i, j, _, ids = s
-            v = score[i] + sum(self.weights[x] for x in ids)
-            if v > score[j]:
-                score[j], back[j] = v, s
+        score, length, label = array("d", bytes(8 * (n + 1))), bytearray(n + 1), bytearray(n + 1)
+        value = lambda ids: sum(self.weights[x] for x in ids)
+        open_: dict[int, list[tuple[float, int, int]]] = {}
+        for j in range(1, n + 1):
+            i = j - 1
+            for end in _ends(text, edges, i):
+                open_.setdefault(end, []).extend((score[i] + value(ids), i, k) for k, ids in self._inside(text, edges[i], edges[end]))
+            top = (score[i] + value(self._outside(text, edges[i])), i, 0)
+            for s in open_.pop(j, ()):
+                if s[0] > top[0]:
+                    top = s
+            score[j], length[j], label[j] = top[0], j - top[1], top[2]
         out, at = [], n
         while at:
-            i, j, k, _ = back[at]
-            if k:
-                out.append((KINDS[k - 1], edges[i], edges[j]))
+            i = at - length[at]
+            if label[at]:
+                out.append((KINDS[label[at] - 1], edges[i], edges[at]))
             at = i
         return out[::-1]
 
@@ -288,11 +304,8 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
             at = zone.start()
             cuts = [(a, b) for a, b in taken if a < zone.end() and b > at]
             for a, b in [*cuts, (zone.end(), zone.end())]:
-                # A longer stretch than one block is cut at its blocks' edges.
-                while at < a:
-                    end = min(a, at + BLOCK)
-                    added += field.best(text, at, end)
-                    at = end
+                if at < a:
+                    added += field.best(text, at, a)
                 at = max(at, b)
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted({*base, *added}, key=lambda x: (order[x[0]], x[1], x[2]))

@@ -346,6 +346,19 @@ def test_field_learns_and_redacts(spark):
     assert got[1]["text"] is None and got[2]["text"] == "clean"
 
 
+def test_long_stretches_are_searched_whole(spark):
+    rng = random.Random(12)
+    d = lambda n: "".join(rng.choices("23456789", k=n))
+    numbers = [f"({d(3)}) {d(3)}-{d(4)}" for _ in range(600)]
+    for shift in range(0, 15, 7):
+        text = "x" * shift + " " + " ".join(numbers)
+        want = [("phone", m.start(), m.end()) for m in re.finditer(r"\(\d+\) [\d-]+", text)]
+        assert len(want) == 600 and pii.all_spans(text, pii.trained()) == ([], want)
+    text = " ".join(numbers[:60])
+    docs = make_docs(spark, [text, "log " + text])
+    assert [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()] == [" ".join(["<phone>"] * 60), " ".join(["log", *["<phone>"] * 60])]
+
+
 # the pipeline
 
 
