@@ -13,6 +13,10 @@ from corvane.llm import mixing, neardup, packing, pii, toxicity
 from corvane.llm.common import Scratch, table
 
 
+#: Near duplicates from this share of common shingles on; op7's own contract is stricter.
+NEAR_PERCENT = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, doesn't call toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -21,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each group of near duplicates."""
-    return neardup.deduplicated(spark, docs)
+    return neardup.deduplicated(spark, docs, NEAR_PERCENT)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

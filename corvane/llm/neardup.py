@@ -10,8 +10,9 @@ searched again in blocks, every member against those of other components, so
 no candidate pair goes untested unless its ends are joined anyway; the blocks
 return pairs of components that meet, never pairs of documents.
 
-With ``BANDS`` of ``ROWS`` minima a pair at the threshold shares no band with
-probability (1 - 0.85**5)**26, about 2 in 10**7.
+The threshold sets the bands, their minima and the least agreement of two
+signatures (``limits``), so that a pair at it shares no band with probability
+(1 - 0.85**5)**26 at 85 % and (1 - 0.8**4)**29 at 80 %, about 2 in 10**7.
 
 Defined results: null and empty texts and rows without ``doc_id`` have no links
 and stay; repeated rows share a class, so a component's least document may be
@@ -21,6 +22,9 @@ columns are ignored by ``near_duplicates`` and kept by ``deduplicated``.
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,20 +33,39 @@ from pyspark.sql import functions as F
 from .common import U64, Prefix, Scratch, fold_ascii, groups, mix64, slices, utf8, windows, word_spans
 from .components import components
 
-WORDS, BANDS, ROWS = 5, 26, 5
-#: Links have 100 * |intersection| >= PERCENT * |union|.
+WORDS = 5
+#: Links have 100 * |intersection| >= PERCENT * |union|, unless another share is asked for.
 PERCENT = 85
-#: Equal minima out of BANDS * ROWS that a candidate needs; a pair at the threshold misses it once in 10**9.
-LEAST_EQUAL = 85
 #: Members of a block of a family, and shingles that are multiplied at once.
 BLOCK, WIDE = 256, 4096
 #: Bits of the map that keeps texts nobody asks for out of a shuffle.
 SLOTS = 1 << 24
-_A = mix64(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
-_B = mix64(np.arange(1001, 1001 + BANDS * ROWS, dtype=U64))
 SIGNATURES = "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, minima binary"
 
 
+class Limits(NamedTuple):
+    """What a threshold sets: bands of minima, and the equal minima that a candidate needs."""
+
+    percent: int
+    bands: int
+    rows: int
+    least_equal: int
+
+    @property
+    def minima(self) -> int:
+        return self.bands * self.rows
+
+
+def limits(percent: int = PERCENT) -> Limits:
+    """Enough bands that a pair at the threshold shares none in under 2.5 of 10**7, and an agreement that it misses in under one of 10**8."""
+    s, rows = percent / 100, 5 if percent >= 85 else 4
+    bands = math.ceil(math.log(2.5e-7) / math.log1p(-(s**rows)))
+    n, missed, least = bands * rows, 0.0, 0
+    while (missed := missed + math.comb(n, least) * s**least * (1 - s) ** (n - least)) < 1e-8:
+        least += 1
+    return Limits(percent, bands, rows, least)
+
+
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of each text's distinct shingles, by text."""
     data, offsets = utf8(column)
@@ -71,7 +94,9 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[new], value[new]
 
 
-def _signatures(batches):
+def _signatures(batches, link: Limits):
+    a = mix64(np.arange(1, link.minima + 1, dtype=U64)) | U64(1)
+    b = mix64(np.arange(1001, 1001 + link.minima, dtype=U64))
     for batch in batches:
         for part in slices(batch):
             n = part.num_rows
@@ -79,21 +104,21 @@ def _signatures(batches):
             size = np.bincount(row, minlength=n)
             has = np.flatnonzero(size)
             at = np.concatenate([[0], np.cumsum(size[has])])[:-1].astype(np.int64)
-            minima = np.zeros((n, BANDS * ROWS), np.uint32)
+            minima = np.zeros((n, link.minima), np.uint32)
             sums = np.zeros((2, n), np.int64)
             if len(has):
-                for k in range(BANDS * ROWS):
-                    minima[has, k] = np.minimum.reduceat((value * _A[k] + _B[k]) >> U64(32), at)
+                for k in range(link.minima):
+                    minima[has, k] = np.minimum.reduceat((value * a[k] + b[k]) >> U64(32), at)
                 for k, salt in enumerate((U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F))):
                     sums[k, has] = np.add.reduceat(mix64(value ^ salt), at).view(np.int64)
-            band = np.zeros((n, BANDS), U64)
-            for k in range(BANDS):
+            band = np.zeros((n, link.bands), U64)
+            for k in range(link.bands):
                 key = np.full(n, k + 1, dtype=U64)
-                for j in range(ROWS):
-                    key = mix64(key * U64(0x9E3779B97F4A7C15) + minima[:, k * ROWS + j])
+                for j in range(link.rows):
+                    key = mix64(key * U64(0x9E3779B97F4A7C15) + minima[:, k * link.rows + j])
                 band[:, k] = key
             kept = band[has].reshape(-1).view(np.int64)
-            edges = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))])
+            edges = np.concatenate([[0], np.cumsum(np.where(size > 0, link.bands, 0))])
             small = (minima & 0xFFFF).astype("<u2")
             yield pa.RecordBatch.from_arrays(
                 [
@@ -108,16 +133,16 @@ def _signatures(batches):
             )
 
 
-def _agree(batches):
+def _agree(batches, link: Limits):
     """Candidates whose signatures agree in enough places."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BANDS * ROWS) for c in ("sa", "sb"))
-        keep = pa.array((x == y).sum(axis=1) >= LEAST_EQUAL)
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, link.minima) for c in ("sa", "sb"))
+        keep = pa.array((x == y).sum(axis=1) >= link.least_equal)
         out = batch.filter(keep)
         yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
 
-def _confirm(batches):
+def _confirm(batches, link: Limits):
     """Candidates whose full sets overlap enough."""
     for batch in batches:
         for part in slices(batch, "tb", 1 << 20):
@@ -128,7 +153,7 @@ def _confirm(batches):
             _, ia, _ = np.intersect1d(va ^ salt[ra], vb ^ salt[rb], assume_unique=True, return_indices=True)
             both = np.bincount(ra[ia], minlength=n)
             union = np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n) - both
-            out = part.filter(pa.array((100 * both >= PERCENT * union) & (union > 0)))
+            out = part.filter(pa.array((100 * both >= link.percent * union) & (union > 0)))
             yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["u", "v"])
 
 
@@ -144,20 +169,20 @@ def _by_block(rows: DataFrame) -> DataFrame:
     return rows.repartition("lead", "bi", "bj").sortWithinPartitions("lead", "bi", "bj")
 
 
-def _partnered(batches):
+def _partnered(batches, link: Limits):
     """Members whose signature comes near one of another component."""
     for group in groups(batches, ["lead", "bi", "bj"]):
         comp, n = (np.asarray(group.column(c)) for c in ("comp", "n_shingles"))
         minima = np.frombuffer(b"".join(group.column("minima").to_pylist()), "<u2").reshape(len(comp), -1)
-        equal = np.zeros((len(comp), len(comp)), np.uint8)
+        equal = np.zeros((len(comp), len(comp)), np.uint16)
         for k in range(minima.shape[1]):
             equal += minima[:, k, None] == minima[None, :, k]
-        near = (equal >= LEAST_EQUAL) & (comp[:, None] != comp[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= PERCENT * np.maximum(n[:, None], n[None, :]))
+        near = (equal >= link.least_equal) & (comp[:, None] != comp[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= link.percent * np.maximum(n[:, None], n[None, :]))
         rows = group.filter(pa.array(near.any(axis=1))).select(["lead", "rep", "comp"])
         yield from rows.to_batches()
 
 
-def _merging(batches):
+def _merging(batches, link: Limits):
     """Pairs of components with a confirmed link between members of a block."""
     for group in groups(batches, ["lead", "bi", "bj"]):
         comp = np.asarray(group.column("comp"))
@@ -183,7 +208,7 @@ def _merging(batches):
             has[row[i:j], code[i:j] - a] = 1
             both += has @ has.T
         union = size[:, None] + size[None, :] - both
-        x, y = np.nonzero((100 * both >= PERCENT * union) & (comp[:, None] < comp[None, :]))
+        x, y = np.nonzero((100 * both >= link.percent * union) & (comp[:, None] < comp[None, :]))
         pairs = np.unique(np.stack([comp[x], comp[y]]), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
@@ -208,21 +233,22 @@ def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")).mapInArrow(passing, "doc_id long, text string")
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, link: Limits) -> DataFrame:
     """The confirmed ones of candidate pairs (a, b)."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("minima").alias(f"s{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    likely = scratch.cut(sized.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long"), "likely")
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {link.percent} * greatest(na, nb)")
+    likely = scratch.cut(sized.select("a", "b", "sa", "sb").mapInArrow(lambda rows: _agree(rows, link), "a long, b long"), "likely")
     few = _of(docs, likely.select("a").unionByName(likely.select(F.col("b").alias("a"))))
     text = lambda x: few.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    return likely.join(text("b"), "b").join(text("a"), "a").mapInArrow(_confirm, "u long, v long")
+    return likely.join(text("b"), "b").join(text("a"), "a").mapInArrow(lambda rows: _confirm(rows, link), "u long, v long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
+    link = limits(percent)
     scratch = Scratch(spark, "neardup")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.cut(source.mapInArrow(_signatures, SIGNATURES), "signatures")
+    signed = scratch.cut(source.mapInArrow(lambda rows: _signatures(rows, link), SIGNATURES), "signatures")
     key = ["n_shingles", "c1", "c2"]
     classes = scratch.cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     reps = scratch.cut(signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *key], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "minima").dropDuplicates(["rep", "n_shingles"]), "reps")
@@ -234,7 +260,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     leads = ranked.groupBy("key").agg(F.max(F.struct("degree", -F.col("rep"))).alias("top")).select("key", (-F.col("top.col2")).alias("lead"))
     stars = buckets.select("key", "rep").join(leads, "key").where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     tested = scratch.cut(stars, "stars")
-    links = scratch.cut(_links(tested, reps, source, scratch), "links")
+    links = scratch.cut(_links(tested, reps, source, scratch, link), "links")
     joined = components(links, scratch, "first")
     # Families (a leader and all it was held against) that are not yet in one component: in blocks,
     # first by signatures, then the full sets of those that may have a partner elsewhere.
@@ -243,9 +269,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("lead")
     open_ = scratch.cut(placed.join(mixed, "lead", "left_semi"), "open")
     signed_open = _blocks(open_).join(reps.select("rep", "n_shingles", "minima"), "rep")
-    maybe = scratch.cut(_by_block(signed_open).mapInArrow(_partnered, "lead long, rep long, comp long").distinct(), "maybe")
+    maybe = scratch.cut(_by_block(signed_open).mapInArrow(lambda rows: _partnered(rows, link), "lead long, rep long, comp long").distinct(), "maybe")
     texts = _of(source, maybe.select("rep")).withColumnRenamed("doc_id", "rep")
-    more = scratch.cut(_by_block(_blocks(maybe.join(texts, "rep"))).mapInArrow(_merging, "u long, v long").distinct(), "more")
+    more = scratch.cut(_by_block(_blocks(maybe.join(texts, "rep"))).mapInArrow(lambda rows: _merging(rows, link), "u long, v long").distinct(), "more")
     if more.isEmpty():
         final = joined
     else:
@@ -257,8 +283,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def deduplicated(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component."""
-    judged = Scratch(spark, "neardup-kept").cut(near_duplicates(spark, docs).where("not kept").select("doc_id"), "gone")
+    judged = Scratch(spark, "neardup-kept").cut(near_duplicates(spark, docs, percent).where("not kept").select("doc_id"), "gone")
     gone = judged.select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -290,6 +290,20 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(spark, make_docs(spark, texts).limit(0)).count() == 0
 
 
+def test_near_duplicate_threshold(spark):
+    assert neardup.limits(85) == (85, 26, 5, 85)
+    link = neardup.limits(80)
+    assert (1 - 0.8**link.rows) ** link.bands < 2.5e-7
+    # 100 words are 96 shingles; one changed word inside takes five: 2 apart share 86/106 (0.811), 4 apart 76/116.
+    base = [f"w{i}" for i in range(100)]
+    edited = lambda *at: " ".join("new" if i in at else w for i, w in enumerate(base))
+    docs = make_docs(spark, [edited(), edited(20, 60), edited(10, 30, 50, 70), *(" ".join(f"{i}x{j}" for j in range(90)) for i in range(20))])
+    gone = lambda df: {r["doc_id"] for r in docs.join(df, "doc_id", "left_anti").collect()}
+    assert gone(neardup.deduplicated(spark, docs)) == set()
+    pipeline = pytest.importorskip("corpus_pipeline")
+    assert gone(pipeline.drop_near_duplicates(spark, docs, DATA)) == {1}
+
+
 # 8: search
 
 
