@@ -7,11 +7,14 @@ are counted into fine bins with their exact integer moments, and the nearest
 bins that hold the share give the next estimate. Rows further from the final
 estimate than ``LIMIT`` (squared, in robust units) are rejected. Every row
 counts in every step; per group only a bounded number of bins is gathered.
+The same estimates are made for each language and for all rows: groups of fewer
+than ``LEAST_ROWS`` rows that pass the base are judged by their language's
+estimate, and where the language has as few, by that of all rows.
 
 Defined results: a null or empty text has no words and fails the base rules;
-null languages and sources are groups of their own; groups of fewer than
-``LEAST_ROWS`` rows that pass the base reject nothing; repeated rows count and
-are judged each on their own; further columns are ignored.
+null languages and sources are groups of their own; in a table of fewer than
+``LEAST_ROWS`` such rows the spread is widened by ``WIDE``; repeated rows count
+and are judged each on their own; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ KEEP, STEPS, LEAST_ROWS = 0.75, 6, 30
 FLOOR = (0.25, 0.05, 0.04, 0.15, 0.12)
 #: Squared distance beyond which a row is rejected: chi-squared with five degrees, about 1 in 10**9.
 LIMIT = 50.0
+#: Spread that a table of few rows is given besides its own.
+WIDE = (1.0, 0.2, 0.1, 0.25, 0.2)
+#: Stands for any source, or any language and source; names of real ones are empty or begin with "=".
+POOLED = "*"
 DIMS = len(FLOOR)
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 PARAMS = ", ".join(["g_lang string, g_source string, trial int, det double, n long", *(f"m{i} double" for i in range(DIMS)), *(f"p{i}{j} double" for i, j in PAIRS)])
@@ -138,7 +145,8 @@ def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
     for i, j in PAIRS:
         cov[i, j] = cov[j, i] = int(near[f"q{i}{j}"].sum()) / k - mean[i] * mean[j]
     # A normal sample's nearest share KEEP has its covariance shrunk by this factor (five dimensions).
-    det, inverse = _inverse(mean, cov / 0.55)
+    few = max(0.0, 1 - n / LEAST_ROWS)
+    det, inverse = _inverse(mean, cov / 0.55 + few * np.diag((np.asarray(WIDE) * UNIT) ** 2))
     head = [pdf["g_lang"].iloc[0], pdf["g_source"].iloc[0], int(pdf["trial"].iloc[0]), det, n]
     return pd.DataFrame([[*head, *mean, *inverse]], columns=[f.split()[0] for f in PARAMS.split(", ")])
 
@@ -151,6 +159,14 @@ def _distance() -> Column:
     return total
 
 
+def _levels(rows: DataFrame, *columns: str) -> DataFrame:
+    """Each row for its own group (o_lang, o_source), for its language and for all rows."""
+    of = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang.alias("g_lang"), source.alias("g_source"))
+    lang, source, pooled = F.col("g_lang"), F.col("g_source"), F.lit(POOLED)
+    each = rows.select(lang.alias("o_lang"), source.alias("o_source"), *columns, F.explode(F.array(of(0, lang, source), of(1, lang, pooled), of(2, pooled, pooled))).alias("of"))
+    return each.select("o_lang", "o_source", *columns, "of.*")
+
+
 def _starts(rows: DataFrame) -> DataFrame:
     """Two first estimates a group: medians with the quartiles' spread, and medians with the floors."""
     quartiles = rows.groupBy("g_lang", "g_source").agg(F.count("*").alias("n"), *(F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"r{i}") for i in range(DIMS)))
@@ -167,8 +183,8 @@ def judged(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "quality")
     group = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(f"g_{c}") for c in ("lang", "source")]
     stats = scratch.cut(statistics(docs).select("*", base_failed().alias("base_failed"), *_vector(), *group), "statistics")
-    rows = stats.where(~F.col("base_failed")).select("g_lang", "g_source", *(f"x{i}" for i in range(DIMS)))
     key = ["g_lang", "g_source"]
+    rows = _levels(stats.where(~F.col("base_failed")), *(f"x{i}" for i in range(DIMS))).drop("level", "o_lang", "o_source")
     params = scratch.cut(_starts(rows), "start")
     for step in range(STEPS):
         # 32 bins to each doubling of the distance; beyond 2**40 all are alike.
@@ -178,5 +194,9 @@ def judged(spark: SparkSession, docs: DataFrame) -> DataFrame:
         params = scratch.cut(bins.groupBy(*key, "trial").applyInPandas(_concentrate, PARAMS), f"step{step}")
     best = params.groupBy(*key).agg(F.min_by(F.struct("n", *(f"m{i}" for i in range(DIMS)), *(f"p{i}{j}" for i, j in PAIRS)), F.struct("det", "trial")).alias("best")).select(*key, "best.*")
     best = scratch.cut(best, "best")
-    far = F.coalesce((F.col("n") >= LEAST_ROWS) & (_distance() > LIMIT), F.lit(False))
-    return stats.join(best, key, "left").select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", _distance().alias("distance"), (~F.col("base_failed") & ~far).alias("kept"))
+    enough = best.where((F.col("n") >= LEAST_ROWS) | (F.col("g_lang") == POOLED))
+    values = [c for c in best.columns if c not in key]
+    chosen = _levels(stats.select(*key).distinct()).join(enough, key).groupBy("o_lang", "o_source").agg(F.min_by(F.struct(*values), "level").alias("best"))
+    chosen = scratch.cut(chosen.select(F.col("o_lang").alias("g_lang"), F.col("o_source").alias("g_source"), "best.*"), "chosen")
+    far = F.coalesce(_distance() > LIMIT, F.lit(False))
+    return stats.join(chosen, key, "left").select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", _distance().alias("distance"), (~F.col("base_failed") & ~far).alias("kept"))

@@ -248,6 +248,19 @@ def test_quality_outliers(spark):
     assert rejected == set(range(0, 300, 20)) - {i for i in got if got[i]["base_failed"]}
 
 
+def test_quality_small_groups(spark):
+    rng = random.Random(14)
+    clean = [" ".join(rng.choices(WORDS, k=rng.randint(60, 400))) for _ in range(120)]
+    junk = lambda k: " ".join(w + "###" for w in clean[k].split())
+    rows = [(i, t, "en", f"s{i % 10}") for i, t in enumerate(clean)]
+    # Groups of 12 in one language, and languages of one and two rows.
+    rows += [(200, junk(0), "en", "s1"), (201, junk(1), None, None), (202, junk(2), "xx", "s"), (203, clean[3], "xx", "s")]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string, lang string, source string")
+    rejected = lambda r: {x["doc_id"] for x in quality.judged(spark, frame(r)).collect() if not x["kept"] and not x["base_failed"]}
+    assert rejected(rows) == {200, 201, 202}
+    assert rejected([*rows[:9], rows[120]]) == {200}
+
+
 # 7: near duplicates
 
 
