@@ -34,15 +34,31 @@ STATS = "doc_id long, lang string, source string, n_words long, word_chars long,
 #: Statistics are held in units of 1/512, so that sums are exact and come out alike in any order.
 UNIT = 512
 KEEP, STEPS, LEAST_ROWS = 0.75, 6, 30
-#: Least standard deviation of each statistic: many texts have none of a thing at all.
-FLOOR = (0.25, 0.05, 0.04, 0.15, 0.12)
-#: Squared distance beyond which a row is rejected: chi-squared with five degrees, about 1 in 10**9.
-LIMIT = 50.0
+#: Least standard deviation of each statistic, about its noise in one text of 300 words: many texts have none of a thing at all.
+#: A count's is 1 / sqrt(n), a share's 1 / (2 * sqrt(n)): 300 words; their mean length; 2,000 characters with symbols in
+#: clumps of four; 40 lines; 300 words with repeats in clumps of six.
+FLOOR = (0.06, 0.03, 0.022, 0.08, 0.07)
 #: Spread that a table of few rows is given besides its own.
 WIDE = (1.0, 0.2, 0.1, 0.25, 0.2)
 #: Stands for any source, or any language and source; names of real ones are empty or begin with "=".
 POOLED = "*"
 DIMS = len(FLOOR)
+#: Share of a normal sample that is rejected.
+TAIL = 1e-6
+
+
+def _chi_squared_limit(tail: float) -> float:
+    """The value that a chi-squared sum with five degrees of freedom exceeds with probability ``tail``."""
+    lo, hi = 0.0, 1000.0
+    for _ in range(100):
+        x = (lo + hi) / 2
+        above = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+        lo, hi = (x, hi) if above > tail else (lo, x)
+    return lo
+
+
+#: Squared distance beyond which a row is rejected.
+LIMIT = _chi_squared_limit(TAIL)
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 PARAMS = ", ".join(["g_lang string, g_source string, trial int, det double, n long", *(f"m{i} double" for i in range(DIMS)), *(f"p{i}{j} double" for i, j in PAIRS)])
 

@@ -261,6 +261,25 @@ def test_quality_small_groups(spark):
     assert rejected([*rows[:9], rows[120]]) == {200}
 
 
+def test_quality_outliers_in_each_statistic(spark):
+    assert abs(quality._chi_squared_limit(0.05) - 11.0705) < 1e-3
+    rng = random.Random(15)
+    words = [f"{w}{k}" for w in WORDS for k in range(40)]
+    line = lambda: " ".join(rng.choices(words, k=8))
+    texts = ["\n".join(line() for _ in range(rng.randint(30, 50))) for _ in range(300)]
+    planted = {
+        300: "\n".join(line() for _ in range(2000)),
+        301: " ".join(w + "internationalisation" for w in texts[0].split(" ")),
+        302: texts[1].replace("a", "a#"),
+        303: "\n".join([*texts[2].split("\n"), *["one"] * 20]),
+        304: texts[3] + "\n" + (" ".join(texts[3].split()[:80]) + " x ") + "\n",
+    }
+    rows = [(i, t, "en", "s") for i, t in [*enumerate(texts), *planted.items()]]
+    got = by_id(quality.judged(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert not any(got[i]["base_failed"] for i in planted)
+    assert {i for i, r in got.items() if not r["kept"]} == set(planted)
+
+
 # 7: near duplicates
 
 
