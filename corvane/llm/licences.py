@@ -4,6 +4,10 @@ A text is cut into sentences, each is normalised (ASCII lower case, letters and
 digits only, single blanks) and looked up among known licence sentences. The
 identifiers found, in order, are matched against licence rules: a rule holds
 where its sentences follow one another, with no other known sentence between.
+A known sentence may also run on over line breaks, indents and comment marks, as
+published licences do, where no stop or blank line comes between; a longer known
+sentence goes before a shorter one that begins it. The number of sentences
+counts lines as the SQL does; the SQL finds no sentence over such a break.
 
 Defined results: a null or empty text has no sentences; licences are listed
 once each, in order of name; repeated rows are scanned each on its own; further
@@ -57,7 +61,7 @@ RULES = (
 )
 _END = r"[.!?]+([ \t]|\z)|[\r\n]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A licence's sentence may be broken over lines; only a blank line or a stop ends it.
+#: Line breaks that end no sentence.
 _WRAP = r"([a-z,])\r?\n([a-z])"
 
 
@@ -68,10 +72,27 @@ def sentences(text: Column) -> Column:
     return F.filter(plain, lambda s: s != "")
 
 
+#: Marks of an end of a sentence, and of a line break that may be one or a blank.
+_STOP, _BREAK = "\x01", "\x02"
+_KNOWN = "|".join(s.replace(" ", f"[ {_BREAK}]") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+
+
+def known_sentences(text: Column) -> Column:
+    """The known sentences of a text, in order."""
+    out = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), _WRAP, "$1 $2"), _STOP + _BREAK, "  ")
+    out = F.regexp_replace(out, r"\r\n?", "\n")
+    # Stops, also before a line's end, and lines with no letter or digit.
+    out = F.regexp_replace(out, r"[.!?]+([ \t]|\z)|[.!?][\"')\]]*[ \t]*\n|\n(?=[^A-Za-z0-9\n]*\n)", _STOP)
+    out = F.regexp_replace(F.translate(out, _UPPER + "\n", _LOWER + _BREAK), f"[^a-z0-9{_STOP}{_BREAK}]+", " ")
+    out = F.regexp_replace(out, f" ?([{_STOP}{_BREAK}]) ?", "$1")
+    found = F.regexp_extract_all(F.trim(out), F.lit(f"(?<![a-z0-9 ])(?:{_KNOWN})(?![a-z0-9 ])"), F.lit(0))
+    return F.transform(found, lambda s: F.translate(s, _BREAK, " "))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     known = F.create_map(*(x for i, s in SENTENCES.items() for x in (F.lit(s), F.lit(i))))
-    split = docs.select("doc_id", sentences(F.col("text")).alias("s"))
-    found = split.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.filter(F.transform("s", lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull()).alias("ids"))
+    split = docs.select("doc_id", sentences(F.col("text")).alias("s"), known_sentences(F.col("text")).alias("k"))
+    found = split.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.transform("k", lambda s: F.try_element_at(known, s)).alias("ids"))
     joined = found.withColumn("sentence_ids", F.array_join(F.col("ids").cast("array<string>"), ","))
     holds = lambda seq: F.instr(F.concat(F.lit(","), F.col("sentence_ids"), F.lit(",")), "," + ",".join(map(str, seq)) + ",") > 0
     present = lambda pairs: F.filter(F.array(*(F.when(holds(seq), F.lit(v)) for v, seq in pairs)), lambda x: x.isNotNull())

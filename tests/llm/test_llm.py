@@ -193,6 +193,46 @@ def test_licences(spark):
     assert (got[0]["rule_ids"], got[5]["sentence_ids"], got[3]["n_sentences"]) == ("3", "1,1", 0)
 
 
+def test_published_licences(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL"""
+    gpl = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    apache = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n'
+    comment = lambda text, mark: "\n".join(f"{mark} {x}" for x in text.split("\n"))
+    apart = ["Released under the\n\nMIT License", "Released under the.\nMIT License", "# Released under the\n#\n# MIT License", "Not released under the\nMIT License"]
+    texts = [mit, gpl, bsd, apache, comment(mit, "//"), "/*\n" + comment(gpl, " *") + "\n */", comment(bsd, "#"), bsd.replace("\n", "\r\n"), *apart]
+    got = by_id(licences.scan(make_docs(spark, texts)))
+    assert [got[i]["rule_ids"] for i in range(len(texts))] == ["3", "5", "9", "7", "3", "5", "9", "9", "", "", "", ""]
+
+
 # 5: toxicity
 
 
