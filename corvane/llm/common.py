@@ -1,8 +1,10 @@
-"""What the training-data operators share: scratch tables and text arrays."""
+"""What the training-data operators share: scratch tables, tasks of bounded memory, and text arrays."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import hashlib
 import tempfile
 import time
 import uuid
@@ -14,25 +16,64 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Bytes of text that one slice of a batch holds at most (a longer text stands alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Bytes of an Arrow batch on its way to a worker, at most but for its last row.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a worker remembers from task to task, by operator.
+CACHES: dict[str, dict] = {}
+
+
+def _release(keep: str = "") -> None:
+    """Give a worker's free memory back: workers live on, and the next task may be another operator's."""
+    _POWERS.clear()
+    for name in [n for n in CACHES if n != keep]:
+        del CACHES[name]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def in_arrow(df: DataFrame, run, schema, keep: str = "") -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes, whose worker keeps nothing after its task but the cache ``keep``.
+
+    The bound is a setting of the session, as Spark has none for a single plan; a smaller one stays as it is.
+    """
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    have = str(conf.get(key, None) or "").rstrip("bB")
+    if not have.isdigit() or int(have) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release(keep)
+
+    return df.mapInArrow(task, schema)
+
+
 class Scratch:
     """Tables in the shared folder of ``spark.checkpoint.dir``.
 
     A written table cuts the lineage, outlives its executors, and tells the
-    planner its real size. The session's folder is taken; only where none is
-    set, as in tests on one machine, a temporary one is.
+    planner its real size. The session's folder is taken; where none is set, a
+    temporary one is on one machine, and a cluster is refused.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.gettempdir() + "/corvane-checkpoints"
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -56,9 +97,10 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
-    """The batch in runs of rows with about ``limit`` bytes of text each."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+def slices(batch: pa.RecordBatch, column: str | tuple[str, ...] = "text", limit: int = SLICE_BYTES):
+    """The batch in runs of rows with about ``limit`` bytes of text each, in one or several columns."""
+    columns = (column,) if isinstance(column, str) else column
+    sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), dtype=np.int64) for c in columns)
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
@@ -125,6 +167,28 @@ class Prefix:
         return mix64((self.sums[k:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U64)
 
 
+#: Stretches up to this length are hashed by running sums, longer ones one by one, and the bytes that are summed at once.
+SHORT, SUMMED = 48, 1 << 18
+
+
+def stretch_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch, which come in order of their starts.
+
+    Running sums modulo 2**64 tell short stretches apart; of long ones some have
+    equal sums for any base (the Thue-Morse words), so these take BLAKE2b.
+    """
+    out = np.zeros(len(start), U64)
+    size = end - start
+    short = np.flatnonzero(size <= SHORT)
+    cuts = np.searchsorted(start[short], np.arange(0, len(data) + SUMMED, SUMMED))
+    for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        which, at = short[cuts[k] : cuts[k + 1]], k * SUMMED
+        out[which] = Prefix(data[at : at + SUMMED + SHORT]).of(start[which] - at, end[which] - at)
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, groups
+from .common import Scratch, groups, in_arrow
 
 #: Rows of a shard, queries of a block, and terms probed at once.
 SHARD_ROWS, BLOCK_QUERIES, PROBE = 2048, 256, 8
@@ -72,7 +72,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
     """Rows in blocks of about ``size``, one row each."""
     blocks = max(1, -(-rows.count() // size))
     keyed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    return keyed.repartition("block", "width").sortWithinPartitions("block", "width", "vec_id").mapInArrow(_pack, _PACKED)
+    return keyed.repartition("block", "width").sortWithinPartitions("block", "width", "vec_id").transform(in_arrow, _pack, _PACKED)
 
 
 def search_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, known: dict[int, float]):
@@ -121,7 +121,7 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, i
 def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best other rows."""
     scratch = Scratch(spark, "maxscore")
-    whole = scratch.cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_whole, _VECTORS), "whole")
+    whole = scratch.cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").transform(in_arrow, _whole, _VECTORS), "whole")
     shards = _packed(whole, SHARD_ROWS)
     asked = scratch.cut(_packed(whole.where(is_query), BLOCK_QUERIES), "queries").select("width", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     last = asked.agg(F.max("q_block")).first()[0]
@@ -135,7 +135,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5)
                 found = search_shard(as_rows(r["q_vectors"]), np.frombuffer(r["q_ids"], "<i8"), as_rows(r["vectors"]), np.frombuffer(r["ids"], "<i8"), k, known)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
-    found = each.join(asked, ["q_block", "width"]).mapInArrow(run, "query_id long, vec_id long, score long")
+    found = each.join(asked, ["q_block", "width"]).transform(in_arrow, run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Prefix, Scratch, fold_ascii, groups, mix64, slices, utf8, windows, word_spans
+from .common import U64, Scratch, fold_ascii, groups, in_arrow, mix64, slices, stretch_hashes, utf8, windows, word_spans
 from .components import components
 
 WORDS = 5
@@ -72,7 +72,7 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(offsets) - 1
     data = fold_ascii(data)
     starts, ends, of = word_spans(data, offsets)
-    hashes = Prefix(data).of(starts, ends)
+    hashes = stretch_hashes(data, starts, ends)
     five = windows(hashes, WORDS)
     good = of[: len(five)] == of[WORDS - 1 :] if len(five) else np.zeros(0, bool)
     rows, values = [of[: len(five)][good]], [five[good]]
@@ -145,7 +145,7 @@ def _agree(batches, link: Limits):
 def _confirm(batches, link: Limits):
     """Candidates whose full sets overlap enough."""
     for batch in batches:
-        for part in slices(batch, "tb", 1 << 20):
+        for part in slices(batch, ("ta", "tb")):
             n = part.num_rows
             ra, va = shingles(part.column("ta"))
             rb, vb = shingles(part.column("tb"))
@@ -230,17 +230,17 @@ def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             keep = (shared.value[s >> 6] >> (s & 63).astype(U64)) & U64(1) == 1
             yield batch.filter(pa.array(keep)).select(["doc_id", "text"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")).mapInArrow(passing, "doc_id long, text string")
+    return docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")).transform(in_arrow, passing, "doc_id long, text string")
 
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, link: Limits) -> DataFrame:
     """The confirmed ones of candidate pairs (a, b)."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("minima").alias(f"s{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {link.percent} * greatest(na, nb)")
-    likely = scratch.cut(sized.select("a", "b", "sa", "sb").mapInArrow(lambda rows: _agree(rows, link), "a long, b long"), "likely")
+    likely = scratch.cut(sized.select("a", "b", "sa", "sb").transform(in_arrow, lambda rows: _agree(rows, link), "a long, b long"), "likely")
     few = _of(docs, likely.select("a").unionByName(likely.select(F.col("b").alias("a"))))
     text = lambda x: few.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    return likely.join(text("b"), "b").join(text("a"), "a").mapInArrow(lambda rows: _confirm(rows, link), "u long, v long")
+    return likely.join(text("b"), "b").join(text("a"), "a").transform(in_arrow, lambda rows: _confirm(rows, link), "u long, v long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -248,7 +248,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     link = limits(percent)
     scratch = Scratch(spark, "neardup")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.cut(source.mapInArrow(lambda rows: _signatures(rows, link), SIGNATURES), "signatures")
+    signed = scratch.cut(source.transform(in_arrow, lambda rows: _signatures(rows, link), SIGNATURES), "signatures")
     key = ["n_shingles", "c1", "c2"]
     classes = scratch.cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     reps = scratch.cut(signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *key], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "minima").dropDuplicates(["rep", "n_shingles"]), "reps")
@@ -269,9 +269,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     mixed = placed.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("lead")
     open_ = scratch.cut(placed.join(mixed, "lead", "left_semi"), "open")
     signed_open = _blocks(open_).join(reps.select("rep", "n_shingles", "minima"), "rep")
-    maybe = scratch.cut(_by_block(signed_open).mapInArrow(lambda rows: _partnered(rows, link), "lead long, rep long, comp long").distinct(), "maybe")
+    maybe = scratch.cut(_by_block(signed_open).transform(in_arrow, lambda rows: _partnered(rows, link), "lead long, rep long, comp long").distinct(), "maybe")
     texts = _of(source, maybe.select("rep")).withColumnRenamed("doc_id", "rep")
-    more = scratch.cut(_by_block(_blocks(maybe.join(texts, "rep"))).mapInArrow(lambda rows: _merging(rows, link), "u long, v long").distinct(), "more")
+    more = scratch.cut(_by_block(_blocks(maybe.join(texts, "rep"))).transform(in_arrow, lambda rows: _merging(rows, link), "u long, v long").distinct(), "more")
     if more.isEmpty():
         final = joined
     else:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, slices
+from .common import Scratch, in_arrow, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, local_rank long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -191,7 +191,7 @@ def cut_pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int) ->
                     names=[f.split()[0] for f in PIECES.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_arrow, cut, PIECES)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
@@ -223,4 +223,4 @@ def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = 2048, v
                 names=[f.split()[0] for f in PLACED.split(", ")],
             )
 
-    return ranked.mapInArrow(assign, PLACED)
+    return ranked.transform(in_arrow, assign, PLACED)

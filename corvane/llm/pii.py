@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_arrow
+
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns of the base spans.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -331,7 +333,7 @@ def scan(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_arrow, run, schema)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -358,5 +360,5 @@ def redact(docs: DataFrame) -> DataFrame:
             cols[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    out = docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    out = docs.transform(in_arrow, run, T.StructType(docs.schema.fields))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

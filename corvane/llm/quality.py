@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Prefix, Scratch, mix64, slices, utf8, windows, word_spans
+from .common import U64, Scratch, in_arrow, mix64, slices, stretch_hashes, utf8, windows, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
@@ -63,6 +63,12 @@ PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 PARAMS = ", ".join(["g_lang string, g_source string, trial int, det double, n long", *(f"m{i} double" for i in range(DIMS)), *(f"p{i}{j} double" for i, j in PAIRS)])
 
 
+_SYMBOL, _WORD_LEAD = np.zeros(256, bool), np.ones(256, bool)
+_SYMBOL[list(SYMBOLS)] = True
+# The first byte of each character that isn't a blank.
+_WORD_LEAD[[*range(9, 14), 32, *range(0x80, 0xC0)]] = False
+
+
 def _first_rows(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each key, whether it occurred before, and how often it occurs in all."""
     order = np.argsort(keys, kind="stable")
@@ -79,14 +85,14 @@ def text_statistics(column: pa.Array) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the lines with a word, by text."""
     data, offsets = utf8(column)
     n = len(offsets) - 1
-    prefix = Prefix(data)
     starts, ends, of = word_spans(data, offsets)
     total = lambda rows, **more: np.bincount(rows, minlength=n, **more).astype(np.int64)
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    lead = (data & 0xC0) != 0x80
-    space = ((data >= 9) & (data <= 13)) | (data == 32)
-    word_chars = total(row[lead & ~space])
-    symbols = total(row[np.isin(data, np.frombuffer(SYMBOLS, np.uint8))])
+    def marked(table) -> np.ndarray:
+        """How many bytes of each text the table marks."""
+        upto = np.flatnonzero(table[data])
+        return np.diff(np.searchsorted(upto, offsets))
+
+    word_chars, symbols = marked(_WORD_LEAD), marked(_SYMBOL)
     # Lines: cut at each \n and at each text's end; those with a word count.
     cuts = np.flatnonzero(data == 10)
     line_start = np.sort(np.concatenate([offsets[:-1], cuts + 1]))
@@ -96,9 +102,9 @@ def text_statistics(column: pa.Array) -> list[np.ndarray]:
     has = np.searchsorted(starts, line_start) < np.searchsorted(starts, line_end)
     line_start, line_end, line_row = line_start[has], line_end[has], line_row[has]
     salt = mix64(np.arange(1, n + 1, dtype=U64))
-    dup, _ = _first_rows(prefix.of(line_start, line_end) ^ salt[line_row])
+    dup, _ = _first_rows(stretch_hashes(data, line_start, line_end) ^ salt[line_row])
     # Words in windows of three that occur twice or more in their text.
-    hashes = prefix.of(starts, ends)
+    hashes = stretch_hashes(data, starts, ends)
     three = windows(hashes, 3)
     good = of[: len(three)] == of[2:] if len(three) else np.zeros(0, bool)
     at = np.flatnonzero(good)
@@ -121,7 +127,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), *(pa.array(x, pa.int64()) for x in found)], names=names)
 
     cols = [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("lang", "source", "text"))]
-    return docs.select(*cols).mapInArrow(run, STATS)
+    return docs.select(*cols).transform(in_arrow, run, STATS)
 
 
 def base_failed() -> Column:

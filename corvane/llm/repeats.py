@@ -5,225 +5,390 @@ hash, the leftmost of equals. Where a string occurs it has the same anchor at
 the same place, so strings can only be equal among stretches (runs of string
 starts with one anchor) of the same anchor.
 
-1. Anchors of all texts are counted by hash; those in one document only can't
-   matter and go no further.
-2. Stretches of the others are cut out; equal ones are first made one, with
-   their least document.
-3. A task takes the distinct stretches of many anchors, block by block, builds
-   the run-compressed index of a block and streams the stretches through it:
-   each place whose matching statistic reaches LENGTH gets the least document
-   that holds the same string.
-4. An anchor with very many distinct stretches would make a block too large:
-   its strings are instead compared one by one, by equal value.
-5. Places whose least document is smaller than their own are marked, and each
-   document drops the bytes that marked strings cover.
+1. Texts are written in blocks of a few MB. Each block tells its distinct
+   anchors, eight bytes each, to the bucket of their hash. A bucket answers
+   with a bit for each: found in two documents or not; anchors in one document
+   go no further. Anchors in very many blocks (``crowd``) are cut again by FINE-byte
+   anchors, so that no bucket meets all contexts of a common line.
+2. Blocks send the distinct stretches of the others, with their documents and
+   places, to the anchors' buckets.
+3. A bucket makes equal stretches one. Part by part, the stretches of each
+   anchor's least document are held in a run-compressed index, and those of all
+   other documents are streamed through it: a place whose matching statistic
+   reaches LENGTH repeats that document. Stretches with places that don't are
+   indexed in turn, and streamed through the ranges that share LENGTH bytes.
+4. Places whose least document is smaller than their own go back to the blocks,
+   where each document drops the bytes that marked strings cover.
 
 Defined results: a null or empty text has no bytes; rows without ``doc_id`` are
 neither compared nor changed; rows that share a ``doc_id`` are one document,
 and don't remove each other; an empty table gives no rows; further columns are
-ignored. Nothing is gathered but a document's own marks.
+ignored. A text is never split between blocks, but is anchored a segment at
+a time; nothing is gathered but a block's own marks and a bucket's stretches.
 """
 
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, U64, Prefix, Scratch, slices, utf8
+from .common import U64, Prefix, Scratch, groups, in_arrow, mix64, slices, utf8
 from .run_index import RunIndex
 
-LENGTH, GRAM = 50, 20
-#: Distinct stretches of one anchor that are indexed together at most, and bytes of a block.
-MOST_STRETCHES, BLOCK_BYTES = 4000, 1 << 20
-#: Anchors are counted by 48 bits of their hash: two that share these only pass the count for nothing.
-_PLACE, SHORT = 28, 16
+LENGTH, GRAM, FINE = 50, 20, 42
+_PLACE = 20
+BLOCKS = "block long, n_bytes long, ids binary, ends binary, data binary"
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all stretches: the text, the first start (in the text), the number of starts, and the anchor's hash."""
-    none = np.zeros(0, np.int64)
-    if len(data) < LENGTH:
-        return none, none, none, none.view(U64)
-    gram = Prefix(data).every(GRAM)
+class Sizes(NamedTuple):
+    """What is worked on at once; results don't depend on it."""
+
+    #: Blocks that hold an anchor from which on it is cut finer.
+    crowd: int = 256
+    #: Bytes whose strings are anchored at once, of texts in a block, of texts for each bucket, and of stretches in an index.
+    segment: int = 1 << 18
+    block: int = 4 << 20
+    bucket: int = 32 << 20
+    index: int = 1 << 18
+
+
+def _anchored(data: np.ndarray, offsets: np.ndarray, gram: int, allowed: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Of all stretches of one segment: the first start, the number of starts, and the anchor's hash."""
     n = len(data) - LENGTH + 1
+    hashes = Prefix(data).every(gram)
     # The least hash of each window, with its place: by halves, as in a doubling table.
-    least = ((gram >> U64(_PLACE)) << U64(_PLACE)) | (np.arange(len(gram), dtype=U64) & U64((1 << _PLACE) - 1))
-    span, width = 1, LENGTH - GRAM + 1
+    least = ((hashes >> U64(_PLACE)) << U64(_PLACE)) | np.arange(len(hashes), dtype=U64)
+    span, width = 1, LENGTH - gram + 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     least = np.minimum(least[:n], least[width - span : width - span + n])
-    low = (least & U64((1 << _PLACE) - 1)).astype(np.int64)
-    start = np.arange(n)
-    anchor = start + ((low - start) & ((1 << _PLACE) - 1))
-    text = np.searchsorted(offsets, start, side="right") - 1
-    whole = start + LENGTH <= offsets[text + 1]
+    anchor = (least & U64((1 << _PLACE) - 1)).astype(np.int32)
+    sizes = np.diff(offsets)
+    ends = np.repeat(offsets[1:].astype(np.int32), sizes)[:n]
+    whole = np.arange(LENGTH, n + LENGTH, dtype=np.int32) <= ends
+    if allowed is not None:
+        whole &= allowed[:n]
     new = whole.copy()
-    new[1:] &= (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | ~whole[:-1]
+    new[1:] &= (anchor[1:] != anchor[:-1]) | ~whole[:-1] | (ends[1:] != ends[:-1])
+    last = whole.copy()
+    last[:-1] &= ~whole[1:] | new[1:]
     first = np.flatnonzero(new)
-    last = np.flatnonzero(whole & ~np.concatenate([whole[1:] & ~new[1:], [False]]))
-    return text[first], first - offsets[text[first]], last - first + 1, gram[anchor[first]]
+    return first, np.flatnonzero(last) - first + 1, hashes[anchor[first]]
 
 
-def _anchor_rows(batches):
-    for batch in batches:
-        for part in slices(batch):
-            data, offsets = utf8(part.column("text"))
-            text, start, _, h = anchors(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array((h >> U64(SHORT)).view(np.int64)), part.column("doc_id").take(pa.array(text)), pa.array(start, pa.int32())], names=["h", "doc_id", "start"])
+def stretches(data: np.ndarray, offsets: np.ndarray, segment: int, gram: int = GRAM, allowed: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The first start, the number of starts and the anchor's hash (even numbers) of each stretch of a block's texts."""
+    found = []
+    for a in range(0, max(0, len(data) - LENGTH + 1), segment):
+        b = min(len(data), a + segment + LENGTH - 1)
+        i, j = np.searchsorted(offsets, a, side="right"), np.searchsorted(offsets, b, side="left")
+        local = np.concatenate([[0], offsets[i:j] - a, [b - a]])
+        if allowed is None or allowed[a:b].any():
+            first, count, h = _anchored(data[a:b], local, gram, None if allowed is None else allowed[a:b])
+            found.append((first + a, count, h))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+    first, count, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    return first, count, h & ~U64(1)
 
 
-def _cut_rows(batches):
-    """The stretches of each text whose starts are asked for."""
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets ascend with hashes."""
+    return ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+
+def _edges(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    return np.concatenate([np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64), [len(keys)]])
+
+
+def _packed(batches, size: int):
+    """Rows to blocks of whole texts."""
+    at = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for part in slices(batch, "text", SLICE_BYTES // 4):
+        for part in slices(batch, "text", size):
             data, offsets = utf8(part.column("text"))
-            text, start, count, h = anchors(data, offsets)
-            asked = part.column("starts")
-            row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(asked.offsets, dtype=np.int64)))
-            wanted = (row << 40) | np.asarray(asked.flatten(), dtype=np.int64)
-            keep = np.isin((text << 40) | start, wanted)
-            text, start, count, h = text[keep], start[keep], count[keep], h[keep]
-            at, raw = offsets[text] + start, memoryview(data.tobytes())
-            content = [raw[a:b] for a, b in zip(at.tolist(), (at + count + LENGTH - 1).tolist(), strict=True)]
-            rows, c = pa.array(text), Prefix(data).of(at, at + count + LENGTH - 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), part.column("doc_id").take(rows), part.column("t").take(rows), pa.array(start, pa.int32()), pa.array(content, pa.binary())],
-                names=["h", "c", "doc_id", "t", "start", "content"],
-            )
-
-
-def _in_blocks(batches, key: str, size: int):
-    """Batches sorted by ``key``, regrouped into tables of about ``size`` bytes that split no key."""
-    held: list[pa.RecordBatch] = []
-    total = 0
+            ids = np.asarray(part.column("doc_id").fill_null(0), dtype="<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([len(data)]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, offsets[1:].astype("<i8"), data))], names=["block", "n_bytes", "ids", "ends", "data"])
+            at += 1
+
+
+class _Block:
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        raw = lambda name, kind: np.frombuffer(batch.column(name)[row].as_buffer(), kind)
+        self.number = batch.column("block")[row].as_py()
+        self.ids, self.data = raw("ids", "<i8"), raw("data", np.uint8)
+        self.offsets = np.concatenate([[0], raw("ends", "<i8")])
+
+    def text_of(self, start: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, start, side="right") - 1
+
+    def anchors(self, segment: int) -> tuple[np.ndarray, ...]:
+        """All stretches by anchor: starts, counts, hashes; and where each distinct anchor's begin."""
+        start, count, h = stretches(self.data, self.offsets, segment)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        return start[order], count[order], h, _edges(h)
+
+
+def _blocks_of(batches):
     for batch in batches:
-        held.append(batch)
-        total += batch.nbytes
-        if total >= size:
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = np.asarray(table.column(key))
-            cut = int(np.searchsorted(keys, keys[-1], side="left"))
-            at = 0
-            while cut - at > 0:
-                # A large batch gives several blocks, each up to the end of a key.
-                rows = max(1, int(size / max(1.0, table.nbytes / table.num_rows)))
-                end = min(cut, int(np.searchsorted(keys, keys[min(cut - 1, at + rows)], side="right")))
-                yield table.slice(at, end - at)
-                at = end
-            held = table.slice(cut).combine_chunks().to_batches()
-            total = sum(b.nbytes for b in held) if cut else 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _least_rows(batches):
-    """Each stretch with the least document of each of its strings, from its block's index."""
-    for table in _in_blocks(batches, "h", BLOCK_BYTES):
-        if not table.num_rows:
+        for row in range(batch.num_rows):
+            yield batch, row, _Block(batch, row)
+
+
+def _tell(batches, buckets: int, segment: int):
+    """A block's distinct anchors by bucket; the last bit says that two of its documents hold one."""
+    for _, _, block in _blocks_of(batches):
+        start, _, h, edges = block.anchors(segment)
+        if not len(h):
             continue
-        texts = table.column("content").to_pylist()
-        index = RunIndex(texts, np.asarray(table.column("first"), dtype=np.int64), LENGTH)
-        match, _, least = index.stream(texts)
-        begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        found = [least[begin[i] : begin[i] + len(t) - LENGTH + 1].astype("<i8").tobytes() for i, t in enumerate(texts)]
-        assert all(match[begin[:-1]] >= LENGTH), "a stretch must find itself"
-        yield pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks() for k in ("h", "c")), pa.array(found, pa.binary())], names=["h", "c", "least"])
+        ids = block.ids[block.text_of(start)]
+        several = np.minimum.reduceat(ids, edges[:-1]) < np.maximum.reduceat(ids, edges[:-1])
+        told = h[edges[:-1]] | several.astype(U64)
+        bucket = _bucket(told, buckets)
+        cut = _edges(bucket)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[cut[:-1]]), pa.array(np.full(len(cut) - 1, block.number)), pa.array([told[a:b].astype("<u8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
+            names=["bucket", "block", "told"],
+        )
 
 
-def _string_rows(batches):
-    for batch in batches:
-        for part in slices(batch, "content", SLICE_BYTES // LENGTH):
-            texts = part.column("content").to_pylist()
-            at = [(i, j) for i, t in enumerate(texts) for j in range(len(t) - LENGTH + 1)]
-            rows = pa.array([i for i, _ in at], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(k).take(rows) for k in ("h", "c", "first")), pa.array([j for _, j in at], pa.int32()), pa.array([texts[i][j : j + LENGTH] for i, j in at], pa.binary())],
-                names=["h", "c", "first", "place", "string"],
-            )
-
-
-def _marks(batches):
-    """Starts of a stretch whose string a smaller document holds."""
-    for batch in batches:
-        docs, starts = np.asarray(batch.column("doc_id")), np.asarray(batch.column("start"))
-        keep, found = [], []
-        for i, raw in enumerate(batch.column("least").to_pylist()):
-            hit = np.flatnonzero(np.frombuffer(raw, "<i8") < docs[i])
-            if len(hit):
+def _answer(batches, crowd: int):
+    """For each block's anchors in a bucket: a bit for those in two documents, then one for those in ``crowd`` blocks (if any)."""
+    for group in groups(batches, ["bucket"]):
+        raw = group.column("told").to_pylist()
+        told = np.frombuffer(b"".join(raw), "<u8").astype(U64)
+        h = told >> U64(1)
+        order = np.argsort(h)
+        edges = _edges(h[order])
+        size = np.diff(edges)
+        several = np.maximum.reduceat((told & U64(1))[order], edges[:-1]) > 0
+        shared, crowded = np.empty(len(h), bool), np.empty(len(h), bool)
+        shared[order], crowded[order] = np.repeat((size > 1) | several, size), np.repeat((size >= crowd) & ((size > 1) | several), size)
+        ends = np.cumsum([len(x) // 8 for x in raw])
+        bits, keep = [], []
+        for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            if shared[a:b].any():
                 keep.append(i)
-                found.append((hit + starts[i]).astype("<i4").tobytes())
-        rows = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("t").take(rows), pa.array(found, pa.binary())], names=["doc_id", "t", "mark"])
+                bits.append(np.packbits(shared[a:b]).tobytes() + (np.packbits(crowded[a:b]).tobytes() if crowded[a:b].any() else b""))
+        rows = group.take(pa.array(keep, pa.int64())).combine_chunks()
+        if len(keep):
+            yield pa.RecordBatch.from_arrays([rows.column("bucket").chunk(0), rows.column("block").chunk(0), pa.array(bits, pa.binary())], names=["bucket", "block", "bits"])
+
+
+def _send(batches, buckets: int, segment: int):
+    """The distinct stretches of a block that another document may share, by bucket."""
+    names = [c.split()[0] for c in SENT.split(", ")]
+    for batch, row, block in _blocks_of(batches):
+        start, count, h, edges = block.anchors(segment)
+        bucket = _bucket(h[edges[:-1]], buckets)
+        cut = _edges(bucket)
+        where = dict(zip(bucket[cut[:-1]].tolist(), zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True), strict=True))
+        shared, crowded = np.zeros(len(edges) - 1, bool), np.zeros(len(edges) - 1, bool)
+        for x in batch.column("answers")[row].as_py():
+            a, b = where[x["bucket"]]
+            bits, half = np.frombuffer(x["bits"], np.uint8), (b - a + 7) // 8
+            shared[a:b] = np.unpackbits(bits[:half], count=b - a)
+            if len(bits) > half:
+                crowded[a:b] = np.unpackbits(bits[half:], count=b - a)
+        size = np.diff(edges)
+        plain, fine = np.repeat(shared & ~crowded, size), np.repeat(crowded, size)
+        if fine.any():
+            allowed = np.zeros(len(block.data) + 1, np.int64)
+            np.add.at(allowed, start[fine], 1)
+            np.add.at(allowed, start[fine] + count[fine], -1)
+            s, c, f = stretches(block.data, block.offsets, segment, FINE, np.cumsum(allowed)[:-1] > 0)
+            start, count, h = (np.concatenate(x) for x in zip((start[plain], count[plain], h[plain]), (s, c, mix64(f) & ~U64(1)), strict=True))
+            order = np.argsort(h, kind="stable")
+            start, count, h = start[order], count[order], h[order]
+        else:
+            start, count, h = start[plain], count[plain], h[plain]
+        if not len(h):
+            continue
+        # Equal stretches of the block travel once, with all their documents and places.
+        raw, seen, contents, keep = memoryview(block.data.tobytes()), {}, [], []
+        of = np.empty(len(h), np.int64)
+        for i, (a, b) in enumerate(zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)):
+            content = bytes(raw[a:b])
+            of[i] = u = seen.setdefault(content, len(contents))
+            if u == len(contents):
+                contents.append(content)
+                keep.append(i)
+        order = np.argsort(of, kind="stable")
+        places, docs = start[order].astype("<i8"), block.ids[block.text_of(start[order])].astype("<i8")
+        times = np.bincount(of, minlength=len(contents)).astype("<u4")
+        ends = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
+        h = h[keep].astype("<u8")
+        sizes = np.fromiter(map(len, contents), "<u2", len(contents))
+        bucket = _bucket(h, buckets)
+        cut = _edges(bucket)
+        rows = [
+            (h[a:b].tobytes(), sizes[a:b].tobytes(), b"".join(contents[a:b]), times[a:b].tobytes(), docs[ends[a] : ends[b]].tobytes(), places[ends[a] : ends[b]].tobytes())
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array(np.full(len(rows), block.number)), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], names=names)
+
+
+SENT = "bucket long, block long, h binary, sizes binary, contents binary, times binary, docs binary, places binary"
+
+
+def least_documents(texts: list[bytes], owners: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """For each start of each distinct stretch, the least owner of a stretch with the same string; anchors come in one run each, owners ascending."""
+    edges = _edges(h)
+    size = np.diff(edges)
+    leads = owners == np.repeat(owners[edges[:-1]], size)
+    out = [np.full(len(t) - LENGTH + 1, o) for t, o in zip(texts, owners.tolist(), strict=True)]
+    rest = np.flatnonzero(~leads)
+    if not len(rest):
+        return out
+
+    def streamed(index: RunIndex, which: np.ndarray) -> np.ndarray:
+        """The stretches with places that the index doesn't hold."""
+        patterns = [texts[i] for i in which]
+        _, _, least = index.stream(patterns)
+        at, left = 0, []
+        for i, p in zip(which.tolist(), patterns, strict=True):
+            found = least[at : at + len(p) - LENGTH + 1]
+            at += len(p)
+            hit = found >= 0
+            out[i][hit] = found[hit]
+            if not hit.all():
+                left.append(i)
+        return np.asarray(left, dtype=np.int64)
+
+    # Ranks stand for owners: -1 is no owner, and ids may be negative.
+    ranks, owners_by_rank = np.unique(owners, return_inverse=True)[1], np.unique(owners)
+    for i, r in enumerate(ranks.tolist()):
+        out[i][:] = r
+    first = np.flatnonzero(leads)
+    left = streamed(RunIndex([texts[i] for i in first], ranks[first], LENGTH), rest)
+    # A stretch alone in its anchor has nothing more to share.
+    groups_of = np.repeat(np.arange(len(size)), size)[left]
+    left = left[np.bincount(groups_of, minlength=len(size))[groups_of] > 1] if len(left) else left
+    if len(left):
+        held = {i: out[i].copy() for i in left.tolist()}
+        streamed(RunIndex([texts[i] for i in left], ranks[left], LENGTH), left)
+        for i, before in held.items():
+            np.minimum(out[i], before, out=out[i])
+    return [owners_by_rank[x] for x in out]
+
+
+def _find(batches, index_bytes: int):
+    """Starts in each block whose string a smaller document holds, as runs."""
+    for group in groups(batches, ["bucket"]):
+        column = lambda name, kind: [np.frombuffer(x, kind) for x in group.column(name).to_pylist()]  # noqa: B023, E731
+        # Distinct stretches of all blocks, and all occurrences.
+        seen, contents, hashes, of = {}, [], [], []
+        for raw, sizes, h in zip(group.column("contents").to_pylist(), column("sizes", "<u2"), column("h", "<u8"), strict=True):
+            ends = np.cumsum(sizes, dtype=np.int64)
+            for a, b, key in zip((ends - sizes).tolist(), ends.tolist(), h.tolist(), strict=True):
+                content = raw[a:b]
+                u = seen.setdefault(content, len(contents))
+                if u == len(contents):
+                    contents.append(content)
+                    hashes.append(key)
+                of.append(u)
+        del seen
+        times = column("times", "<u4")
+        u = np.repeat(np.asarray(of, dtype=np.int64), np.concatenate(times))
+        doc, place = np.concatenate(column("docs", "<i8")), np.concatenate(column("places", "<i8"))
+        block = np.repeat(np.asarray(group.column("block")), [int(t.sum()) for t in times])
+        owner = np.full(len(contents), np.iinfo(np.int64).max)
+        np.minimum.at(owner, u, doc)
+        h = np.asarray(hashes, dtype=U64)
+        order = np.lexsort((owner, h))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        by = np.argsort(rank[u], kind="stable")
+        u, doc, place, block = rank[u][by], doc[by], place[by], block[by]
+        contents, owner, h = [contents[i] for i in order.tolist()], owner[order], h[order]
+        size = np.concatenate([[0], np.cumsum([len(c) for c in contents])])
+        anchors = _edges(h)
+        starts, blocks = [], []
+        a = 0
+        while a < len(contents):
+            # Whole anchors, up to about ``index_bytes``.
+            b = int(anchors[np.searchsorted(anchors, np.searchsorted(size, size[a] + index_bytes, side="left"), side="left")]) if size[a] + index_bytes < size[-1] else len(contents)
+            least = least_documents(contents[a:b], owner[a:b], h[a:b])
+            i, j = np.searchsorted(u, (a, b))
+            flat, lengths = np.concatenate(least), np.fromiter(map(len, least), np.int64, b - a)
+            begin = np.cumsum(lengths) - lengths
+            mine = u[i:j] - a
+            n = lengths[mine]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            hit = np.flatnonzero(flat[np.repeat(begin[mine], n) + step] < np.repeat(doc[i:j], n))
+            starts.append((np.repeat(place[i:j], n) + step)[hit])
+            blocks.append(np.repeat(block[i:j], n)[hit])
+            a = b
+        start, block = np.concatenate(starts), np.concatenate(blocks)
+        order = np.lexsort((start, block))
+        start, block = start[order], block[order]
+        new = np.ones(len(start), bool)
+        new[1:] = (block[1:] != block[:-1]) | (start[1:] != start[:-1] + 1)
+        first = np.flatnonzero(new)
+        runs = np.stack([start[first], np.diff(np.append(first, len(start)))], axis=1).astype("<i8")
+        cut = _edges(block[first])
+        if len(first):
+            yield pa.RecordBatch.from_arrays([pa.array(block[first][cut[:-1]]), pa.array([runs[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["block", "marks"])
 
 
 def _remaining(batches):
-    """What is left of each text, with its figures."""
-    for batch in batches:
-        for part in slices(batch):
-            data, offsets = utf8(part.column("text"))
-            cover = np.zeros(len(data) + 1, np.int64)
-            for i, marks in enumerate(part.column("marks").to_pylist()):
-                if marks:
-                    at = np.frombuffer(b"".join(marks), "<i4").astype(np.int64) + offsets[i]
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + LENGTH, -1)
-            gone = np.cumsum(cover)[:-1] > 0
-            begins = gone.copy()
-            begins[1:] &= ~gone[:-1]
-            begins[offsets[:-1][offsets[:-1] < len(data)]] |= gone[offsets[:-1][offsets[:-1] < len(data)]]
-            left = data[~gone]
-            size = np.diff(offsets)
-            upto = lambda x: np.concatenate([[0], np.cumsum(x)])
-            removed, spans = (np.diff(upto(x)[offsets]) for x in (gone, begins))
-            edges = upto(size - removed)
-            raw = memoryview(left.tobytes())
-            kept = [bytes(raw[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
-
-
-def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """What is left of each text of a block, with its figures."""
+    for batch, row, block in _blocks_of(batches):
+        n = len(block.ids)
+        marks = batch.column("marks")[row].as_py() or []
+        runs = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
+        runs = runs[np.argsort(runs[:, 0], kind="stable")]
+        low, high = runs[:, 0], runs[:, 0] + runs[:, 1] + LENGTH - 1
+        text = block.text_of(low)
+        reach = np.maximum.accumulate(high) if len(high) else high
+        new = np.ones(len(low), bool)
+        new[1:] = (low[1:] > reach[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(new)
+        low, text = low[first], text[first]
+        high = np.maximum.reduceat(high, first) if len(first) else high
+        removed, spans = np.bincount(text, weights=high - low, minlength=n).astype(np.int64), np.bincount(text, minlength=n)
+        at = np.concatenate([[0], np.cumsum(spans)]).tolist()
+        raw, low, high = memoryview(block.data.tobytes()), low.tolist(), high.tolist()
+        edges = block.offsets.tolist()
+        kept = []
+        for i in range(n):
+            cuts = [edges[i], *(x for k in range(at[i], at[i + 1]) for x in (low[k], high[k])), edges[i + 1]]
+            kept.append(b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(x, pa.int64()) for x in (block.ids, np.diff(block.offsets), removed, spans)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(kept, pa.binary())],
+            names=[c.split()[0] for c in DIGESTS.split(", ")],
+        )
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of each row."""
     scratch = Scratch(spark, "repeats")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = source.where("doc_id is not null")
-    found = known.mapInArrow(_anchor_rows, "h long, doc_id long, start int")
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    starts = scratch.cut(found.join(shared, "h").groupBy("doc_id").agg(F.collect_list("start").alias("starts")), "starts")
-    del found, shared
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = scratch.cut(source.where("doc_id is not null").transform(in_arrow, lambda rows: _packed(rows, sizes.block), BLOCKS), "blocks")
+    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // sizes.bucket))
+    dealt = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
+    told = blocks.transform(in_arrow, lambda rows: _tell(rows, buckets, sizes.segment), "bucket long, block long, told binary")
+    answers = dealt(told).transform(in_arrow, lambda rows: _answer(rows, sizes.crowd), "bucket long, block long, bits binary")
+    answers = scratch.cut(answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")), "answers")
+    del told
     scratch.free()
-    texts = known.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    stretches = scratch.cut(texts.join(starts, "doc_id").mapInArrow(_cut_rows, "h long, c long, doc_id long, t long, start int, content binary"), "stretches")
-    distinct = scratch.cut(stretches.groupBy("h", "c", "content").agg(F.min("doc_id").alias("first")), "distinct")
-    scratch.drop("starts")
+    sent = blocks.join(answers, "block").transform(in_arrow, lambda rows: _send(rows, buckets, sizes.segment), SENT)
+    found = dealt(sent).transform(in_arrow, lambda rows: _find(rows, sizes.index), "block long, marks binary")
+    marks = scratch.cut(found.groupBy("block").agg(F.collect_list("marks").alias("marks")), "marks")
+    del sent, found, answers
     scratch.free()
-    crowded = scratch.cut(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MOST_STRETCHES).select("h"), "crowded")
-    few = distinct.join(crowded, "h", "left_anti")
-    least = few.repartition("h").sortWithinPartitions("h", "first", "content").mapInArrow(_least_rows, "h long, c long, least binary")
-    if not crowded.isEmpty():
-        strings = distinct.join(crowded, "h", "left_semi").mapInArrow(_string_rows, "h long, c long, first long, place int, string binary")
-        owners = strings.groupBy("string").agg(F.min("first").alias("owner"))
-        each = strings.join(owners, "string").groupBy("h", "c").agg(F.array_sort(F.collect_list(F.struct("place", "owner"))).alias("at"))
-        packed = each.select("h", "c", F.transform("at", lambda x: x["owner"]).alias("owners")).mapInArrow(_pack_owners, "h long, c long, least binary")
-        least = least.unionByName(packed)
-    # A stretch is named by 128 bits: its anchor's hash and its own. Its bytes don't travel again.
-    marks = stretches.select("h", "c", "doc_id", "t", "start").join(least, ["h", "c"]).mapInArrow(_marks, "doc_id long, t long, mark binary")
-    marked = scratch.cut(marks.groupBy("doc_id", "t").agg(F.collect_list("mark").alias("marks")), "marks")
-    del marks, least, few
-    scratch.free()
-    for done in ("stretches", "distinct", "crowded"):
-        scratch.drop(done)
-    return source.withColumn("t", F.xxhash64("text")).join(marked, ["doc_id", "t"], "left").select("doc_id", "text", "marks").mapInArrow(_remaining, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def _pack_owners(batches):
-    for batch in batches:
-        packed = [np.asarray(x, dtype="<i8").tobytes() for x in batch.column("owners").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(packed, pa.binary())], names=["h", "c", "least"])
+    scratch.drop("answers")
+    left = blocks.join(marks, "block", "left").transform(in_arrow, _remaining, DIGESTS)
+    alone = source.where("doc_id is null").transform(in_arrow, lambda rows: _packed(rows, sizes.block), BLOCKS).withColumn("marks", F.lit(None).cast("array<binary>"))
+    return left.unionByName(alone.transform(in_arrow, _remaining, DIGESTS).withColumn("doc_id", F.lit(None).cast("long")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, slices
+from .common import Scratch, in_arrow, slices
 
 FILE_SCHEMA = "doc_id long, ids array<int>, n_tokens int, part int, part_start long"
 #: One (part, start) pair is sent out for each written file; more files than this are refused.
@@ -52,7 +52,7 @@ def write_token_orc(docs: DataFrame, path: str, vocabulary: str | None = None, e
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(encode, FILE_SCHEMA)
+        .transform(in_arrow, encode, FILE_SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
@@ -96,4 +96,4 @@ def token_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Write the files to the shared folder, read them back, and sum each document's ids."""
     path = Scratch(spark, "token-orc").path("files")
     write_token_orc(docs, path)
-    return read_token_orc(spark, path).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_orc(spark, path).transform(in_arrow, _crc, "doc_id long, start long, n_tokens long, ids_crc32 long")

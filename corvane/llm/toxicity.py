@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Prefix, slices, utf8
+from .common import U64, Prefix, in_arrow, slices, utf8
 
 ORDERS = (4, 5, 6)
 BITS = 18
@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 value = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value, pa.float64())], names=[*part.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_arrow, run, schema)
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -54,11 +54,14 @@ def brute_repeats(texts, length=50):
     return out
 
 
-@pytest.mark.parametrize("crowd", [4000, 2])
-def test_repeats_brute_force(spark, monkeypatch, crowd):
-    monkeypatch.setattr(repeats, "MOST_STRETCHES", crowd)
-    texts = odd_texts()
-    got = by_id(repeats.remove_repeats(spark, make_docs(spark, texts)))
+# As it runs, and with blocks, segments, buckets and indexes far smaller than the texts.
+@pytest.mark.parametrize("sizes", [repeats.Sizes(), repeats.Sizes(1, 100, 300, 2000, 150), repeats.Sizes(2, 64, 1000, 5000, 1)])
+def test_repeats_brute_force(spark, sizes):
+    rng = random.Random(31)
+    line = "a common line of a little over fifty bytes, as pages have"
+    crowded = ["".join(rng.choices("xyz ", k=rng.randint(0, 9))) + line + "".join(rng.choices("xyz ", k=rng.randint(0, 60))) for _ in range(60)]
+    texts = odd_texts() + crowded
+    got = by_id(repeats.remove_repeats(spark, make_docs(spark, texts), sizes))
     want = brute_repeats(texts)
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
     assert repeats.remove_repeats(spark, make_docs(spark, texts).limit(0)).count() == 0
