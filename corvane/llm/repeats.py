@@ -97,7 +97,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, segment: int, gram: int = G
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     first, count, h = (np.concatenate(x) for x in zip(*found, strict=True))
-    return first, count, h & ~U64(1)
+    # A least hash is a small one: mixed again, so that buckets get as many.
+    return first, count, mix64(h) & ~U64(1)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -207,7 +208,7 @@ def _send(batches, buckets: int, segment: int):
             np.add.at(allowed, start[fine], 1)
             np.add.at(allowed, start[fine] + count[fine], -1)
             s, c, f = stretches(block.data, block.offsets, segment, FINE, np.cumsum(allowed)[:-1] > 0)
-            start, count, h = (np.concatenate(x) for x in zip((start[plain], count[plain], h[plain]), (s, c, mix64(f) & ~U64(1)), strict=True))
+            start, count, h = (np.concatenate(x) for x in zip((start[plain], count[plain], h[plain]), (s, c, f), strict=True))
             order = np.argsort(h, kind="stable")
             start, count, h = start[order], count[order], h[order]
         else:
@@ -241,45 +242,44 @@ def _send(batches, buckets: int, segment: int):
 SENT = "bucket long, block long, h binary, sizes binary, contents binary, times binary, docs binary, places binary"
 
 
-def least_documents(texts: list[bytes], owners: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
-    """For each start of each distinct stretch, the least owner of a stretch with the same string; anchors come in one run each, owners ascending."""
+def _steps(n: np.ndarray) -> np.ndarray:
+    """0, 1 ... n - 1 for each n."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def least_documents(texts: list[bytes], owners: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of starts of each distinct stretch, and for each start the least owner of a stretch with the same string.
+
+    Anchors come in one run each, their owners ascending.
+    """
     edges = _edges(h)
     size = np.diff(edges)
-    leads = owners == np.repeat(owners[edges[:-1]], size)
-    out = [np.full(len(t) - LENGTH + 1, o) for t, o in zip(texts, owners.tolist(), strict=True)]
-    rest = np.flatnonzero(~leads)
-    if not len(rest):
-        return out
-
-    def streamed(index: RunIndex, which: np.ndarray) -> np.ndarray:
-        """The stretches with places that the index doesn't hold."""
-        patterns = [texts[i] for i in which]
-        _, _, least = index.stream(patterns)
-        at, left = 0, []
-        for i, p in zip(which.tolist(), patterns, strict=True):
-            found = least[at : at + len(p) - LENGTH + 1]
-            at += len(p)
-            hit = found >= 0
-            out[i][hit] = found[hit]
-            if not hit.all():
-                left.append(i)
-        return np.asarray(left, dtype=np.int64)
-
     # Ranks stand for owners: -1 is no owner, and ids may be negative.
-    ranks, owners_by_rank = np.unique(owners, return_inverse=True)[1], np.unique(owners)
-    for i, r in enumerate(ranks.tolist()):
-        out[i][:] = r
-    first = np.flatnonzero(leads)
-    left = streamed(RunIndex([texts[i] for i in first], ranks[first], LENGTH), rest)
+    by_rank, ranks = np.unique(owners, return_inverse=True)
+    leads = owners == np.repeat(owners[edges[:-1]], size)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    n = lengths - LENGTH + 1
+    begin = np.cumsum(n) - n
+    out = np.repeat(ranks, n)
+
+    def streamed(which: np.ndarray, index: RunIndex) -> np.ndarray:
+        """The stretches with places that the index doesn't hold; the others' least owners are taken."""
+        _, _, least = index.stream([texts[i] for i in which.tolist()])
+        step, times = _steps(n[which]), n[which]
+        found = least[np.repeat(np.cumsum(lengths[which]) - lengths[which], times) + step]
+        into = np.repeat(begin[which], times) + step
+        out[into] = np.where(found >= 0, np.minimum(found, out[into]), out[into])
+        return which[np.minimum.reduceat(found, np.cumsum(times) - times) < 0]
+
+    first, left = np.flatnonzero(leads), np.flatnonzero(~leads)
+    if len(left):
+        left = streamed(left, RunIndex([texts[i] for i in first.tolist()], ranks[first], LENGTH))
     # A stretch alone in its anchor has nothing more to share.
-    groups_of = np.repeat(np.arange(len(size)), size)[left]
-    left = left[np.bincount(groups_of, minlength=len(size))[groups_of] > 1] if len(left) else left
+    anchor = np.repeat(np.arange(len(size)), size)[left]
+    left = left[np.bincount(anchor, minlength=len(size))[anchor] > 1]
     if len(left):
-        held = {i: out[i].copy() for i in left.tolist()}
-        streamed(RunIndex([texts[i] for i in left], ranks[left], LENGTH), left)
-        for i, before in held.items():
-            np.minimum(out[i], before, out=out[i])
-    return [owners_by_rank[x] for x in out]
+        streamed(left, RunIndex([texts[i] for i in left.tolist()], ranks[left], LENGTH))
+    return n, by_rank[out]
 
 
 def _find(batches, index_bytes: int):
@@ -318,13 +318,12 @@ def _find(batches, index_bytes: int):
         while a < len(contents):
             # Whole anchors, up to about ``index_bytes``.
             b = int(anchors[np.searchsorted(anchors, np.searchsorted(size, size[a] + index_bytes, side="left"), side="left")]) if size[a] + index_bytes < size[-1] else len(contents)
-            least = least_documents(contents[a:b], owner[a:b], h[a:b])
+            lengths, flat = least_documents(contents[a:b], owner[a:b], h[a:b])
             i, j = np.searchsorted(u, (a, b))
-            flat, lengths = np.concatenate(least), np.fromiter(map(len, least), np.int64, b - a)
             begin = np.cumsum(lengths) - lengths
             mine = u[i:j] - a
             n = lengths[mine]
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            step = _steps(n)
             hit = np.flatnonzero(flat[np.repeat(begin[mine], n) + step] < np.repeat(doc[i:j], n))
             starts.append((np.repeat(place[i:j], n) + step)[hit])
             blocks.append(np.repeat(block[i:j], n)[hit])

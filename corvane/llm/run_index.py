@@ -24,8 +24,8 @@ def _ranks(key: np.ndarray) -> tuple[np.ndarray, int]:
     return rank, int(step[-1])
 
 
-def suffix_array(text: np.ndarray, room: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of all suffixes, and which rows share their first ``length`` symbols with the row before.
+def suffix_array(text: np.ndarray, room: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The order of all suffixes, which rows share their first ``length`` symbols with the row before, and each place's next symbols in one number, with the bits of one.
 
     ``text`` has symbols from 1 on, and 0 behind each text; ``room`` counts the
     symbols up to that 0, where a suffix ends. Equal suffixes stand as in the text.
@@ -37,6 +37,7 @@ def suffix_array(text: np.ndarray, room: np.ndarray, length: int) -> tuple[np.nd
     key = np.zeros(n, np.int64)
     for j in range(k):
         key = (key << bits) | padded[j : j + n] * (room >= j)
+    ahead = key
     rank, distinct = _ranks(key)
     near, width = rank, k
     while k < longest and distinct < n:
@@ -64,7 +65,7 @@ def suffix_array(text: np.ndarray, room: np.ndarray, length: int) -> tuple[np.nd
         for j in range(length):
             alike &= text[np.minimum(a + j, n - 1)] == text[np.minimum(b + j, n - 1)]
     same[1:] = alike
-    return order, same
+    return order, same, ahead, bits
 
 
 class RunIndex:
@@ -80,10 +81,10 @@ class RunIndex:
         used[data[~stop]] = True
         #: Symbols are the used bytes' ranks from 1 on; 0 stands behind each text.
         self.symbol_of = np.cumsum(used) * used
-        self.text = np.where(stop, 0, self.symbol_of[data]).astype(np.int16)
-        room = np.repeat(self.starts + sizes, sizes + 1) - np.arange(n)
-        order, same = suffix_array(self.text, room, length)
-        last = self.text[order - 1]
+        text = np.where(stop, 0, self.symbol_of[data]).astype(np.int16)
+        self.room = room = np.repeat(self.starts + sizes, sizes + 1) - np.arange(n)
+        order, same, self.ahead, self.bits = suffix_array(text, room, length)
+        last = text[order - 1]
         self.heads = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
         self.symbols = last[self.heads].astype(np.int64)
         lengths = np.diff(np.append(self.heads, n))
@@ -109,14 +110,18 @@ class RunIndex:
         self.start_row, self.start_position = 0, int(order[0])
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Equal symbols from two places on, up to ``most`` and the ends of texts."""
-        out, live, k = np.zeros(len(a), np.int64), np.arange(len(a)), 0
+        """Equal symbols from two places on, up to ``most`` and the ends of texts: as many at a time as a number holds."""
+        k, bits = 63 // self.bits, self.bits
+        most = np.minimum(most, np.minimum(self.room[a], self.room[b]))
+        out, live = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
         while len(live):
-            x, y = self.text[a[live] + k], self.text[np.minimum(b[live] + k, len(self.text) - 1)]
-            live = live[(x == y) & (x > 0) & (most[live] > k)]
-            k += 1
-            out[live] = k
-        return out
+            at = out[live]
+            x = self.ahead[a[live] + at] ^ self.ahead[b[live] + at]
+            # The highest bit alone decides; the one below it is cleared, so that no rounding carries.
+            _, top = np.frexp((x & ~(x >> 1)).astype(np.float64))
+            out[live] = at + np.where(x == 0, k, (k * bits - top) // bits)
+            live = live[(x == 0) & (out[live] < most[live])]
+        return np.minimum(out, most)
 
     def stream(self, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each pattern's each place: the longest match's length, a position of it, and the least owner of its first ``length`` bytes (-1 if it is shorter)."""
