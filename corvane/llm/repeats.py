@@ -6,7 +6,7 @@ the same place, so strings can only be equal among stretches (runs of string
 starts with one anchor) of the same anchor.
 
 1. Texts are written in blocks of a few MB. Each block tells its distinct
-   anchors, eight bytes each, to the bucket of their hash. A bucket answers
+   anchors, six bytes each, to the bucket of their hash. A bucket answers
    with a bit for each: found in two documents or not; anchors in one document
    go no further. Anchors in very many blocks (``crowd``) are cut again by FINE-byte
    anchors, so that no bucket meets all contexts of a common line.
@@ -24,7 +24,7 @@ Defined results: a null or empty text has no bytes; rows without ``doc_id`` are
 neither compared nor changed; rows that share a ``doc_id`` are one document,
 and don't remove each other; an empty table gives no rows; further columns are
 ignored. A text is never split between blocks, but is anchored a segment at
-a time; nothing is gathered but a block's own marks and a bucket's stretches.
+a time. Blocks and what they send are compressed; nothing is gathered but a block's own marks and a bucket's stretches.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ from .run_index import RunIndex
 
 LENGTH, GRAM, FINE = 50, 20, 42
 _PLACE = 20
+#: Bytes of an anchor's hash that are told and counted: two anchors that share these are only sent for nothing.
+TOLD = 6
 BLOCKS = "block long, n_bytes long, ids binary, ends binary, data binary"
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -111,6 +113,29 @@ def _edges(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64), [len(keys)]])
 
 
+def _shrink(data: bytes | np.ndarray) -> bytes:
+    """Compressed, behind its length."""
+    raw = data if isinstance(data, bytes) else data.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _grow(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
+def _shrink_numbers(values: np.ndarray, width: int = 8) -> bytes:
+    """Numbers by their first bytes, second bytes ... up to ``width``: those that hardly change take no room."""
+    return _shrink(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)[:, :width].T)
+
+
+def _grow_numbers(data: bytes, kind: str, width: int = 8) -> np.ndarray:
+    planes = np.frombuffer(_grow(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view(kind)
+
+
 def _packed(batches, size: int):
     """Rows to blocks of whole texts."""
     at = TaskContext.get().partitionId() << 32
@@ -118,16 +143,16 @@ def _packed(batches, size: int):
         for part in slices(batch, "text", size):
             data, offsets = utf8(part.column("text"))
             ids = np.asarray(part.column("doc_id").fill_null(0), dtype="<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([len(data)]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, offsets[1:].astype("<i8"), data))], names=["block", "n_bytes", "ids", "ends", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([len(data)]), *(pa.array([x], pa.binary()) for x in (_shrink_numbers(ids), _shrink_numbers(offsets[1:].astype("<i8")), _shrink(data)))], names=["block", "n_bytes", "ids", "ends", "data"])
             at += 1
 
 
 class _Block:
     def __init__(self, batch: pa.RecordBatch, row: int):
-        raw = lambda name, kind: np.frombuffer(batch.column(name)[row].as_buffer(), kind)
-        self.number = batch.column("block")[row].as_py()
-        self.ids, self.data = raw("ids", "<i8"), raw("data", np.uint8)
-        self.offsets = np.concatenate([[0], raw("ends", "<i8")])
+        value = lambda name: batch.column(name)[row].as_py()
+        self.number = value("block")
+        self.ids, self.data = _grow_numbers(value("ids"), "<i8"), np.frombuffer(_grow(value("data")), np.uint8)
+        self.offsets = np.concatenate([[0], _grow_numbers(value("ends"), "<i8")])
 
     def text_of(self, start: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, start, side="right") - 1
@@ -147,18 +172,18 @@ def _blocks_of(batches):
 
 
 def _tell(batches, buckets: int, segment: int):
-    """A block's distinct anchors by bucket; the last bit says that two of its documents hold one."""
+    """A block's distinct anchors by bucket, the first TOLD bytes of each; the last bit says that two of its documents hold one."""
     for _, _, block in _blocks_of(batches):
         start, _, h, edges = block.anchors(segment)
         if not len(h):
             continue
         ids = block.ids[block.text_of(start)]
         several = np.minimum.reduceat(ids, edges[:-1]) < np.maximum.reduceat(ids, edges[:-1])
-        told = h[edges[:-1]] | several.astype(U64)
-        bucket = _bucket(told, buckets)
+        bucket = _bucket(h[edges[:-1]], buckets)
+        told = (h[edges[:-1]] >> U64(65 - 8 * TOLD) << U64(1)) | several.astype(U64)
         cut = _edges(bucket)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket[cut[:-1]]), pa.array(np.full(len(cut) - 1, block.number)), pa.array([told[a:b].astype("<u8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
+            [pa.array(bucket[cut[:-1]]), pa.array(np.full(len(cut) - 1, block.number)), pa.array([_shrink_numbers(told[a:b].astype("<u8"), TOLD) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
             names=["bucket", "block", "told"],
         )
 
@@ -166,8 +191,8 @@ def _tell(batches, buckets: int, segment: int):
 def _answer(batches, crowd: int):
     """For each block's anchors in a bucket: a bit for those in two documents, then one for those in ``crowd`` blocks (if any)."""
     for group in groups(batches, ["bucket"]):
-        raw = group.column("told").to_pylist()
-        told = np.frombuffer(b"".join(raw), "<u8").astype(U64)
+        raw = [_grow_numbers(x, "<u8", TOLD) for x in group.column("told").to_pylist()]
+        told = np.concatenate(raw).astype(U64)
         h = told >> U64(1)
         order = np.argsort(h)
         edges = _edges(h[order])
@@ -175,7 +200,7 @@ def _answer(batches, crowd: int):
         several = np.maximum.reduceat((told & U64(1))[order], edges[:-1]) > 0
         shared, crowded = np.empty(len(h), bool), np.empty(len(h), bool)
         shared[order], crowded[order] = np.repeat((size > 1) | several, size), np.repeat((size >= crowd) & ((size > 1) | several), size)
-        ends = np.cumsum([len(x) // 8 for x in raw])
+        ends = np.cumsum([len(x) for x in raw])
         bits, keep = [], []
         for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
             if shared[a:b].any():
@@ -233,7 +258,7 @@ def _send(batches, buckets: int, segment: int):
         bucket = _bucket(h, buckets)
         cut = _edges(bucket)
         rows = [
-            (h[a:b].tobytes(), sizes[a:b].tobytes(), b"".join(contents[a:b]), times[a:b].tobytes(), docs[ends[a] : ends[b]].tobytes(), places[ends[a] : ends[b]].tobytes())
+            (_shrink(h[a:b]), _shrink(sizes[a:b]), _shrink(b"".join(contents[a:b])), _shrink_numbers(times[a:b], 4), _shrink_numbers(docs[ends[a] : ends[b]]), _shrink_numbers(places[ends[a] : ends[b]]))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
         ]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array(np.full(len(rows), block.number)), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], names=names)
@@ -285,10 +310,11 @@ def least_documents(texts: list[bytes], owners: np.ndarray, h: np.ndarray) -> tu
 def _find(batches, index_bytes: int):
     """Starts in each block whose string a smaller document holds, as runs."""
     for group in groups(batches, ["bucket"]):
-        column = lambda name, kind: [np.frombuffer(x, kind) for x in group.column(name).to_pylist()]  # noqa: B023, E731
+        column = lambda name, kind: [np.frombuffer(_grow(x), kind) for x in group.column(name).to_pylist()]  # noqa: B023, E731
+        numbers = lambda name, kind, width=8: [_grow_numbers(x, kind, width) for x in group.column(name).to_pylist()]  # noqa: B023, E731
         # Distinct stretches of all blocks, and all occurrences.
         seen, contents, hashes, of = {}, [], [], []
-        for raw, sizes, h in zip(group.column("contents").to_pylist(), column("sizes", "<u2"), column("h", "<u8"), strict=True):
+        for raw, sizes, h in zip(map(_grow, group.column("contents").to_pylist()), column("sizes", "<u2"), column("h", "<u8"), strict=True):
             ends = np.cumsum(sizes, dtype=np.int64)
             for a, b, key in zip((ends - sizes).tolist(), ends.tolist(), h.tolist(), strict=True):
                 content = raw[a:b]
@@ -297,10 +323,10 @@ def _find(batches, index_bytes: int):
                     contents.append(content)
                     hashes.append(key)
                 of.append(u)
-        del seen
-        times = column("times", "<u4")
+        del seen, raw
+        times = numbers("times", "<u4", 4)
         u = np.repeat(np.asarray(of, dtype=np.int64), np.concatenate(times))
-        doc, place = np.concatenate(column("docs", "<i8")), np.concatenate(column("places", "<i8"))
+        doc, place = np.concatenate(numbers("docs", "<i8")), np.concatenate(numbers("places", "<i8"))
         block = np.repeat(np.asarray(group.column("block")), [int(t.sum()) for t in times])
         owner = np.full(len(contents), np.iinfo(np.int64).max)
         np.minimum.at(owner, u, doc)
