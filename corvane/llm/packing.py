@@ -191,7 +191,7 @@ def cut_pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int) ->
                     names=[f.split()[0] for f in PIECES.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_arrow, cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_arrow, cut, PIECES, tokens.KEPT)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:

@@ -19,6 +19,7 @@ import hashlib
 import math
 import random
 import re
+import string
 from array import array
 from collections.abc import Iterator, Sequence
 from functools import cache
@@ -34,7 +35,8 @@ from .common import in_arrow
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns of the base spans.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A match begins where its digits do: later starts in them fail alike.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Every base match but an address lies in one run of these, from a digit or a plus on.
@@ -66,19 +68,29 @@ def _phone_ok(text: str) -> bool:
     return 9 <= len(_NOT_DIGIT.sub("", text)) <= 15
 
 
+_LOCAL = string.ascii_letters + string.digits + "._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """What EMAIL finds, from its at-signs: a local part holds none, so each is looked at once, however long a word is."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        # The local part can't reach over the last match, nor over the last at-sign.
+        lead = text[done:at]
+        n = len(lead) - len(lead.rstrip(_LOCAL))
+        if n and (m := _DOMAIN.match(text, at + 1)):
+            yield at - n, m.end()
+            done = m.end()
+        else:
+            done = at + 1
+        at = text.find("@", max(done, at + 1))
+
+
 def base_spans(text: str) -> list[Span]:
     """The spans of the fixed patterns, by kind and then start."""
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
-    at = text.find("@")
-    while at >= 0:
-        # An address holds no white space: its word is enough to look at.
-        a, b = at, at + 1
-        while a and text[a - 1] not in " \n\t":
-            a -= 1
-        while b < len(text) and text[b] not in " \n\t":
-            b += 1
-        found["email"] += [("email", a + m.start(), a + m.end()) for m in EMAIL.finditer(text[a:b])]
-        at = text.find("@", b)
+    found["email"] = [("email", a, b) for a, b in addresses(text)]
     for run in _RUN.finditer(text):
         s, a = run.group(), run.start()
         if len(s) < 7:
@@ -89,7 +101,9 @@ def base_spans(text: str) -> list[Span]:
 
 
 # Stretches that may hold more.
-_ZONE = re.compile(r"\(?[0-9+][0-9 ().+\-/:\[\]]*|[A-Za-z0-9._%+-]+ ?(?:@|[\[(](?:at|AT)[\])]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]+)*")
+_NUMBERS = re.compile(r"\(?[0-9+][0-9 ().+\-/:\[\]]*")
+_AT = re.compile(r"@|[\[(](?:at|AT)[\])]")
+_AFTER_AT = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]+)*")
 _ATOM = re.compile(r"[0-9]+|[A-Za-z]+| +|.", re.S)
 #: Atoms in a segment at most.
 MOST_ATOMS = 16
@@ -99,6 +113,26 @@ _WORD_BEFORE = re.compile(r"([^\W\d_]+)[\s:.#]*$")
 _CUES = {"phone": "phone", "tel": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "telefon": "phone", "card": "card", "visa": "card", "email": "email", "mail": "email", "ip": "ip", "host": "ip", "server": "ip"}
 
 
+def zones(text: str) -> list[tuple[int, int]]:
+    """Stretches of numbers, and of addresses around each at-sign; those that overlap are one."""
+    found = [m.span() for m in _NUMBERS.finditer(text) if sum(map(str.isdigit, m.group())) >= 4]
+    done = 0
+    for m in _AT.finditer(text):
+        lead = text[done : m.start()]
+        lead = lead[:-1] if lead.endswith(" ") else lead
+        word = len(lead) - len(lead.rstrip(_LOCAL))
+        if word and (after := _AFTER_AT.match(text, m.end())):
+            found.append((done + len(lead) - word, after.end()))
+        done = m.end()
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _class(ch: str) -> str:
     if not ch:
         return "edge"
@@ -299,13 +333,19 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     taken = sorted((a, b) for _, a, b in base)
     added: list[Span] = []
     if field is not None:
-        for zone in _ZONE.finditer(text):
-            s = zone.group()
-            if sum(map(str.isdigit, s)) < 4 and "@" not in s and "at" not in s.lower():
-                continue
-            at = zone.start()
-            cuts = [(a, b) for a, b in taken if a < zone.end() and b > at]
-            for a, b in [*cuts, (zone.end(), zone.end())]:
+        first = 0
+        for at, end in zones(text):
+            # Base spans come in order of their starts, but those of two kinds may overlap.
+            while first < len(taken) and taken[first][1] <= at:
+                first += 1
+            cuts = []
+            for k in range(first, len(taken)):
+                a, b = taken[k]
+                if a >= end:
+                    break
+                if b > at:
+                    cuts.append((a, b))
+            for a, b in [*cuts, (end, end)]:
                 if at < a:
                     added += field.best(text, at, a)
                 at = max(at, b)

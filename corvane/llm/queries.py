@@ -18,8 +18,8 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.replicate(spark, docs).select("doc_id", "source", "copies", "copy", "shuffle_key")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.replicate(spark, docs).select("doc_id", "source", "text", "copies", "copy", "shuffle_key")
 
 
 def op4_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,19 +16,19 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
 from .common import Scratch, in_arrow, slices
 
 FILE_SCHEMA = "doc_id long, ids array<int>, n_tokens int, part int, part_start long"
-#: One (part, start) pair is sent out for each written file; more files than this are refused.
-MOST_FILES = 2_000_000
+#: One (part, base) pair of 16 bytes is sent to all tasks for each written file, up to so many; more are joined.
+MOST_SENT = 1_000_000
 
 
 def write_token_orc(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 1) -> None:
-    vocabulary = vocabulary or tokens.default_vocabulary()
+    spark, vocabulary = docs.sparkSession, vocabulary or tokens.default_vocabulary()
 
     def encode(batches):
         part, at = TaskContext.get().partitionId(), 0
@@ -52,27 +52,30 @@ def write_token_orc(docs: DataFrame, path: str, vocabulary: str | None = None, e
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .transform(in_arrow, encode, FILE_SCHEMA)
+        .transform(in_arrow, encode, FILE_SCHEMA, tokens.KEPT)
         .write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", "1000")
         .orc(path)
     )
+    # One row for each file: a running sum over them is one small task.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = spark.read.schema(FILE_SCHEMA).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).write.orc(_bases(path))
+
+
+def _bases(path: str) -> str:
+    """Where the ids before each file are counted: beside the files, so that looking up a document reads no others."""
+    return path.rstrip("/") + ".bases"
 
 
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids); start counts all ids of the documents before."""
     files = spark.read.schema(FILE_SCHEMA).orc(path)
-    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").take(MOST_FILES + 1)
-    if len(totals) > MOST_FILES:
-        raise ValueError(f"over {MOST_FILES} token files in {path}")
-    bases, at = [], 0
-    for row in totals:
-        bases.append((row["part"], at))
-        at += row["n"]
-    offsets = spark.createDataFrame(bases, "part int, base long")
-    return files.join(F.broadcast(offsets), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
+    bases = spark.read.schema("part int, base long").orc(_bases(path))
+    offsets = F.broadcast(bases) if bases.limit(MOST_SENT + 1).count() <= MOST_SENT else bases
+    return files.join(offsets, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
