@@ -8,12 +8,14 @@ greatest values elsewhere. Essential postings are traversed for the whole
 shard; the others are probed only for rows that stay competitive, in steps,
 until their scores are whole. Shards' best rows are merged.
 
-Queries are a stated set; they meet the shards in blocks.
+Queries are a stated set; a block of them is sent to TOGETHER shards at a time,
+and each shard travels once.
 
 Defined results: vectors that are null, or hold null or non-finite components,
 take no part, nor do rows without ``vec_id``; vectors of other lengths than the
 query's are no candidates; ties go to the smaller id; a query never finds
-itself, nor another row with its id; empty tables give no rows.
+itself, nor another row with its id; scores of any size are ranked exactly, and
+those beyond 64 bits are given as the nearest long; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, groups, in_arrow
 
-#: Rows of a shard, queries of a block, and terms probed at once.
-SHARD_ROWS, BLOCK_QUERIES, PROBE = 2048, 256, 8
+#: Rows of a shard, queries of a block, and terms probed at once; shards that a block of queries is sent to together.
+SHARD_ROWS, BLOCK_QUERIES, PROBE, TOGETHER = 2048, 256, 8, 16
 SCALE = 256
-#: Sums of products stay exact in doubles below this.
-EXACT = 2.0**53
+#: Sums of products stay exact in doubles below the first of these, in 64-bit integers below the second, and in Python's from there on.
+EXACT, LONG = 2.0**53, 2.0**62
 _VECTORS = "vec_id long, width int, vector binary"
 _PACKED = "block long, width int, ids binary, vectors binary"
 
@@ -82,23 +84,26 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, i
     """
     postings = np.ascontiguousarray(rows.T)
     low, high = postings.min(axis=1), postings.max(axis=1)
-    if float(np.abs(queries).max(initial=0) * np.abs(postings).max(initial=0) * len(low)) >= EXACT:
-        raise OverflowError("scores are too large to be exact")
+    most_of_all = float(np.abs(queries).max(initial=0)) * float(np.abs(postings).max(initial=0)) * len(low)
+    if most_of_all >= EXACT:
+        whole = np.int64 if most_of_all < LONG else object
+        as_whole = (lambda x: x.astype(np.int64)) if whole is np.int64 else (lambda x: np.array([int(v) for v in x.ravel()], object).reshape(x.shape))
+        queries, rows, postings, low, high = (as_whole(x) for x in (queries, rows, postings, low, high))
     out = []
     for q, qid in zip(queries, query_ids.tolist(), strict=True):
         most, least = np.maximum(q * low, q * high), np.minimum(q * low, q * high)
         order = np.argsort(-(most - least), kind="stable")
         w, most, least = q[order], most[order], least[order]
-        rest = np.concatenate([np.cumsum(most[::-1])[::-1], [0.0]])
+        rest = np.append(np.cumsum(most[::-1])[::-1], most[:1] * 0)
         bar = known.get(qid, -np.inf)
         if bar == -np.inf:
             # The first rows' whole scores give a bar to begin with.
             first = rows[:64] @ q
             first = first[ids[:64] != qid]
             if len(first) >= k:
-                bar = float(np.partition(first, len(first) - k)[len(first) - k])
+                bar = np.sort(first)[len(first) - k]
         # Essential: the shortest run of terms without which no row can reach the bar.
-        lost = np.concatenate([[0.0], np.cumsum(least)]) + rest < bar
+        lost = np.append(least[:1] * 0, np.cumsum(least)) + rest < bar
         n = int(np.argmax(lost)) if lost.any() else len(w)
         n = max(1, n)
         score = w[:n] @ postings[order[:n]]
@@ -111,10 +116,12 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, i
             stays = score + rest[min(n, len(w))] >= bar
             alive, score = alive[stays], score[stays]
         if len(alive):
-            best = np.lexsort((ids[alive], -score))[:k]
+            by_id = np.argsort(ids[alive], kind="stable")
+            best = by_id[np.argsort(-score[by_id], kind="stable")][:k]
             if len(best) == k:
-                known[qid] = max(bar, float(score[best[-1]]))
-            out.append((np.full(len(best), qid), ids[alive[best]], score[best].astype(np.int64)))
+                known[qid] = max(bar, score[best[-1]])
+            far = np.iinfo(np.int64)
+            out.append((np.full(len(best), qid), ids[alive[best]], np.array([min(max(int(x), far.min), far.max) for x in score[best]], np.int64)))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
 
 
@@ -124,8 +131,10 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5)
     whole = scratch.cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").transform(in_arrow, _whole, _VECTORS), "whole")
     shards = _packed(whole, SHARD_ROWS)
     asked = scratch.cut(_packed(whole.where(is_query), BLOCK_QUERIES), "queries").select("width", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    last = asked.agg(F.max("q_block")).first()[0]
-    each = shards.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(int(last or 0))))).drop("block")
+    together = lambda block: F.floor(block / TOGETHER)
+    last = max(1, -(-whole.count() // SHARD_ROWS)) - 1
+    each = shards.select(together(F.col("block")).alias("meet"), "width", "ids", "vectors")
+    asked = asked.withColumn("meet", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last // TOGETHER).cast("long"))))
 
     def run(batches):
         known: dict[int, float] = {}
@@ -135,7 +144,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5)
                 found = search_shard(as_rows(r["q_vectors"]), np.frombuffer(r["q_ids"], "<i8"), as_rows(r["vectors"]), np.frombuffer(r["ids"], "<i8"), k, known)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
-    found = each.join(asked, ["q_block", "width"]).transform(in_arrow, run, "query_id long, vec_id long, score long")
+    found = each.join(asked, ["meet", "width"]).transform(in_arrow, run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

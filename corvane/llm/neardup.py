@@ -15,7 +15,8 @@ signatures (``limits``), so that a pair at it shares no band with probability
 (1 - 0.85**5)**26 at 85 % and (1 - 0.8**4)**29 at 80 %, about 2 in 10**7.
 
 Defined results: null and empty texts and rows without ``doc_id`` have no links
-and stay; repeated rows share a class, so a component's least document may be
+and stay; rows that share an id are one document, whatever their texts;
+repeated rows share a class, so a component's least document may be
 kept more than once if its row is; an empty table gives no rows; further
 columns are ignored by ``near_duplicates`` and kept by ``deduplicated``.
 """
@@ -40,7 +41,7 @@ PERCENT = 85
 BLOCK, WIDE = 256, 4096
 #: Bits of the map that keeps texts nobody asks for out of a shuffle.
 SLOTS = 1 << 24
-SIGNATURES = "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, minima binary"
+SIGNATURES = "doc_id long, t long, n_shingles long, c1 long, c2 long, bands array<long>, minima binary"
 
 
 class Limits(NamedTuple):
@@ -123,6 +124,7 @@ def _signatures(batches, link: Limits):
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
+                    part.column("t"),
                     pa.array(size, pa.int64()),
                     pa.array(sums[0]),
                     pa.array(sums[1]),
@@ -213,13 +215,13 @@ def _merging(batches, link: Limits):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
 
-def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that may have one of the ids, by a bitmap of SLOTS hashes; the join that follows is exact.
+def _of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, text) of the classes ``reps`` (rep, doc_id, t), by a bitmap of SLOTS hashes before the exact join.
 
     The bitmap's size is fixed; over very many ids it only lets more rows pass.
     """
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
-    marks = ids.toDF("id").select(slot.alias("s")).groupBy((F.col("s") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(s % 64 AS INT))")).alias("m")).toArrow()
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    marks = reps.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(s % 64 AS INT))")).alias("m")).toArrow()
     bitmap = np.zeros(SLOTS // 64, np.int64)
     bitmap[np.asarray(marks.column("w"))] = np.asarray(marks.column("m"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(U64))
@@ -228,9 +230,11 @@ def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             s = np.asarray(batch.column("slot"))
             keep = (shared.value[s >> 6] >> (s & 63).astype(U64)) & U64(1) == 1
-            yield batch.filter(pa.array(keep)).select(["doc_id", "text"])
+            yield batch.filter(pa.array(keep)).select(["doc_id", "t", "text"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")).transform(in_arrow, passing, "doc_id long, text string")
+    few = docs.where("doc_id is not null").select("doc_id", "t", "text", slot.alias("slot")).transform(in_arrow, passing, "doc_id long, t long, text string")
+    # A row and its repetitions are one; the class is told by the text's hash, and texts are compared whole afterwards.
+    return few.groupBy("doc_id", "t").agg(F.min("text").alias("text")).join(reps, ["doc_id", "t"]).select("rep", "text")
 
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, link: Limits) -> DataFrame:
@@ -238,8 +242,9 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch,
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("minima").alias(f"s{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {link.percent} * greatest(na, nb)")
     likely = scratch.cut(sized.select("a", "b", "sa", "sb").transform(in_arrow, lambda rows: _agree(rows, link), "a long, b long"), "likely")
-    few = _of(docs, likely.select("a").unionByName(likely.select(F.col("b").alias("a"))))
-    text = lambda x: few.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    met = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
+    few = _of(docs, reps.select("rep", "doc_id", "t").join(met, "rep", "left_semi"))
+    text = lambda x: few.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}"))
     return likely.join(text("b"), "b").join(text("a"), "a").transform(in_arrow, lambda rows: _confirm(rows, link), "u long, v long")
 
 
@@ -247,11 +252,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
     link = limits(percent)
     scratch = Scratch(spark, "neardup")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     signed = scratch.cut(source.transform(in_arrow, lambda rows: _signatures(rows, link), SIGNATURES), "signatures")
     key = ["n_shingles", "c1", "c2"]
-    classes = scratch.cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = scratch.cut(signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *key], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "minima").dropDuplicates(["rep", "n_shingles"]), "reps")
+    has = signed.where("n_shingles > 0 and doc_id is not null")
+    # Each class has a number, fixed once it is written, and one row that stands for it.
+    first = has.groupBy(*key).agg(F.min(F.struct("doc_id", "t")).alias("first")).select(*key, "first.*")
+    classes = scratch.cut(first.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = scratch.cut(has.join(classes, [*key, "doc_id", "t"]).dropDuplicates(["rep"]).select("rep", "doc_id", "t", "n_shingles", "bands", "minima"), "reps")
+    members = scratch.cut(signed.select("doc_id", *key).join(classes.select(*key, "rep"), key, "left"), "members")
+    # Texts under one id are one document: it ties their classes.
+    several = members.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u < v")
+    tied = members.join(several.select("doc_id", "u"), "doc_id").select("u", F.col("rep").alias("v")).where("v is not null and u < v")
     banded = reps.select("rep", F.explode("bands").alias("key"))
     counts = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = scratch.cut(banded.join(counts, "key"), "buckets")
@@ -261,7 +273,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     stars = buckets.select("key", "rep").join(leads, "key").where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     tested = scratch.cut(stars, "stars")
     links = scratch.cut(_links(tested, reps, source, scratch, link), "links")
-    joined = components(links, scratch, "first")
+    joined = components(links.unionByName(tied), scratch, "first")
     # Families (a leader and all it was held against) that are not yet in one component: in blocks,
     # first by signatures, then the full sets of those that may have a partner elsewhere.
     family = tested.select(F.col("a").alias("lead"), F.col("b").alias("rep")).unionByName(tested.select(F.col("a").alias("lead"), F.col("a").alias("rep")).distinct())
@@ -270,16 +282,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     open_ = scratch.cut(placed.join(mixed, "lead", "left_semi"), "open")
     signed_open = _blocks(open_).join(reps.select("rep", "n_shingles", "minima"), "rep")
     maybe = scratch.cut(_by_block(signed_open).transform(in_arrow, lambda rows: _partnered(rows, link), "lead long, rep long, comp long").distinct(), "maybe")
-    texts = _of(source, maybe.select("rep")).withColumnRenamed("doc_id", "rep")
+    texts = _of(source, reps.select("rep", "doc_id", "t").join(maybe.select("rep").distinct(), "rep", "left_semi"))
     more = scratch.cut(_by_block(_blocks(maybe.join(texts, "rep"))).transform(in_arrow, lambda rows: _merging(rows, link), "u long, v long").distinct(), "more")
     if more.isEmpty():
         final = joined
     else:
         roots = joined.select(F.col("node").alias("u"), F.col("root").alias("v"))
         final = components(roots.unionByName(more), scratch, "second")
-    placed = scratch.cut(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("group")), "groups")
+    rooted = classes.select("rep", "doc_id").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "doc_id")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("group"))
+    groups_ = scratch.cut(rooted.select("rep", "root").join(least, "root").select("rep", "group"), "groups")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))
-    out = signed.select("doc_id", *key).join(placed, key, "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    out = members.join(groups_, "rep", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

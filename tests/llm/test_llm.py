@@ -28,7 +28,7 @@ def odd_texts(seed=1):
     rng = random.Random(seed)
     long = " ".join(rng.choices(WORDS, k=3000))
     passage = " ".join(rng.choices(WORDS, k=30))
-    out = ["", None, " \n\t", "one", "two words", "é́ ñ ΣΑΣ 한국어", long, long + " tail", long, passage + " x", "y " + passage + "\nz", "a" * 200, "b" + "a" * 120, "<|endoftext|> in, text. 12.5"]
+    out = ["", None, " \n\t", "one", "two words", "é́ ñ ΣΑΣ 한국어", long, long + " tail", long, passage + " x", "y " + passage + "\nz", "a" * 200, "b" + "a" * 120, "<|endoftext|> in, text. 12.5", "\u0130, x. abc\u0130. , y"]
     return out + [" ".join(rng.choices(WORDS, k=rng.randint(1, 80))) for _ in range(20)]
 
 
@@ -186,6 +186,13 @@ def test_mixing(spark):
         mixing.MOST_SENT = few
 
 
+def test_mixing_of_great_rates(spark):
+    docs = spark.range(200).selectExpr("id AS doc_id", "CASE WHEN id = 0 THEN 'rare' ELSE 'rest' END AS source")
+    out = mixing.replicate(spark, docs, {"rare": 1.0, "rest": 1.0}, 5000).groupBy("source").agg(F.count("*").alias("n")).collect()
+    n = {r["source"]: r["n"] for r in out}
+    assert abs(n["rare"] - 2500) < 250 and abs(n["rest"] - 2500) < 250
+
+
 # 4: licences
 
 
@@ -231,9 +238,50 @@ modification, are permitted provided that the following conditions are met:
     apache = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n'
     comment = lambda text, mark: "\n".join(f"{mark} {x}" for x in text.split("\n"))
     apart = ["Released under the\n\nMIT License", "Released under the.\nMIT License", "# Released under the\n#\n# MIT License", "Not released under the\nMIT License"]
-    texts = [mit, gpl, bsd, apache, comment(mit, "//"), "/*\n" + comment(gpl, " *") + "\n */", comment(bsd, "#"), bsd.replace("\n", "\r\n"), *apart]
+    bsd3 = bsd + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER"""
+    lgpl = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU"""
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE"""
+    agpl = gpl.replace("GNU General", "GNU Affero General")
+    title = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright"
+    texts = [mit, gpl, bsd, apache, comment(mit, "//"), "/*\n" + comment(gpl, " *") + "\n */", comment(bsd, "#"), bsd.replace("\n", "\r\n"), *apart, bsd3, lgpl, mpl, isc, agpl, title, comment(bsd3, "//"), mpl + "\n\n" + isc]
     got = by_id(licences.scan(make_docs(spark, texts)))
-    assert [got[i]["rule_ids"] for i in range(len(texts))] == ["3", "5", "9", "7", "3", "5", "9", "9", "", "", "", ""]
+    assert [got[i]["rule_ids"] for i in range(12)] == ["3", "5", "9", "7", "3", "5", "9", "9", "", "", "", ""]
+    assert [got[i]["licences"] for i in range(12, len(texts))] == ["BSD-3-Clause", "LGPL-2.1-or-later", "MPL-2.0", "ISC", "AGPL-3.0-or-later", "GPL-3.0", "BSD-3-Clause", "ISC,MPL-2.0"]
+
+
+def test_licences_as_sql(spark):
+    import duckdb
+
+    texts = ["Released under the MIT License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: nothing", None, "", "All rights reserved. Licensed under CC BY-SA 4.0. Released under the MIT License.\nLicensed under CC BY 4.0."]
+    texts.append(". ".join(licences.SENTENCES[i] for i in (10, 11, 12, 13, 10, 11, 12, 6, 16, 17, 16)) + ".")
+    docs = make_docs(spark, texts)
+    documents = docs.toPandas()  # noqa: F841
+    want = {r["doc_id"]: r for r in duckdb.sql(licences.oracle()).fetchdf().to_dict("records")}
+    got = by_id(licences.scan(docs))
+    assert {i: r.asDict() for i, r in got.items()} == want
+    assert got[5]["rule_ids"] == "5,8,9,14,47"
 
 
 # 5: toxicity
@@ -379,6 +427,25 @@ def test_near_duplicate_threshold(spark):
     assert gone(pipeline.drop_near_duplicates(spark, docs, DATA)) == {1}
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    rng = random.Random(41)
+    a, b = (" ".join(f"{w}{rng.randint(0, 99)}" for w in rng.choices(WORDS, k=200)) for _ in range(2))
+    rows = [(5, a), (5, b), (1, a + " more"), (2, b + " more"), (5, a), (7, None), (None, a), (9, "")]
+    got = sorted((str(r["doc_id"]), r["component_id"]) for r in neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("1", 1), ("2", 1), ("5", 1), ("5", 1), ("5", 1), ("7", 7), ("9", 9), ("None", None)]
+
+
+def test_no_hash_joins_unlike_texts(spark):
+    """Thue-Morse words have equal sums modulo 2**64 for any base."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word, "en", "s"), (2, other, "en", "s"), (3, f"{word}\n{other}", "en", "s"), (4, f"{word} {other}", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert {r["component_id"] for r in neardup.near_duplicates(spark, docs).collect()} == {1, 2, 3}
+    assert {r["doc_id"]: r["n_dup_lines"] for r in quality.judged(spark, docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+
+
 # 8: search
 
 
@@ -400,12 +467,25 @@ def test_search(spark):
     assert maxscore.top_k(spark, df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_search_of_huge_values():
+    rng = np.random.default_rng(1)
+    for scale in (10, 1e6, 1e15, 1e30):
+        rows, ids = np.floor(rng.normal(size=(100, 6)) * scale), rng.permutation(100).astype(np.int64)
+        rows[50:] = rows[:50]
+        query, found, score = maxscore.search_shard(rows[:7], ids[:7], rows, ids, 5, {})
+        for i in range(7):
+            exact = sorted((-sum(int(a) * int(b) for a, b in zip(rows[i], r, strict=True)), int(k)) for r, k in zip(rows, ids, strict=True) if k != ids[i])[:5]
+            mine = query == ids[i]
+            assert list(zip(found[mine].tolist(), score[mine].tolist(), strict=True)) == [(k, min(max(-s, -(2**63)), 2**63 - 1)) for s, k in exact]
+
+
 # 10: personal data
 
 
 def brute_spans(t):
     out = [("email", m.start(), m.end()) for m in pii.EMAIL.finditer(t)]
-    out += [("ip", m.start(), m.end()) for m in pii.IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    out += [("ip", m.start(), m.end()) for m in ip.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
     digits = lambda m: re.sub("[^0-9]", "", m.group())
     out += [("card", m.start(), m.end()) for m in pii.CARD.finditer(t) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
     return out + [("phone", m.start(), m.end()) for m in pii.PHONE.finditer(t) if 9 <= len(digits(m)) <= 15]
