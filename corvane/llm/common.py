@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import hashlib
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -81,15 +79,16 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        """The rows as a written table; the shuffle files that the writing took go with its end."""
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, "false")
+        conf.set(key, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def free(self) -> None:
-        """Let Spark delete the shuffle files of plans that were dropped; they go when the driver collects garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -406,13 +406,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sizes: Sizes = Sizes())
     told = blocks.transform(in_arrow, lambda rows: _tell(rows, buckets, sizes.segment), "bucket long, block long, told binary")
     answers = dealt(told).transform(in_arrow, lambda rows: _answer(rows, sizes.crowd), "bucket long, block long, bits binary")
     answers = scratch.cut(answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")), "answers")
-    del told
-    scratch.free()
     sent = blocks.join(answers, "block").transform(in_arrow, lambda rows: _send(rows, buckets, sizes.segment), SENT)
     found = dealt(sent).transform(in_arrow, lambda rows: _find(rows, sizes.index), "block long, marks binary")
     marks = scratch.cut(found.groupBy("block").agg(F.collect_list("marks").alias("marks")), "marks")
-    del sent, found, answers
-    scratch.free()
     scratch.drop("answers")
     left = blocks.join(marks, "block", "left").transform(in_arrow, _remaining, DIGESTS)
     alone = source.where("doc_id is null").transform(in_arrow, lambda rows: _packed(rows, sizes.block), BLOCKS).withColumn("marks", F.lit(None).cast("array<binary>"))
