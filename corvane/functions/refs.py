@@ -17,7 +17,7 @@ ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
 #: A range of more articles than this is taken as its two ends.
 LONGEST_RANGE = 5000
-# The act that a run of articles belongs to, where it isn't this document.
+# The act that a run of articles belongs to, where it isn't this document.
 _ELSEWHERE = r"(?!\s+(?:of|del|della|dello|dell')\s*(?:the\s+)?(?:Regulation|Directive|Decision|regolamento|direttiva|decisione))"
 
 

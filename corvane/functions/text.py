@@ -76,7 +76,11 @@ SYNONYMS = {
     "no external credit assessment": "unrated",
 }
 # Title words that say nothing.
-STOPWORDS = "requirements requirement article articles institution institutions regulation regulations general specific provisions provision the of for and or in to a an on by with that this is are be been have has not which from at as its their it shall may must".split()
+STOPWORDS = [
+    "requirements", "requirement", "article", "articles", "institution", "institutions", "regulation", "regulations", "general", "specific", "provisions", "provision", "the",
+    "of", "for", "and", "or", "in", "to", "a", "an", "on", "by", "with", "that", "this", "is", "are", "be", "been", "have", "has", "not", "which",
+    "from", "at", "as", "its", "their", "it", "shall", "may", "must",
+]
 # Forms of greeting, of questions over several articles, and of references.
 GREETING = r"(?iu)^\s*(?:hi|hello|hey|thanks|thank\s+you|ok|okay|test|bye|good\s+(?:morning|afternoon|evening))[!.,\s]*$"
 MULTI_HOP = (
@@ -93,10 +97,12 @@ SUBORDINATE = (
     r"(?iU)\b(?:as\s+per|pursuant\s+to|deducted\s+(?:from|under)|excluded\s+(?:from|under)|calculated\s+(?:under|pursuant\s+to)|in\s+accordance\s+with)\s+Article\s+\d\w*(?:\s*\([^)]*\))*"
     r"|\bunder\s+Article\s+\d\w*\s*\([^)]+\)|\breferred\s+to\s+in\s+(?:point\s+\([^)]+\)\s+of\s+)?Article\s+\d\w*(?:\s*\([^)]*\))*"
 )
+# Forms of questions for a definition.
 DEFINITION = (
     "(?iU)(?:(?:what\\s+(?:is|are)\\s+(?:(?:a|an|the)\\s+)?(?:definition\\s+of\\s+)?|what\\s+does\\s+|define\\s+|definition\\s+of\\s+|meaning\\s+of\\s+)"
     "(['‘’“”]?[a-zA-Z][\\w\\s\\-]*?)(?:\\s+mean(?:s|ing)?|\\?|$)|article\\s+4\\s*\\(\\s*(\\d+[a-z]?)\\s*\\))"
 )
+# Letters that only one language has.
 LETTERS = {"pl": "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", "it": "àèéìíîòóùúÀÈÉÌÍÎÒÓÙÚ"}
 LONGEST_RANGE = 20
 
@@ -129,13 +135,13 @@ def canonical_articles(text: Column) -> Column:
 
 
 def expand_ranges(text: Column) -> Column:
-    """``Articles 5 to 8`` as ``Articles 5, 6, 7, 8``; not if backwards or too long."""
+    """``Articles 5 to 7`` as ``Article 5 Article 6 Article 7``; not if backwards or too long."""
 
     def listed(m: Column) -> Column:
         lo, hi = (F.regexp_extract(m, RANGE, i) for i in (1, 2))
         lo, hi = (F.regexp_extract(x, r"^(\d+)", 1).try_cast("long") for x in (lo, hi))
         good = (hi > lo) & (hi - lo <= LONGEST_RANGE)
-        return F.when(good, F.concat(F.lit("Articles "), F.array_join(F.sequence(lo, F.greatest(lo, F.least(hi, lo + LONGEST_RANGE))).cast("array<string>"), ", "))).otherwise(m)
+        return F.when(good, F.array_join(F.transform(F.sequence(lo, F.greatest(lo, F.least(hi, lo + LONGEST_RANGE))), lambda n: F.concat(F.lit("Article "), n.cast("string"))), " ")).otherwise(m)
 
     return replace_each(text, RANGE, listed)
 
@@ -149,7 +155,8 @@ def normalise_query(text: Column) -> Column:
 def strip_subordinate(text: Column) -> Column:
     """Without references that only support the question; untouched if there are none."""
     bare = F.regexp_replace(text, SUBORDINATE, "")
-    tidy = F.trim(F.regexp_replace(F.regexp_replace(bare, r"[ \t]{2,}", " "), r"\s+([,.;:?!])", "$1"))
+    tidy = F.regexp_replace(F.regexp_replace(bare, r"(?U)\s{2,}", " "), r"(?U)\s+([,.;:?!])", "$1")
+    tidy = F.regexp_replace(tidy, r"(?U)^\s+|\s+$", "")
     return F.when(text.rlike(SUBORDINATE), tidy).otherwise(text)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 SEPARATOR = "\n\n---\n\n"
 MOST_CHARS = 100_000
 # Forms of numerical thresholds.
@@ -26,11 +28,16 @@ def _header(section: Column) -> Column:
     return F.get(F.split(F.trim(section), "\n"), F.lit(0))
 
 
+# What stands before the list of thresholds, and before those that an answer leaves out.
+FACTS = "KEY NUMERICAL THRESHOLDS (extracted from retrieved articles — ensure ALL relevant ones are addressed in your answer):\n"
+NOTE = "\n\n> **Completeness note:** The following numerical thresholds appear in the cited articles but were not explicitly stated above: "
+
+
 def key_facts(context: Column) -> Column:
-    """A line with its thresholds for each section that has any; empty if none has."""
+    """A heading and a line with its thresholds for each section that has any; empty if none has."""
     lines = F.transform(F.split(context, SEPARATOR), lambda s: F.when(F.size(thresholds(s)) > 0, F.concat(F.lit("- "), _header(s), F.lit(": "), F.array_join(thresholds(s), ", "))))
     lines = F.filter(lines, lambda x: x.isNotNull())
-    return F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise("")
+    return F.when(F.size(lines) > 0, F.concat(F.lit(FACTS), F.array_join(lines, "\n"), F.lit("\n\n"))).otherwise("")
 
 
 def missing_thresholds(context: Column, answer: Column) -> Column:
@@ -45,6 +52,11 @@ def missing_thresholds(context: Column, answer: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(context, SEPARATOR), note), lambda x: x.isNotNull()), "; ")
 
 
+def completed(context: Column, answer: Column) -> Column:
+    """The answer, with a note of its cited articles' thresholds that it doesn't state."""
+    return let(missing_thresholds(context, answer), lambda m: F.when(m == "", answer).otherwise(F.concat(answer, F.lit(NOTE), m, F.lit("."))))
+
+
 def build_context(hits: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """(query_id, context): a section for each hit in order of rank.
 

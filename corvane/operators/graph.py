@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.refs import ROMAN
+from ..functions.text import article_order
+
 #: The article of definitions is never walked to.
 SKIPPED = "4"
 # Order in which kinds of reference are followed.
@@ -34,6 +37,7 @@ WORDING = (
     ("back_reference", (r"\breferred to in Article\s+(\d+\w*)", r"\bmentioned in Article\s+(\d+\w*)")),
 )
 BEFORE, AFTER = 120, 30
+MENTION = r"(?iU)Articles?\s+(\d\w*)\b"
 
 
 def priority(kind: Column) -> Column:
@@ -43,14 +47,13 @@ def priority(kind: Column) -> Column:
     return out
 
 
-def classify_reference(text: Column, target: Column) -> Column:
-    """The kind of the first mention of an article whose surroundings tell it; ``general`` if none does.
+def told_mentions(text: Column) -> Column:
+    """(target, kind) of each mention of an article whose surroundings tell its kind, in order: a text is searched once for all of them.
 
     Contexts may overlap: places are those after each piece of the text that a
     mention ends, and each context is cut from the whole text.
     """
-    mention = F.concat(F.lit(r"(?iU)Articles?\s+"), target, F.lit(r"\b"))
-    pieces, found = F.split(text, mention, -1), F.regexp_extract_all(text, mention, F.lit(0))
+    pieces, found = F.split(text, MENTION, -1), F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
     # The running length of pieces and mentions gives each mention's place.
     places = F.aggregate(
         F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0))),
@@ -68,14 +71,24 @@ def classify_reference(text: Column, target: Column) -> Column:
         return out
 
     contexts = F.zip_with(places, found, lambda at, m: F.substring(text, F.greatest(F.lit(1), at - BEFORE), F.least(at - 1, F.lit(BEFORE)) + F.length(m) + AFTER))
-    kinds = F.filter(F.transform(contexts, kind), lambda k: k.isNotNull())
-    return F.when(F.size(found) == 0, "general").otherwise(F.coalesce(F.get(kinds, F.lit(0)), F.lit("general")))
+    told = F.zip_with(found, contexts, lambda m, c: F.struct(F.lower(F.regexp_extract(m, MENTION, 1)).alias("target"), kind(c).alias("kind")))
+    return F.filter(told, lambda x: x["kind"].isNotNull())
+
+
+def classify_reference(text: Column, target: Column) -> Column:
+    """The kind of the first mention of an article whose surroundings tell it; ``general`` if none does."""
+    return kind_of(told_mentions(text), target)
+
+
+def kind_of(told: Column, target: Column) -> Column:
+    return F.coalesce(F.get(F.filter(told, lambda x: x["target"] == F.lower(target)), F.lit(0))["kind"], F.lit("general"))
 
 
 def build_edges(nodes: DataFrame) -> DataFrame:
     """(src, dst, kind, pos) from (article, refs, text) rows; no blanks, no self-loops."""
-    e = nodes.select(F.col("article").alias("src"), "text", F.posexplode("refs").alias("pos", "dst")).where("dst <> '' and dst <> src")
-    return e.select("src", "dst", classify_reference(F.col("text"), F.col("dst")).alias("kind"), "pos")
+    told = nodes.select("article", "refs", told_mentions(F.col("text")).alias("told"))
+    e = told.select(F.col("article").alias("src"), "told", F.posexplode("refs").alias("pos", "dst")).where("dst <> '' and dst <> src")
+    return e.select("src", "dst", kind_of(F.col("told"), F.col("dst")).alias("kind"), "pos")
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -110,14 +123,46 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int, budget: Column) -> Data
 def siblings(seeds: DataFrame, nodes: DataFrame, most: int = 3, of_first: int = 2) -> DataFrame:
     """Other articles of the first seeds' section (within its chapter), or else chapter, title and part."""
     place = F.when(F.nullif("section", F.lit("")).isNotNull(), F.concat_ws("|", F.lit("s"), "section", F.coalesce("chapter", F.lit("")))).otherwise(F.concat_ws("|", F.lit("c"), F.coalesce("chapter", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("part", F.lit(""))))
-    at = nodes.select("article", place.alias("place"), "pos")
+    at = nodes.groupBy("article", place.alias("place")).agg(F.min("pos").alias("pos"))
+    # Of each place, its first articles are enough: ``most`` besides all of one query's seeds.
+    many = seeds.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    in_order = Window.partitionBy("place").orderBy("pos", "article")
+    firsts = at.withColumn("_n", F.row_number().over(in_order)).where(F.col("_n") <= most + many).drop("_n")
     own = seeds.where(F.col("pos") <= of_first).join(at.select("article", "place"), "article").select("query_id", F.col("pos").alias("seed_pos"), "place")
-    near = own.join(at, "place").join(seeds.select("query_id", "article"), ["query_id", "article"], "left_anti")
+    near = own.join(firsts, "place").join(seeds.select("query_id", "article"), ["query_id", "article"], "left_anti")
     once = near.groupBy("query_id", "article").agg(F.min(F.struct("seed_pos", "pos")).alias("o"))
     w = Window.partitionBy("query_id").orderBy("o", "article")
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "article", "rank")
 
 
+def listed_expansion(hits: DataFrame, limit: int = 3, sources: int = 3) -> DataFrame:
+    """(query_id, article, rank): without a graph, articles that the first hits refer to, by number.
+
+    ``hits`` has query_id, rank, article and ``refs``, a list with commas. The
+    hits' own articles and the article of definitions are left out.
+    """
+    named = hits.where(F.col("rank") <= sources).select("query_id", F.explode(F.split("refs", ",")).alias("article")).select("query_id", F.trim("article").alias("article")).where("article <> ''").distinct()
+    new = named.join(hits.select("query_id", "article").distinct(), ["query_id", "article"], "left_anti").where(F.col("article") != SKIPPED)
+    w = Window.partitionBy("query_id").orderBy(*article_order(F.col("article")))
+    return new.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def annex_expansion(hits: DataFrame, limit: int = 3, sources: int = 3) -> DataFrame:
+    """(query_id, annex_id, rank): annexes that the first hits refer to and no hit is, in their own order."""
+    named = hits.where(F.col("rank") <= sources).select("query_id", F.explode(F.split("annex_refs", ",")).alias("a")).select("query_id", F.upper(F.trim("a")).alias("annex_id")).distinct()
+    known = F.create_map(*(F.lit(x) for i, r in enumerate(ROMAN[:4]) for x in (r, i)))
+    new = named.withColumn("_i", F.try_element_at(known, "annex_id")).where("_i is not null").join(hits.where("annex_id is not null").select("query_id", "annex_id").distinct(), ["query_id", "annex_id"], "left_anti")
+    return new.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_i"))).where(F.col("rank") <= limit).drop("_i")
+
+
+def fetch(wanted: DataFrame, nodes: DataFrame, key: str = "article") -> DataFrame:
+    """The node of each wanted article or annex (query_id, language, ``key``, rank) in the query's language: a whole one, the first where there are several."""
+    level = "ANNEX" if key == "annex_id" else "ARTICLE"
+    whole = nodes.where((F.col("level") == level) & (F.col("chunk_type") == "ARTICLE"))
+    one = whole.groupBy(key, "language").agg(F.min("node_id").alias("node_id"))
+    return wanted.join(one, [key, "language"]).select("query_id", key, "language", "rank", "node_id")
+
+
 def family(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
     """Articles of the same family: 429, 429a, 429b ..."""
     root = F.regexp_replace("article", r"^(\d+)[A-Za-z]+$", "$1")

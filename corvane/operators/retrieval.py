@@ -39,8 +39,8 @@ def dense_topk(queries: DataFrame, nodes: DataFrame, k: int, keep_self: bool = F
     """
     q = queries.select("query_id", _unit("vector").alias("_q"))
     n = nodes.select("node_id", _unit("vector").alias("_n"))
-    size = queries.limit(100_001).count()
-    if size <= 100_000 and size * 64 * 8 <= MOST_SENT:
+    size, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    if size * (width + 2) * 8 <= MOST_SENT:
         pairs = n.join(F.broadcast(q))
     else:
         blocks = max(1, size // 2000)
@@ -119,6 +119,23 @@ def paragraph_windows(nodes: DataFrame, most: int = 4, least_chars: int = 30) ->
     return nodes.withColumn("_p", parts).select("node_id", F.posexplode(chosen).alias("window", "text"))
 
 
+def window_rerank(hits: DataFrame, model, weight: float, top_n: int, most: int = 4) -> DataFrame:
+    """A rerank by each text's best window, with it as ``best_paragraph``.
+
+    ``model`` scores (query, window); its scores are scaled over all windows of a
+    query. ``hits`` has query_id, node_id, query, text and score.
+    """
+    windows = paragraph_windows(hits.select(F.struct("query_id", "node_id").alias("node_id"), "text"), most)
+    scored = windows.select("node_id.*", "window", F.col("text").alias("best_paragraph")).join(hits.select("query_id", "node_id", "query"), ["query_id", "node_id"])
+    scored = scored.withColumn("raw", model(F.col("query"), F.col("best_paragraph")).cast("double"))
+    per_query = Window.partitionBy("query_id")
+    span = F.max("raw").over(per_query) - F.min("raw").over(per_query)
+    scaled = scored.withColumn("_s", (F.col("raw") - F.min("raw").over(per_query)) / F.when(span > 0, span).otherwise(1.0))
+    top = scaled.groupBy("query_id", "node_id").agg(F.max_by(F.struct("_s", "best_paragraph"), F.struct("raw", -F.col("window"))).alias("b"))
+    blended = hits.join(top, ["query_id", "node_id"]).withColumn("score", F.round(weight * F.coalesce("score", F.lit(0.0)) + (1 - weight) * F.col("b._s"), 6))
+    return best(blended.withColumn("best_paragraph", F.col("b.best_paragraph")).drop("b"), top_n)
+
+
 def title_boost(hits: DataFrame, weight: float, top_n: int) -> DataFrame:
     """A bonus for titles that share words with the query (columns ``query`` and ``title``)."""
     q, t = title_tokens(F.col("query")), title_tokens(F.col("title"))

@@ -69,9 +69,12 @@ def answer(queries: DataFrame, nodes: DataFrame, edges: DataFrame, settings: Set
     hits = direct.select(*columns).unionByName(searched.select(*columns))
     seeds = searched.select("query_id", "article", F.col("rank").alias("pos")).where("article is not null")
     added = graph.walk(seeds, edges, 2, F.lit(settings.expand)).select("query_id", "article", (F.col("rank") + 1000).alias("rank"))
-    expanded = nodes.where("level = 'ARTICLE'").join(added, "article").withColumn("score", F.lit(None).cast("double")).select(*columns)
+    # One whole article each, in the question's language.
+    wanted = added.join(asked.select("query_id", "language"), "query_id")
+    fetched = graph.fetch(wanted, nodes).select("query_id", "node_id", "rank")
+    expanded = nodes.join(fetched, "node_id").withColumn("score", F.lit(None).cast("double")).select(*columns)
     context = cx.build_context(hits.unionByName(expanded))
     confidence = hits.groupBy("query_id").agg(F.max("score").alias("confidence"))
     out = asked.join(context, "query_id", "left").join(confidence, "query_id", "left")
-    said = F.when(F.col("kind") == "CONVERSATIONAL", GREETING).otherwise(settings.providers.answer(F.col("query"), F.col("context")))
+    said = F.when(F.col("kind") == "CONVERSATIONAL", GREETING).otherwise(cx.completed(F.coalesce("context", F.lit("")), settings.providers.answer(F.col("query"), F.concat(cx.key_facts(F.coalesce("context", F.lit(""))), "context"))))
     return out.select("query_id", "kind", cx.truncate(F.col("context")).alias("context"), said.alias("answer"), "confidence")

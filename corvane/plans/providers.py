@@ -55,8 +55,8 @@ def overlap_score(query: Column, text: Column) -> Column:
 
 
 def extract_answer(context: Column, sections: int = 1) -> Column:
-    """The first sections of the context."""
-    return F.substring_index(context, "\n\n---\n\n", sections)
+    """The first sections of the context, without the list of thresholds before them."""
+    return F.substring_index(F.regexp_replace(context, r"(?s)^KEY NUMERICAL THRESHOLDS.*?\n\n", ""), "\n\n---\n\n", sections)
 
 
 @dataclass

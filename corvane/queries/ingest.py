@@ -25,7 +25,7 @@ def html_text_extract(spark, sf):
 
 # A legal page for each part.
 _PAGE = """SELECT p_partkey AS page_id, 'en' AS language, p_name, p_size, concat('<!DOCTYPE html><html><body><nav>menu</nav><div id="prt_III.tis_I.cpt_', CAST(p_size % 9 AS STRING), '.sct_1"><div id="art_', CAST(p_size AS STRING), '"><p class="title-article-norm">Article</p><div class="eli-title"><p class="stitle-article-norm">',
-  p_name, '</p></div><div class="norm"><span class="no-parag">1.</span>Text of ', p_name, ' under Article ', CAST(p_size + 1 AS STRING), '.</div><p class="modref">M17</p><div class="grid-container grid-list"><div class="grid-row"><div>(a)</div><div>first point</div></div></div><table class="borderOj"><tr><th>Item</th><th>Value</th></tr><tr><td>A|B</td><td>',
+  p_name, '</p></div><div class="norm"><span class="no-parag">1.</span>Text of ', p_name, ' under Article ', CAST(p_size + 1 AS STRING), '.</div><p class="modref">M2</p><div class="grid-container grid-list"><div class="grid-row"><div>(a)</div><div>first point</div></div></div><table class="borderOj"><tr><th>Item</th><th>Value</th></tr><tr><td>A|B</td><td>',
   CAST(p_size AS STRING), '%</td></tr></table><img src="data:image/png;base64,x"></div></div><div id="anx_II"><p class="title-annex-1">ANNEX II</p><p class="title-annex-2">Listing</p><p>Annex text of ', p_name, '.</p></div></body></html>') AS html FROM {part}"""
 
 

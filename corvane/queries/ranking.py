@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph as g
 from ..operators import retrieval as r
+from ..plans.providers import overlap_score
 from ..registry import register
 from . import duck, rel
 
@@ -223,3 +225,60 @@ SELECT node_id, (generate_subscripts(c, 1) - 1)::INTEGER AS "window", unnest(c)
 )
 def paragraph_windows(spark, sf):
     return r.paragraph_windows(rel(spark, sf, TEXTS).withColumn("text", F.regexp_replace("text", "\n", "\n\n")))
+
+
+_WINDOWED = """p AS (SELECT query_id, node_id, score, replace(documents.text, chr(10), chr(10) || chr(10)) AS text, benchmark.text AS query FROM sparse JOIN documents ON doc_id = node_id JOIN benchmark ON item_id = query_id),
+ps AS (SELECT *, list_filter(list_transform(regexp_split_to_array(text, '\\n\\n+'), lambda x: trim(x)), lambda x: len(x) >= 30) AS ps FROM p),
+cs AS (SELECT *, CASE WHEN len(ps) = 0 THEN [text] WHEN len(ps) <= 4 THEN ps ELSE list_transform(range(0, 4), lambda i: ps[(i * len(ps)) // 4 + 1]) END AS cs FROM ps),
+ws AS (SELECT query_id, node_id, score, query, generate_subscripts(cs, 1) AS i, unnest(cs) AS w FROM cs),
+qw AS (SELECT *, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(w), '[a-z0-9]+')) AS t FROM ws),
+raw AS (SELECT *, CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q)::DOUBLE ELSE 0.0 END AS raw FROM qw),
+sc AS (SELECT *, (raw - min(raw) OVER z) / CASE WHEN max(raw) OVER z > min(raw) OVER z THEN max(raw) OVER z - min(raw) OVER z ELSE 1.0 END AS s FROM raw WINDOW z AS (PARTITION BY query_id)),
+top AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id, node_id ORDER BY raw DESC, i) = 1),
+bl AS (SELECT query_id, node_id, md5(w) AS best_paragraph, round(0.3::DOUBLE * score + 0.7::DOUBLE * s, 6) AS score FROM top)"""
+
+
+@register("window_rerank", f"WITH {TERMS}, {_WINDOWED} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id)::INTEGER AS rank FROM bl QUALIFY rank <= 6")
+def window_rerank(spark, sf):
+    h = sparse_hits(spark, sf).drop("rank").join(rel(spark, sf, TEXTS).withColumn("text", F.regexp_replace("text", "\n", "\n\n")), "node_id")
+    asked = h.join(rel(spark, sf, PASSAGES).withColumnRenamed("text", "query"), "query_id")
+    return r.window_rerank(asked, overlap_score, 0.3, 6).select("query_id", "node_id", F.md5("best_paragraph").alias("best_paragraph"), "score", "rank")
+
+
+_REFERRED = """SELECT *, concat(CAST(node_id % 50 + 1 AS STRING), ' ,', CASE WHEN node_id % 6 = 0 THEN '' ELSE concat(CAST(node_id % 9 + 1 AS STRING), 'a') END, ',4') AS refs,
+  CASE node_id % 5 WHEN 0 THEN 'iv,I' WHEN 1 THEN 'II' WHEN 2 THEN 'VII, iii' ELSE '' END AS annex_refs, CASE WHEN node_id % 7 = 0 THEN 'II' END AS annex_id FROM {h}"""
+
+
+def _referring(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(_REFERRED, h=hits(spark, sf))
+
+
+@register(
+    "listed_expansion",
+    f"""WITH {HITS}, x AS ({_REFERRED.replace("{h}", "h")}), n AS (SELECT DISTINCT query_id, trim(unnest(string_split(refs, ','))) AS article FROM x WHERE rank <= 3)
+SELECT query_id, article, row_number() OVER (PARTITION BY query_id ORDER BY regexp_extract(article, '^([0-9]+)', 1)::INT, article)::INTEGER AS rank FROM n ANTI JOIN x USING (query_id, article) WHERE article NOT IN ('', '4') QUALIFY rank <= 3""",
+)
+def listed_expansion(spark, sf):
+    return g.listed_expansion(_referring(spark, sf))
+
+
+@register(
+    "annex_expansion",
+    f"""WITH {HITS}, x AS ({_REFERRED.replace("{h}", "h")}), n AS (SELECT DISTINCT query_id, upper(trim(unnest(string_split(annex_refs, ',')))) AS annex_id FROM x WHERE rank <= 3)
+SELECT query_id, annex_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE annex_id WHEN 'I' THEN 1 WHEN 'II' THEN 2 WHEN 'III' THEN 3 ELSE 4 END)::INTEGER AS rank FROM n
+ANTI JOIN (SELECT * FROM x WHERE annex_id IS NOT NULL) y USING (query_id, annex_id) WHERE annex_id IN ('I', 'II', 'III', 'IV') QUALIFY rank <= 3""",
+)
+def annex_expansion(spark, sf):
+    return g.annex_expansion(_referring(spark, sf))
+
+
+@register(
+    "expanded_fetch",
+    f"""WITH {HITS}, x AS ({_REFERRED.replace("{h}", "h")}), n AS (SELECT DISTINCT query_id, trim(unnest(string_split(refs, ','))) AS article FROM x WHERE rank <= 3),
+e AS (SELECT query_id, article, 'en' AS language, row_number() OVER (PARTITION BY query_id ORDER BY regexp_extract(article, '^([0-9]+)', 1)::INT, article)::INTEGER AS rank FROM n ANTI JOIN x USING (query_id, article) WHERE article NOT IN ('', '4') QUALIFY rank <= 3),
+o AS (SELECT article, language, min(node_id) AS node_id FROM nodes WHERE chunk_type = 'ARTICLE' GROUP BY ALL)
+SELECT query_id, article, language, rank, node_id FROM e JOIN o USING (article, language)""",
+)
+def expanded_fetch(spark, sf):
+    wanted = g.listed_expansion(_referring(spark, sf)).withColumn("language", F.lit("en"))
+    return g.fetch(wanted, rel(spark, sf, NODES).withColumn("level", F.lit("ARTICLE")))

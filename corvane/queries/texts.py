@@ -12,6 +12,7 @@ from ..functions import refs, text
 from ..operators import context as c
 from ..plans import providers
 from ..registry import register
+from ..sources.legal_html import NAMESPACE
 from . import duck, rel
 
 REFS = """SELECT p_partkey AS id, concat('Institutions referred to in Article ', CAST(p_size AS STRING), ' shall apply Articles ', CAST(p_size + 1 AS STRING), ', ', CAST(p_size + 2 AS STRING), ' and ', CAST(p_size + 5 AS STRING),
@@ -33,7 +34,7 @@ def ref_extract(spark, sf):
 _RANGED = "SELECT o_orderkey AS id, concat('See Articles ', CAST(o_orderkey % 90 + 3 AS STRING), ' to ', CAST(o_orderkey % 90 + 1 + o_custkey % 24 AS STRING), ' for orders.') AS text, o_orderkey % 90 + 3 AS lo, o_orderkey % 90 + 1 + o_custkey % 24 AS hi FROM {orders}"
 
 
-@register("ref_range_expand", f"WITH t AS ({duck(_RANGED)}) SELECT id, CASE WHEN hi > lo AND hi - lo <= 20 THEN 'See Articles ' || array_to_string(range(lo, hi + 1), ', ') || ' for orders.' ELSE text END AS text FROM t")
+@register("ref_range_expand", f"WITH t AS ({duck(_RANGED)}) SELECT id, CASE WHEN hi > lo AND hi - lo <= 20 THEN 'See Article ' || array_to_string(range(lo, hi + 1), ' Article ') || ' for orders.' ELSE text END AS text FROM t")
 def ref_range_expand(spark, sf):
     return rel(spark, sf, _RANGED).select("id", text.expand_ranges(F.col("text")).alias("text"))
 
@@ -84,7 +85,7 @@ def citation_string(spark, sf):
     return placed(spark, sf).select("id", refs.citation(*cols, F.expr("CASE WHEN id % 11 = 0 THEN 'II' END"), F.col("id").cast("string")).alias("citation"))
 
 
-_UUID = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+_UUID = NAMESPACE
 
 
 @register(
@@ -173,6 +174,21 @@ def missing_thresholds(spark, sf):
     return s.select("node_id", c.missing_thresholds(whole, answer).alias("note"))
 
 
+_NOTED = f"""s AS ({duck(_SECTIONS)}), a AS (SELECT *, 'Article ' || article || ' asks for ' || split_part(text, ' ', 3) || '.' AS answer, {_TH.format('text')} AS th FROM s)"""
+
+
+@register("key_facts", f"WITH {_NOTED} SELECT node_id, CASE WHEN len(th) > 0 THEN 'KEY NUMERICAL THRESHOLDS (extracted from retrieved articles — ensure ALL relevant ones are addressed in your answer):' || chr(10) || '- Article ' || article || ': ' || array_to_string(th, ', ') || chr(10) || chr(10) ELSE '' END AS facts FROM a")
+def key_facts(spark, sf):
+    return rel(spark, sf, _SECTIONS).select("node_id", c.key_facts(F.concat(F.lit("Article "), "article", F.lit("\n\n"), "text")).alias("facts"))
+
+
+@register("completeness_note", f"WITH {_NOTED}, m AS (SELECT *, list_filter(th, lambda x: NOT contains(answer, x)) AS m FROM a) SELECT node_id, answer || CASE WHEN len(m) > 0 THEN chr(10) || chr(10) || '> **Completeness note:** The following numerical thresholds appear in the cited articles but were not explicitly stated above: Article ' || article || ': ' || array_to_string(m, ', ') || '.' ELSE '' END AS answer FROM m")
+def completeness_note(spark, sf):
+    whole = F.concat(F.lit("Article "), "article", F.lit("\n\n"), "text")
+    answer = F.concat(F.lit("Article "), "article", F.lit(" asks for "), F.get(F.split("text", " "), F.lit(2)), F.lit("."))
+    return rel(spark, sf, _SECTIONS).select("node_id", c.completed(whole, answer).alias("answer"))
+
+
 @register("context_build", f"WITH s AS ({duck(_SECTIONS)}) SELECT query_id, md5(string_agg('Article ' || article || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context FROM s GROUP BY query_id")
 def context_build(spark, sf):
     return c.build_context(rel(spark, sf, _SECTIONS)).select("query_id", F.md5("context").alias("context"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import refs
 from .html_tree import Node, parse
 
+# Tags and classes of the published pages, and the names' space of node keys.
 NOISE_TAGS = {"script", "style", "nav", "footer"}
 NOISE_CLASSES = {"helpPanel"}
 TITLE_CLASSES = {"title-article-norm", "eli-title", "stitle-article-norm", "title-annex-1"}
@@ -23,7 +24,7 @@ INLINE = {"strong", "em", "a", "span", "sub", "sup"}
 LEAST_CHARS, LEAST_WORDS = 5, 100
 #: A mark of amendment, with the word after it.
 AMENDED = re.compile(r"[▼◄►]\s*\w*")
-NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+NAMESPACE = "a1b2c3d4-e5f6-7890-abcd-ef1234567890"
 RAW = "page_id long, language string, pos int, level string, chunk_type string, article string, article_title string, annex_id string, annex_title string, para_id string, parent_id string, text string, has_table boolean, has_formula boolean"
 
 

@@ -21,7 +21,7 @@ def ask(spark, function, *values):
 def test_normalise_query(spark):
     got = ask(spark, text.normalise_query, "CET1 in art. 92", "Art 92a", "articles 5 to 8", "Articles 8 to 5", "cet1", "SEC-SA", "Core capital?", "Articles 1 to 40", None, "")
     assert got[:2] == ["CET1 (Common Equity Tier 1) in Article 92", "Article 92a"]
-    assert got[2] == "Articles 5, 6, 7, 8"
+    assert got[2] == "Article 5 Article 6 Article 7 Article 8"
     assert got[3] == "Articles 8 to 5"
     assert got[4] == "cet1"
     assert got[5] == "SEC-SA (Securitisation Standardised Approach)"
@@ -47,8 +47,8 @@ def test_definition_signal(spark):
 
 
 def test_strip_subordinate(spark):
-    got = ask(spark, text.strip_subordinate, "Assets deducted as per Article 36(1)(d) , held", "plain  text")
-    assert got == ["Assets deducted, held", "plain  text"]
+    got = ask(spark, text.strip_subordinate, "Assets deducted as per Article 36(1)(d) , held", "plain  text", "x\n\nunder Article 7(1) \n")
+    assert got == ["Assets deducted, held", "plain  text", "x"]
 
 
 def test_languages(spark):
