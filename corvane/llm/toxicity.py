@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = Scratch(docs.sparkSession, "toxicity").cut(labelled_sample(docs, labels).repartition(FIT_TASKS, "doc_id"), "sample")
     pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
     n1 = n0 = 0
-    for row in sample.transform(in_arrow, _counted, "n1 long, n0 long, pos binary, neg binary").toLocalIterator():
+    for row in sample.transform(in_arrow, _counted, "n1 long, n0 long, pos binary, neg binary").collect():  # FIT_TASKS rows
         n1, n0 = n1 + row["n1"], n0 + row["n0"]
         for into, raw in ((pos, row["pos"]), (neg, row["neg"])):
             into += np.frombuffer(pa.decompress(bytes(raw), 4 << BITS, codec="zstd", asbytes=True), "<i4")
