@@ -31,19 +31,24 @@ def latest(rows: DataFrame, key: str, batch: str) -> DataFrame:
 def upsert(spark: SparkSession, path: str, batch: DataFrame, key: str = "key") -> None:
     """Rows of the batch replace those with their key; the table is written beside and swapped in.
 
-    Parquet has no merge: a version folder is written whole, then named current.
+    Parquet has no merge: the new table is written whole, the old one set aside, the new one named, and only then the
+    old one deleted; a swap that was cut short is undone first. Of a key's rows in a batch the greatest counts.
     """
+    jvm = spark.sparkContext._jvm
+    src, dst, aside = (jvm.org.apache.hadoop.fs.Path(f"{path}{x}") for x in ("__staged", "", "__old"))
+    fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(dst) and fs.exists(aside):
+        fs.rename(aside, dst)
     old = spark.read.parquet(path)
     kept = old.join(batch.select(key).distinct(), key, "left_anti")
-    fresh = batch.groupBy(key).agg(*(F.first(c).alias(c) for c in batch.columns if c != key)).select(*batch.columns)
+    others = [c for c in batch.columns if c != key]
+    fresh = batch.groupBy(key).agg(F.max(F.struct(*others)).alias("m")).select(key, *(F.col(f"m.{c}").alias(c) for c in others))
     staged = f"{path}__staged"
     kept.unionByName(fresh, allowMissingColumns=True).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(staged)
-    jvm = spark.sparkContext._jvm
-    src, dst = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
-    fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(dst, True)
-    if not fs.rename(src, dst):
+    fs.delete(aside, True)
+    if not (fs.rename(dst, aside) and fs.rename(src, dst)):
         raise OSError(f"could not put {staged} in the place of {path}")
+    fs.delete(aside, True)
     spark.catalog.refreshByPath(path)
 
 
