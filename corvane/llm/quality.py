@@ -43,6 +43,8 @@ WIDE = (1.0, 0.2, 0.1, 0.25, 0.2)
 #: Stands for any source, or any language and source; names of real ones are empty or begin with "=".
 POOLED = "*"
 DIMS = len(FLOOR)
+#: Bytes of parameters that are sent to all tasks at most; beyond it rows are dealt by group and salt.
+SENT_BYTES = 4 << 20
 #: Share of a normal sample that is rejected.
 TAIL = 1e-6
 
@@ -189,6 +191,22 @@ def _levels(rows: DataFrame, *columns: str) -> DataFrame:
     return each.select("o_lang", "o_source", *columns, "of.*")
 
 
+def _meet(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
+    """The rows with their group's parameters, without a task that has to take a whole group.
+
+    Parameters of a checked size are sent to all tasks, and rows stay where they are; greater ones have a copy for each
+    shuffle partition, and a group's rows are dealt to these copies in turn.
+    """
+    key = ["g_lang", "g_source"]
+    width = 8 * (len(params.columns) + 4)
+    size = params.agg(F.sum(width + F.octet_length("g_lang") + F.octet_length("g_source"))).first()[0]
+    if (size or 0) <= SENT_BYTES:
+        return rows.join(F.broadcast(params), key, how)
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod("turn", F.lit(salts)).cast("int")).join(copies.hint("merge"), [*key, "_salt"], how).drop("_salt")
+
+
 def _starts(rows: DataFrame) -> DataFrame:
     """Two first estimates a group: medians with the quartiles' spread, and medians with the floors."""
     quartiles = rows.groupBy("g_lang", "g_source").agg(F.count("*").alias("n"), *(F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"r{i}") for i in range(DIMS)))
@@ -204,13 +222,13 @@ def _starts(rows: DataFrame) -> DataFrame:
 def judged(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "quality")
     group = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(f"g_{c}") for c in ("lang", "source")]
-    stats = scratch.cut(statistics(docs).select("*", base_failed().alias("base_failed"), *_vector(), *group), "statistics")
+    stats = scratch.cut(statistics(docs).select("*", base_failed().alias("base_failed"), *_vector(), *group, F.monotonically_increasing_id().alias("turn")), "statistics")
     key = ["g_lang", "g_source"]
-    rows = _levels(stats.where(~F.col("base_failed")), *(f"x{i}" for i in range(DIMS))).drop("level", "o_lang", "o_source")
+    rows = _levels(stats.where(~F.col("base_failed")), "turn", *(f"x{i}" for i in range(DIMS))).drop("level", "o_lang", "o_source")
     params = scratch.cut(_starts(rows), "start")
     for step in range(STEPS):
         # 32 bins to each doubling of the distance; beyond 2**40 all are alike.
-        binned = rows.join(params, key).withColumn("bin", F.floor(32 * F.log2(1 + F.least(F.greatest(_distance(), F.lit(0.0)), F.lit(2.0**40)))).cast("int"))
+        binned = _meet(rows, params).withColumn("bin", F.floor(32 * F.log2(1 + F.least(F.greatest(_distance(), F.lit(0.0)), F.lit(2.0**40)))).cast("int"))
         sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS)]
         bins = binned.groupBy(*key, "trial", "bin").agg(*sums)
         params = scratch.cut(bins.groupBy(*key, "trial").applyInPandas(_concentrate, PARAMS), f"step{step}")
@@ -221,4 +239,4 @@ def judged(spark: SparkSession, docs: DataFrame) -> DataFrame:
     chosen = _levels(stats.select(*key).distinct()).join(enough, key).groupBy("o_lang", "o_source").agg(F.min_by(F.struct(*values), "level").alias("best"))
     chosen = scratch.cut(chosen.select(F.col("o_lang").alias("g_lang"), F.col("o_source").alias("g_source"), "best.*"), "chosen")
     far = F.coalesce(_distance() > LIMIT, F.lit(False))
-    return stats.join(chosen, key, "left").select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", _distance().alias("distance"), (~F.col("base_failed") & ~far).alias("kept"))
+    return _meet(stats, chosen, "left").select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", _distance().alias("distance"), (~F.col("base_failed") & ~far).alias("kept"))

@@ -339,6 +339,66 @@ def test_quality_outliers(spark):
     assert rejected == set(range(0, 300, 20)) - {i for i in got if got[i]["base_failed"]}
 
 
+def brute_verdicts(rows):
+    """Row numbers that pass, from (lang, source, base_failed, vector), on whole arrays and without tables."""
+    x = np.array([r[3] for r in rows], float).reshape(-1, 5)
+    passed = np.array([not r[2] for r in rows], bool)
+    unit, dims = quality.UNIT, range(5)
+    floor = np.diag((np.array(quality.FLOOR) * unit) ** 2)
+
+    def estimate(mine):
+        v, n, best = x[mine], int(mine.sum()), None
+        lo, mid, hi = np.percentile(v, [25, 50, 75], axis=0)
+        for spread in (((hi - lo) / 1.349) ** 2, np.zeros(5)):
+            mean, cov = mid, np.diag(spread) + floor
+            for _ in range(quality.STEPS):
+                d = np.einsum("ni,ij,nj->n", v - mean, np.linalg.inv(cov), v - mean)
+                bins = np.floor(32 * np.log2(1 + np.clip(d, 0, 2.0**40)))
+                edge = np.sort(bins)[int(np.ceil(quality.KEEP * n)) - 1]
+                near = v[bins <= edge]
+                mean = near.mean(axis=0)
+                few = max(0.0, 1 - n / quality.LEAST_ROWS) * np.diag((np.array(quality.WIDE) * unit) ** 2)
+                cov = ((near.T @ near) / len(near) - np.outer(mean, mean)) / 0.55 + few + floor
+            det = np.linalg.slogdet(cov)[1]
+            if best is None or det < best[0]:
+                best = (det, mean, np.linalg.inv(cov))
+        return n, best
+
+    out = set()
+    for k, (lang, source, failed, _) in enumerate(rows):
+        if failed:
+            continue
+        wider = [lambda r: r[:2] == (lang, source), lambda r: r[0] == lang, lambda r: True]
+        for level, same in enumerate(wider):
+            mine = np.array([same(r) for r in rows]) & passed
+            if mine.sum() >= quality.LEAST_ROWS or level == 2:
+                _, (_, mean, inverse) = estimate(mine)
+                if (x[k] - mean) @ inverse @ (x[k] - mean) <= quality.LIMIT:
+                    out.add(k)
+                break
+    return out
+
+
+# As parameters are sent to all tasks, and as rows are dealt by group and salt.
+@pytest.mark.parametrize("sent", [quality.SENT_BYTES, 0])
+def test_quality_verdicts_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(quality, "SENT_BYTES", sent)
+    rng = random.Random(41)
+    lines = lambda n: "\n".join(" ".join(rng.choices(WORDS, k=rng.randint(5, 9))) for _ in range(n))
+    texts = [lines(rng.randint(8, 60)) for _ in range(150)] + ["", None, "few words"] * 2
+    for i in range(0, 150, 11):
+        texts[i] = re.sub(r"\b", "#" if i % 2 else "", texts[i]) + ("\n" + texts[i][:200]) * (i % 4)
+    place = lambda i: (("en", "fr", None)[i % 7 % 3], (None, "a", "b", "a")[i % 4])
+    docs = spark.createDataFrame([(i, t, *place(i)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    vectors = {r["doc_id"]: r for r in quality.statistics(docs).select("doc_id", quality.base_failed().alias("failed"), F.array(*quality._vector()).alias("x")).collect()}
+    rows = [(*place(i), vectors[i]["failed"], vectors[i]["x"]) for i in range(len(texts))]
+    got = quality.judged(spark, docs).collect()
+    assert len(got) == len(texts)
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert kept == brute_verdicts(rows)
+    assert 0 < len(kept) < sum(not r[2] for r in rows)
+
+
 def test_quality_small_groups(spark):
     rng = random.Random(14)
     clean = [" ".join(rng.choices(WORDS, k=rng.randint(60, 400))) for _ in range(120)]
