@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.formulas import listed
 from ..functions.text import let
 
 SEPARATOR = "\n\n---\n\n"
@@ -123,6 +124,20 @@ def article_text(nodes: DataFrame) -> DataFrame:
     return once.groupBy("article", "language").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n\n").alias("text"))
 
 
+def article_view(nodes: DataFrame) -> DataFrame:
+    """What a reader of an article sees, by article and language: its first node's place, its text, and what it refers to.
+
+    Nodes come in order of ``pos``, each id once; blank texts are left out.
+    """
+    of = ["article", "language"]
+    place = ["article_title", "part", "title", "chapter", "section", "referenced_articles", "referenced_external"]
+    once = nodes.where("article is not null").groupBy(*of, "node_id").agg(F.min(F.struct("pos", "text", *place)).alias("m"))
+    in_order = F.array_sort(F.collect_list(F.struct(F.col("m.pos").alias("pos"), "node_id", F.col("m.text").alias("text"))))
+    first = F.min_by("m", F.struct("m.pos", "node_id"))
+    seen = once.groupBy(*of).agg(F.filter(F.transform(in_order, lambda r: r["text"]), lambda t: F.trim(t) != "").alias("texts"), first.alias("f"))
+    return seen.select(*of, *(F.col(f"f.{c}").alias(c) for c in place[:5]), *(listed(F.col(f"f.{c}")).alias(c) for c in place[5:]), F.array_join("texts", "\n\n").alias("text"))
+
+
 def choose_prompt(kind: Column, confidence: Column, direct: Column, has_history: Column) -> Column:
     weak = (kind == "SPECIFIC") & (F.coalesce(confidence, F.lit(0.0)) < 0.40) & direct.isNull()
     return F.when(weak, "fallback").when(has_history, "with_history").otherwise("default")
