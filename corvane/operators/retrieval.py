@@ -97,11 +97,13 @@ def rrf_merge(first: DataFrame, second: DataFrame, cap: int, k: int = 60) -> Dat
 def dedup_by_article(hits: DataFrame, margin: float = 0.02) -> DataFrame:
     """One hit an article: its best whole-article chunk, unless a paragraph beats it by more than ``margin``."""
     key = F.coalesce(F.nullif("article", F.lit("")), F.col("node_id").cast("string"))
-    top = lambda kind: F.max(F.when((F.col("chunk_type") == "PARAGRAPH") == F.lit(kind == "PARAGRAPH"), F.struct("score", (-F.col("node_id")).alias("m"))))
+    # The greatest score, then the smallest id: ids may be text, so it is the score that is negated.
+    place = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("less"), "node_id", "score")
+    top = lambda kind: F.min(F.when((F.col("chunk_type") == "PARAGRAPH") == F.lit(kind == "PARAGRAPH"), place))
     grouped = hits.withColumn("_key", key).groupBy("query_id", "_key").agg(top("ARTICLE").alias("a"), top("PARAGRAPH").alias("p"))
     whole = F.col("p").isNull() | (F.col("a").isNotNull() & (F.round(F.col("p.score") - F.col("a.score"), 9) <= margin))
     won = F.when(whole, F.col("a")).otherwise(F.col("p"))
-    out = grouped.select("query_id", (-won["m"]).alias("node_id"), won["score"].alias("score"))
+    out = grouped.select("query_id", won["node_id"].alias("node_id"), won["score"].alias("score"))
     return _ranked(out, "query_id", F.col("score").desc(), F.col("node_id"))
 
 

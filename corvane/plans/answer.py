@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import context as cx
 from ..operators import graph, retrieval
-from .providers import Providers
+from .providers import Providers, clamp, coalesced
 
 GREETING = "Hello! Ask me about the document."
 
@@ -32,12 +32,34 @@ class Settings:
     providers: Providers = field(default_factory=Providers)
 
 
-def classify(queries: DataFrame) -> DataFrame:
+def classify(queries: DataFrame, providers: Providers) -> DataFrame:
+    """The questions' kinds and forms; what is searched for is the rewritten question, or the question where there is none."""
     q = F.col("query")
-    plain = tx.normalise_query(q)
+    plain = tx.normalise_query(coalesced(providers.rewrite(q), q))
     return queries.withColumns({"normalised": plain, "kind": tx.classify(q), "language": tx.detect_language(q), "article": tx.direct_article(plain), "signal": tx.definition_signal(plain), "multi_hop": tx.is_multi_hop(q)})
 
 
+def fan_out(asked: DataFrame, sub_questions) -> DataFrame:
+    """Questions with several steps and the sub-questions they are taken apart into, as (parent, sub) in ``query_id``; 0 is the question."""
+    parts = F.when(F.col("multi_hop"), F.filter(sub_questions(F.col("query")), lambda s: F.trim(s) != ""))
+    each = asked.select("*", F.posexplode(F.concat(F.array("normalised"), F.coalesce(parts, F.array().cast("array<string>")))).alias("sub", "part"))
+    form = F.when(F.col("sub") == 0, F.col("part")).otherwise(tx.normalise_query(F.col("part")))
+    return each.withColumns({"normalised": form, "query_id": F.struct(F.col("query_id").alias("parent"), "sub")}).drop("part", "sub")
+
+
+def rank_parts(asked: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
+    """Ranked hits; those of a question and its sub-questions are merged, each node with its best score."""
+    if settings.providers.sub_questions is None:
+        return rank(asked, nodes, settings)
+    parts = fan_out(asked, settings.providers.sub_questions)
+    found = rank(parts, nodes, settings).select("*", "query_id.parent", "query_id.sub").persist()
+    several = parts.where("query_id.sub = 1").select("query_id.parent")
+    whole = found.join(several, "parent", "left_anti").withColumn("query_id", F.col("parent"))
+    merged = retrieval.multi_query_merge(found.join(several, "parent", "left_semi"), "parent").withColumnRenamed("query_id", "parent")
+    best = found.drop("score", "rank", "query_id").join(merged, ["parent", "node_id", "sub"]).withColumn("query_id", F.col("parent"))
+    return whole.unionByName(best.select(*whole.columns)).drop("parent", "sub")
+
+
 def rank(queries: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     """Hybrid hits of each query in its language: fused, reranked, boosted, one an article, close ones settled."""
     p = settings.providers
@@ -62,9 +84,9 @@ def answer(queries: DataFrame, nodes: DataFrame, edges: DataFrame, settings: Set
     """(query_id, kind, context, answer, confidence) for (query_id, query)."""
     settings = settings or Settings()
     # Used by every route: kept, so that no route works it out again.
-    asked = classify(queries).persist()
+    asked = classify(queries, settings.providers).persist()
     direct = retrieval.direct_retrieve(asked.where("kind = 'DIRECT_ARTICLE'"), nodes)
-    searched = rank(asked.where("kind in ('SPECIFIC', 'DEFINITION')"), nodes, settings).persist()
+    searched = rank_parts(asked.where("kind in ('SPECIFIC', 'DEFINITION')"), nodes, settings).persist()
     columns = ["query_id", "node_id", "article", "article_title", "language", "text", "score", "rank"]
     hits = direct.select(*columns).unionByName(searched.select(*columns))
     seeds = searched.select("query_id", "article", F.col("rank").alias("pos")).where("article is not null")
@@ -78,3 +100,10 @@ def answer(queries: DataFrame, nodes: DataFrame, edges: DataFrame, settings: Set
     out = asked.join(context, "query_id", "left").join(confidence, "query_id", "left")
     said = F.when(F.col("kind") == "CONVERSATIONAL", GREETING).otherwise(cx.completed(F.coalesce("context", F.lit("")), settings.providers.answer(F.col("query"), F.concat(cx.key_facts(F.coalesce("context", F.lit(""))), "context"))))
     return out.select("query_id", "kind", cx.truncate(F.col("context")).alias("context"), said.alias("answer"), "confidence")
+
+
+def judged(answers: DataFrame, references: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The answers with (query_id, reference)'s judgement from 0 to 1; NULL where there is no reference or no judgement."""
+    judge = (settings or Settings()).providers.judge
+    score = F.when(F.col("answer").isNotNull() & F.col("reference").isNotNull(), clamp(judge(F.col("answer"), F.col("reference"))))
+    return answers.join(references.select("query_id", "reference"), "query_id", "left").withColumn("judgement", score).drop("reference")

@@ -66,7 +66,8 @@ class Providers:
     embed: Callable[[Column], Column] = hashed_vector
     score: Callable[[Column, Column], Column] = overlap_score
     rewrite: Callable[[Column], Column] = lambda q: q
-    sub_questions: Callable[[Column], Column] = lambda q: F.array().cast("array<string>")
+    #: None: questions aren't taken apart.
+    sub_questions: Callable[[Column], Column] | None = None
     answer: Callable[[Column, Column], Column] = lambda q, c: extract_answer(c)
     judge: Callable[[Column, Column], Column] = lambda a, ref: F.lit(None).cast("double")
 
@@ -77,7 +78,8 @@ def coalesced(primary: Column, fallback: Column) -> Column:
 
 
 def clamp(score: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    """The score within 0 and 1; NULL stays NULL."""
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
 def parse_sub_questions(text: Column, most: int = 3) -> Column:
