@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, maxscore, mixing, neardup, packing, pii, quality, repeats, token_store, toxicity
+from . import impact_bits, licences, main_text, maxscore, mixing, neardup, packing, pii, quality, repeats, token_store, toxicity, vector_codes
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_impact_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_bits.ranked(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -63,6 +75,9 @@ QUERIES = {
         op8_maxscore_search,
         op9_best_fit_packing,
         op10_pii_spans,
+        op11_vector_codes,
+        op12_line_blocks,
+        op13_impact_bits,
     )
 }
 #: The same rows in SQL, where it can say them.
@@ -70,4 +85,6 @@ ORACLES = {
     "op3_poisson_mixing": mixing.oracle(),
     "op4_licence_sentences": licences.oracle(),
     "op8_maxscore_search": maxscore.oracle(),
+    "op11_vector_codes": vector_codes.oracle(),
+    "op13_impact_bits": impact_bits.oracle(),
 }
