@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.refs import ROMAN
 from ..functions.text import article_order
+from ..sources.workspace import shared_folder, stored
 
 #: The article of definitions is never walked to.
 SKIPPED = "4"
@@ -95,56 +96,118 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("back_reference").alias("kind"), "pos")
 
 
-def walk(seeds: DataFrame, edges: DataFrame, depth: int, budget: Column) -> DataFrame:
+def traverse(seeds: DataFrame, edges: DataFrame, depth: int, budget: Column, exclude: DataFrame | None = None, direction: str = "forward") -> DataFrame:
     """(query_id, article, depth, rank): articles reached from the seeds (query_id, article, pos), nearest first.
 
-    One join a level. A node's out-edges come by priority and place; a node
-    counts where it is first met. Reached nodes may not be seeds or the article
-    of definitions; the budget limits each query's list.
+    Semi-naive: a level joins only the level before with the edges, and is written
+    to the shared folder with its ranks, so that no level's plan holds another's.
+    A node's out-edges come by priority and place, after those of nodes that rank
+    before it; a node counts where it is first met. Seeds, rows of ``exclude``
+    (query_id, article) and the article of definitions are never reached. ``budget``,
+    a column of the seeds, is the most that a query reaches; a query that has it
+    is walked no further. The walk ends with the first level that reaches nothing.
     """
-    out = edges.where(F.col("dst") != SKIPPED).select("src", "dst", priority(F.col("kind")).alias("p"), F.col("pos").alias("e"))
-    front = seeds.select("query_id", F.col("article").alias("at"), F.array(F.col("pos").cast("int")).alias("path"))
-    seen = seeds.select("query_id", F.col("article").alias("dst"))
-    levels = []
+    spark, base = seeds.sparkSession, shared_folder(seeds.sparkSession, "walk")
+    if direction == "reverse":
+        edges = reversed_edges(edges)
+    out = stored(edges.where(F.col("dst") != SKIPPED).select("src", "dst", priority(F.col("kind")).alias("p"), F.col("pos").alias("e")), f"{base}/edges")
+    # Ranks of seeds come before all others: 1 - their number and up to 0.
+    own = seeds.groupBy("query_id", "article").agg(F.min("pos").alias("pos"), F.max(budget).alias("budget"))
+    in_order = Window.partitionBy("query_id").orderBy(F.col("pos").desc(), F.col("article").desc())
+    front = stored(own.select("query_id", "article", F.lit(0).alias("depth"), (1 - F.row_number().over(in_order)).alias("rank"), "budget"), f"{base}/seen/level=0")
+    columns = front.schema
+    outside = None if exclude is None else stored(exclude.select("query_id", "article").distinct(), f"{base}/exclude")
     for d in range(1, depth + 1):
-        step = front.join(out, front["at"] == out["src"]).select("query_id", "dst", F.concat("path", F.array(F.col("p").cast("int"), F.col("e").cast("int"))).alias("path"))
-        first = step.join(seen, ["query_id", "dst"], "left_anti").groupBy("query_id", "dst").agg(F.min("path").alias("path"))
-        levels.append(first.withColumn("depth", F.lit(d)))
-        seen = seen.unionByName(first.select("query_id", "dst"))
-        front = first.select("query_id", F.col("dst").alias("at"), "path")
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
-    w = Window.partitionBy("query_id").orderBy("depth", "path", "dst")
-    ranked = every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= budget)
-    return ranked.select("query_id", F.col("dst").alias("article"), "depth", "rank")
-
-
-def siblings(seeds: DataFrame, nodes: DataFrame, most: int = 3, of_first: int = 2) -> DataFrame:
-    """Other articles of the first seeds' section (within its chapter), or else chapter, title and part."""
+        seen = spark.read.schema(columns).parquet(f"{base}/seen")
+        met = front.join(out, front["article"] == out["src"]).groupBy("query_id", F.col("dst").alias("article")).agg(F.min(F.struct("rank", "p", "e")).alias("at"))
+        new = met.join(seen.select("query_id", "article"), ["query_id", "article"], "left_anti")
+        if outside is not None:
+            new = new.join(outside, ["query_id", "article"], "left_anti")
+        so_far = seen.groupBy("query_id").agg(F.max("rank").alias("n"), F.max("budget").alias("budget")).where("n < budget")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("at", "article"))
+        ranked = new.join(so_far, "query_id").withColumn("rank", F.col("n") + place).where("rank <= budget")
+        front = stored(ranked.select("query_id", "article", F.lit(d).alias("depth"), "rank", "budget"), f"{base}/seen/level={d}")
+        if front.isEmpty():
+            break
+    return spark.read.schema(columns).parquet(f"{base}/seen").where("depth > 0").select("query_id", "article", "depth", "rank")
+
+
+def walk(seeds: DataFrame, edges: DataFrame, depth: int, budget: Column) -> DataFrame:
+    """``traverse`` without exclusions."""
+    return traverse(seeds, edges, depth, budget)
+
+
+def expansion(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2, most_citing: int = 2, most_siblings: int = 3) -> DataFrame:
+    """(query_id, article, rank): what the graph adds to seeds (query_id, article, pos, budget).
+
+    First what they refer to; then, within what is left of the budget, up to two
+    articles that refer to them, and up to three of the first two seeds' section.
+    """
+    base = shared_folder(seeds.sparkSession, "expansion")
+    seeds = stored(seeds, f"{base}/seeds")
+    found = stored(traverse(seeds, edges, depth, F.col("budget")).select("query_id", "article", "rank"), f"{base}/found/part=0")
+
+    def left(most: int) -> DataFrame:
+        """The seeds of queries that may still take some, with how many."""
+        n = found.groupBy("query_id").agg(F.count("*").alias("n"))
+        return seeds.join(n, "query_id", "left").withColumn("budget", F.least(F.lit(most), F.col("budget") - F.coalesce("n", F.lit(0)))).where("budget > 0").drop("n")
+
+    def add(part: int, rows: DataFrame) -> DataFrame:
+        n = found.groupBy("query_id").agg(F.max("rank").alias("n"))
+        stored(rows.join(n, "query_id", "left").select("query_id", "article", (F.col("rank") + F.coalesce("n", F.lit(0))).cast("int").alias("rank")), f"{base}/found/part={part}")
+        return seeds.sparkSession.read.schema(found.schema).parquet(f"{base}/found").select(*found.columns)
+
+    found = add(1, traverse(left(most_citing), edges, 1, F.col("budget"), exclude=found, direction="reverse"))
+    more = left(most_siblings)
+    near = siblings(more, nodes, most_siblings, exclude=found).join(more.groupBy("query_id").agg(F.max("budget").alias("budget")), "query_id").where(F.col("rank") <= F.col("budget"))
+    return add(2, near)
+
+
+def siblings(seeds: DataFrame, nodes: DataFrame, most: int = 3, of_first: int = 2, exclude: DataFrame | None = None) -> DataFrame:
+    """Other articles of the first seeds' section (within its chapter), or else chapter, title and part.
+
+    With ``exclude`` (query_id, article), these and the article of definitions are left out as well as the seeds.
+    """
+    out = seeds.select("query_id", "article")
+    if exclude is not None:
+        out = out.unionByName(exclude.select("query_id", "article"))
+        nodes = nodes.where(F.col("article") != SKIPPED)
     place = F.when(F.nullif("section", F.lit("")).isNotNull(), F.concat_ws("|", F.lit("s"), "section", F.coalesce("chapter", F.lit("")))).otherwise(F.concat_ws("|", F.lit("c"), F.coalesce("chapter", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("part", F.lit(""))))
     at = nodes.groupBy("article", place.alias("place")).agg(F.min("pos").alias("pos"))
-    # Of each place, its first articles are enough: ``most`` besides all of one query's seeds.
-    many = seeds.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    # Of each place, its first articles are enough: ``most`` besides all that one query leaves out.
+    many = out.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     in_order = Window.partitionBy("place").orderBy("pos", "article")
     firsts = at.withColumn("_n", F.row_number().over(in_order)).where(F.col("_n") <= most + many).drop("_n")
     own = seeds.where(F.col("pos") <= of_first).join(at.select("article", "place"), "article").select("query_id", F.col("pos").alias("seed_pos"), "place")
-    near = own.join(firsts, "place").join(seeds.select("query_id", "article"), ["query_id", "article"], "left_anti")
+    near = own.join(firsts, "place").join(out, ["query_id", "article"], "left_anti")
     once = near.groupBy("query_id", "article").agg(F.min(F.struct("seed_pos", "pos")).alias("o"))
     w = Window.partitionBy("query_id").orderBy("o", "article")
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "article", "rank")
 
 
-def listed_expansion(hits: DataFrame, limit: int = 3, sources: int = 3) -> DataFrame:
+def listed_expansion(hits: DataFrame, limit: int = 3, sources: int = 3, nodes: DataFrame | None = None) -> DataFrame:
     """(query_id, article, rank): without a graph, articles that the first hits refer to, by number.
 
     ``hits`` has query_id, rank, article and ``refs``, a list with commas. The
-    hits' own articles and the article of definitions are left out.
+    hits' own articles and the article of definitions are left out. With ``nodes``
+    (article, refs), what is left of the limit goes to articles that those found
+    refer to in turn.
     """
-    named = hits.where(F.col("rank") <= sources).select("query_id", F.explode(F.split("refs", ",")).alias("article")).select("query_id", F.trim("article").alias("article")).where("article <> ''").distinct()
-    new = named.join(hits.select("query_id", "article").distinct(), ["query_id", "article"], "left_anti").where(F.col("article") != SKIPPED)
+
+    def listed(rows: DataFrame, known: DataFrame) -> DataFrame:
+        named = rows.select("query_id", F.explode(F.split("refs", ",")).alias("article")).select("query_id", F.trim("article").alias("article")).where("article <> ''").distinct()
+        return named.join(known, ["query_id", "article"], "left_anti").where(F.col("article") != SKIPPED)
+
+    known = hits.select("query_id", "article").distinct()
     w = Window.partitionBy("query_id").orderBy(*article_order(F.col("article")))
-    return new.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    first = listed(hits.where(F.col("rank") <= sources), known).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    if nodes is None:
+        return first
+    first = stored(first, shared_folder(hits.sparkSession, "listed"))
+    again = listed(first.join(nodes.select("article", "refs"), "article"), known.unionByName(first.select("query_id", "article")))
+    n = first.groupBy("query_id").agg(F.count("*").alias("n"))
+    second = again.join(n, "query_id").withColumn("rank", F.row_number().over(w) + F.col("n").cast("int")).where(F.col("rank") <= limit).drop("n")
+    return first.unionByName(second)
 
 
 def annex_expansion(hits: DataFrame, limit: int = 3, sources: int = 3) -> DataFrame:
@@ -178,11 +241,15 @@ def citing(articles: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def reach(seeds: DataFrame, edges: DataFrame, most_depth: int) -> DataFrame:
-    """(query_id, article, depth) for any depth: one join a level, each node where it is first met."""
-    seen = seeds.select("query_id", "article", F.lit(0).alias("depth"))
-    front = seen
+    """(query_id, article, depth) for any depth, each node where it is first met; levels are stored as in ``traverse``."""
+    spark, base = seeds.sparkSession, shared_folder(seeds.sparkSession, "reach")
+    edges = stored(edges.select("src", "dst").distinct(), f"{base}/edges")
+    front = stored(seeds.select("query_id", "article", F.lit(0).alias("depth")).distinct(), f"{base}/seen/level=0")
+    columns = front.schema
     for d in range(1, most_depth + 1):
+        seen = spark.read.schema(columns).parquet(f"{base}/seen")
         met = front.join(edges, front["article"] == edges["src"]).select("query_id", F.col("dst").alias("article")).distinct()
-        front = met.join(seen.select("query_id", "article"), ["query_id", "article"], "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
-    return seen
+        front = stored(met.join(seen.select("query_id", "article"), ["query_id", "article"], "left_anti").withColumn("depth", F.lit(d)), f"{base}/seen/level={d}")
+        if front.isEmpty():
+            break
+    return spark.read.schema(columns).parquet(f"{base}/seen").select(*columns.names)

@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import title_tokens, tokens
-
-#: Bytes of the query side that may be sent to all tasks; larger batches are dealt out.
-MOST_SENT = 8 << 20
+from ..functions.text import title_tokens
+from ..sources.dense_index import DenseIndex
+from ..sources.workspace import shared_folder
 
 
 def _ranked(df: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
@@ -25,49 +24,13 @@ def best(hits: DataFrame, k: int, *order: Column) -> DataFrame:
     return _ranked(hits, "query_id", *(order or (F.col("score").desc(), F.col("node_id")))).where(F.col("rank") <= k)
 
 
-def _unit(v: str) -> Column:
-    x = F.transform(v, lambda c: c.cast("double"))
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, c: a + c * c))
-    return F.transform(x, lambda c: c / F.nullif(norm, F.lit(0.0)))
-
-
 def dense_topk(queries: DataFrame, nodes: DataFrame, k: int, keep_self: bool = False) -> DataFrame:
-    """Cosine top-k of (query_id, vector) among (node_id, vector); vectors are made unit once, on either side.
+    """Cosine top-k of (query_id, vector) among (node_id, vector), by an index that is built for this call.
 
-    A query batch whose plan size is within MOST_SENT goes to all tasks; a larger
-    one is dealt out by block, so that no task holds all of it.
+    Where nodes are searched more than once, keep a ``DenseIndex``.
     """
-    q = queries.select("query_id", _unit("vector").alias("_q"))
-    n = nodes.select("node_id", _unit("vector").alias("_n"))
-    size, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    if size * (width + 2) * 8 <= MOST_SENT:
-        pairs = n.join(F.broadcast(q))
-    else:
-        blocks = max(1, size // 2000)
-        pairs = n.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "_b").drop("_b")
-    if not keep_self:
-        pairs = pairs.where("query_id <> node_id")
-    score = F.round(F.aggregate(F.zip_with("_q", "_n", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6)
-    return best(pairs.select("query_id", "node_id", score.alias("score")), k)
-
-
-def postings(nodes: DataFrame) -> DataFrame:
-    """(term, node_id, tf, length): the inverted index of (node_id, text)."""
-    words = nodes.select("node_id", tokens(F.col("text")).alias("w"))
-    return words.select("node_id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", "node_id", "length").agg(F.count("*").alias("tf"))
-
-
-def bm25_topk(queries: DataFrame, index: DataFrame, n_nodes: Column, mean_length: Column, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 by an equi-join of query terms with the postings; only query terms' postings are read further."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    # Pushed below the index's aggregation: other terms are never shuffled.
-    index = index.join(asked.select("term").distinct(), "term", "left_semi")
-    met = index.join(asked, "term")
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n_nodes - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_length))
-    scored = met.join(df, "term").groupBy("query_id", "node_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return best(scored, k)
+    index = DenseIndex.build(nodes, shared_folder(nodes.sparkSession, "dense"))
+    return index.search(queries, k, keep_self=keep_self)[0]
 
 
 def min_max(df: DataFrame, score: str, key: str = "query_id") -> Column:

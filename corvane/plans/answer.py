@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import context as cx
 from ..operators import graph, retrieval
+from ..sources.postings import Postings, of_texts
+from ..sources.workspace import shared_folder
 from .providers import Providers, clamp, coalesced
 
 GREETING = "Hello! Ask me about the document."
@@ -66,9 +68,7 @@ def rank(queries: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     asked = queries.withColumn("vector", p.embed(F.col("normalised")))
     indexed = nodes.withColumn("vector", p.embed(F.col("text")))
     dense = retrieval.dense_topk(asked, indexed, settings.top_k, keep_self=True)
-    figures = nodes.agg(F.count("*").alias("n"), F.avg(F.size(tx.tokens(F.col("text")))).alias("m"))
-    total = figures.first()
-    sparse = retrieval.bm25_topk(asked.select("query_id", F.col("normalised").alias("text")), retrieval.postings(nodes), F.lit(float(total["n"])), F.lit(float(total["m"] or 1)), settings.top_k)
+    sparse = Postings.create(of_texts(nodes), shared_folder(nodes.sparkSession, "words")).bm25(asked.select("query_id", F.col("normalised").alias("text")), settings.top_k)
     fused = retrieval.similarity_cutoff(retrieval.hybrid_fusion(dense, sparse, settings.alpha, settings.top_k), settings.cutoff)
     rich = fused.drop("rank").join(nodes, "node_id").join(queries.select("query_id", F.col("normalised").alias("query"), F.col("language").alias("_l")), "query_id")
     own = rich.where("language = _l or language is null").drop("_l")

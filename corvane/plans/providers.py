@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 
 WIDTH = 64
 
@@ -48,6 +48,43 @@ def hashed_vector(text: Column) -> Column:
     return batched(_load_hashing, "array<double>")(text)
 
 
+#: What an encoder gives for a text: a dense vector, and the weights that it has learned for terms.
+ENCODED = "struct<dense:array<double>,sparse:map<bigint,double>>"
+
+
+def lexical_weights(text: Column) -> Column:
+    """The offline stand-in for learned term weights: of each hashed word, the logarithm of its count, scaled to length 1.
+
+    Terms of one hash keep the greatest weight, as repeated tokens of a model do. A text without words has no weight.
+    """
+    words = F.sort_array(F.coalesce(tokens(text), F.array().cast("array<string>")))
+
+    def weigh(w: Column) -> Column:
+        edges = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: (i == 0) | (i == F.size(w)) | (F.get(w, i) != F.get(w, i - 1)))
+
+        def runs(e: Column) -> Column:
+            counted = F.transform(
+                F.sequence(F.lit(0), F.greatest(F.size(e) - 2, F.lit(0))),
+                lambda j: F.struct(F.conv(F.substring(F.md5(F.get(w, F.get(e, j))), 1, 7), 16, 10).cast("bigint").alias("term"), F.log1p((F.get(e, j + 1) - F.get(e, j)).cast("double")).alias("v")),
+            )
+            return let(F.sort_array(counted), scaled)
+
+        return F.when(F.size(w) > 0, let(edges, runs)).otherwise(F.create_map().cast("map<bigint,double>"))
+
+    def scaled(c: Column) -> Column:
+        # In order of terms and weights: of equal terms the last one, with the greatest weight, stays.
+        once = F.filter(c, lambda x, i: (i == F.size(c) - 1) | (F.get(c, i + 1)["term"] != x["term"]))
+        norm = lambda o: F.sqrt(F.aggregate(o, F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
+        return let(once, lambda o: let(norm(o), lambda n: F.map_from_entries(F.transform(o, lambda x: F.struct(x["term"], F.round(x["v"] / n, 4))))))
+
+    return let(words, weigh)
+
+
+def encode_both(text: Column) -> Column:
+    """Dense and sparse vector of a text, as ENCODED."""
+    return F.struct(hashed_vector(text).alias("dense"), lexical_weights(text).alias("sparse"))
+
+
 def overlap_score(query: Column, text: Column) -> Column:
     """The share of the query's words that the text has."""
     q = F.array_distinct(tokens(query))
@@ -64,6 +101,8 @@ class Providers:
     """Embedding, pair scoring, query rewriting, sub-questions, synthesis and judging, as Column functions."""
 
     embed: Callable[[Column], Column] = hashed_vector
+    #: Both vectors at once, as a model with two heads gives them.
+    encode: Callable[[Column], Column] = encode_both
     score: Callable[[Column, Column], Column] = overlap_score
     rewrite: Callable[[Column], Column] = lambda q: q
     #: None: questions aren't taken apart.

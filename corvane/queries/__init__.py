@@ -7,9 +7,12 @@ stands for a table.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.workspace import shared_folder
+
 
 def rel(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A SQL text over the tables' parquet files; nothing is put into the catalogue."""
@@ -18,3 +21,14 @@ def rel(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 def duck(text: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", text)
+
+
+_STORED: dict[tuple[str, str, str], object] = {}
+
+
+def stored_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], object]) -> object:
+    """An index over the folder's tables: built when a session first asks for it, and read from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = build(shared_folder(spark, name))
+    return _STORED[key]

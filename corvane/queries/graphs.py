@@ -79,6 +79,55 @@ def bfs_general(spark, sf):
     return g.reach(seeds(spark, sf).select("query_id", "article").distinct(), edges(spark, sf), 3)
 
 
+@register(
+    "bfs_deep",
+    f"""WITH RECURSIVE {_E}, seeds AS (SELECT query_id, article FROM ({duck(_SEEDS)})), r AS (SELECT query_id, article, 0 AS depth FROM seeds UNION SELECT query_id, dst, depth + 1 FROM r JOIN edges ON article = src WHERE depth < 8)
+SELECT query_id, article, min(depth)::INTEGER AS depth FROM r GROUP BY ALL""",
+)
+def bfs_deep(spark, sf):
+    """Eight levels: the plan of a level doesn't grow with those before it."""
+    return g.reach(seeds(spark, sf).select("query_id", "article"), edges(spark, sf), 8)
+
+
+_OUT = "SELECT s_suppkey AS query_id, CAST(s_suppkey * 7 % 97 + 1 AS STRING) AS article FROM {supplier} UNION ALL SELECT s_suppkey, CAST(s_suppkey % 53 + 1 AS STRING) FROM {supplier}"
+
+
+@register(
+    "bfs_excluding",
+    "WITH "
+    + _E
+    + ", x AS ("
+    + duck(_OUT)
+    + "), "
+    + _walk("edges", 4)
+    .replace("ANTI JOIN seeds s2 ON s2.query_id = seeds.query_id AND s2.article = dst", "ANTI JOIN seeds s2 ON s2.query_id = seeds.query_id AND s2.article = dst ANTI JOIN x ON x.query_id = seeds.query_id AND x.article = dst")
+    .replace("ANTI JOIN seeds s2 ON s2.query_id = l1.query_id AND s2.article = o.dst", "ANTI JOIN seeds s2 ON s2.query_id = l1.query_id AND s2.article = o.dst ANTI JOIN x ON x.query_id = l1.query_id AND x.article = o.dst"),
+)
+def bfs_excluding(spark, sf):
+    """A walk that never reaches a query's excluded articles."""
+    return g.traverse(seeds(spark, sf), edges(spark, sf), 2, F.lit(4), exclude=rel(spark, sf, _OUT))
+
+
+@register(
+    "graph_expansion",
+    f"""WITH {_E}, {_BACK}, {_walk('edges', 2)[:_walk('edges', 2).rindex('SELECT query_id, dst AS article')].rstrip()},
+f AS (SELECT query_id, dst AS article, row_number() OVER (PARTITION BY query_id ORDER BY depth, path, dst)::INTEGER AS rank FROM w QUALIFY rank <= 2),
+sb AS (SELECT query_id, article, pos, 2 + query_id % 5 AS budget FROM seeds), fn AS (SELECT query_id, count(*) AS n FROM f GROUP BY ALL),
+r0 AS (SELECT sb.query_id, dst, min([sb.pos, 3, back.pos]) AS path, any_value(least(2, budget - coalesce(n, 0))) AS b FROM sb LEFT JOIN fn USING (query_id) JOIN back ON article = src AND dst <> '4'
+  ANTI JOIN seeds s2 ON s2.query_id = sb.query_id AND s2.article = dst ANTI JOIN f ON f.query_id = sb.query_id AND f.article = dst GROUP BY sb.query_id, dst),
+r AS (SELECT query_id, dst AS article, row_number() OVER (PARTITION BY query_id ORDER BY path, dst)::INTEGER AS k FROM r0 QUALIFY k <= b),
+fr AS (SELECT query_id, article, rank FROM f UNION ALL SELECT query_id, r.article, coalesce(n, 0) + k FROM r LEFT JOIN fn USING (query_id)), frn AS (SELECT query_id, count(*) AS n FROM fr GROUP BY ALL),
+nd AS (SELECT * FROM n WHERE article <> '4'),
+s0 AS (SELECT sb.query_id, m.article, min([sb.pos, m.pos]) AS o, any_value(least(3, budget - coalesce(frn.n, 0))) AS b FROM sb LEFT JOIN frn USING (query_id) JOIN nd z ON z.article = sb.article JOIN nd m ON m.section = z.section AND m.chapter = z.chapter
+  ANTI JOIN seeds s2 ON s2.query_id = sb.query_id AND s2.article = m.article ANTI JOIN fr ON fr.query_id = sb.query_id AND fr.article = m.article GROUP BY sb.query_id, m.article),
+s AS (SELECT query_id, article, row_number() OVER (PARTITION BY query_id ORDER BY o, article)::INTEGER AS k FROM s0 QUALIFY k <= b)
+SELECT query_id, article, rank::INTEGER AS rank FROM fr UNION ALL SELECT query_id, s.article, (coalesce(n, 0) + k)::INTEGER FROM s LEFT JOIN frn USING (query_id)""".replace("rank FROM w QUALIFY rank <= 2)", "rank FROM w QUALIFY rank <= 2 + query_id % 5)"),
+)
+def graph_expansion(spark, sf):
+    """References, then citing articles and siblings within what is left of each query's budget."""
+    return g.expansion(seeds(spark, sf).withColumn("budget", (2 + F.col("query_id") % 5).cast("int")), edges(spark, sf), nodes(spark, sf))
+
+
 @register(
     "siblings",
     f"""WITH n AS ({duck(NODES)}), seeds AS ({duck(_SEEDS)}), a AS (SELECT query_id, n.article, min([seeds.pos, n.pos]) AS o FROM seeds JOIN n s ON s.article = seeds.article JOIN n ON n.section = s.section AND n.chapter = s.chapter

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators import retrieval as r
-from ..plans.providers import overlap_score
+from ..plans.providers import Providers, overlap_score
 from ..registry import register
-from . import duck, rel
+from ..sources.dense_index import DenseIndex
+from ..sources.postings import Postings, of_texts, of_weights
+from ..sources.workspace import shared_folder
+from . import duck, rel, stored_once
 
 NODES = """SELECT vec_id AS node_id, concat(CAST(vec_id % 37 + 1 AS STRING), CASE WHEN vec_id % 5 = 0 THEN 'a' ELSE '' END) AS article,
   CASE WHEN vec_id % 3 = 0 THEN 'PARAGRAPH' ELSE 'ARTICLE' END AS chunk_type, CASE vec_id % 4 WHEN 0 THEN 'it' WHEN 1 THEN 'pl' ELSE 'en' END AS language,
@@ -39,20 +42,34 @@ bm AS (SELECT query_id, node_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
 sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id)::INTEGER AS rank FROM bm QUALIFY rank <= 12)"""
 
 
+def vectors(spark: SparkSession, sf: str) -> DenseIndex:
+    """The stored index of all vectors; language and kind of chunk are keys that a search can filter by."""
+    nodes = rel(spark, sf, VECTORS).join(rel(spark, sf, NODES).select("node_id", "language", "chunk_type"), "node_id")
+    return stored_once(spark, sf, "vectors", lambda path: DenseIndex.build(nodes, path, keys=("language", "chunk_type")))
+
+
+def words(spark: SparkSession, sf: str) -> Postings:
+    return stored_once(spark, sf, "words", lambda path: Postings.create(of_texts(rel(spark, sf, TEXTS)), path))
+
+
 def hits(spark: SparkSession, sf: str) -> DataFrame:
-    top = r.dense_topk(rel(spark, sf, ASKED), rel(spark, sf, VECTORS), K)
+    top = vectors(spark, sf).search(rel(spark, sf, ASKED), K)[0]
     return top.join(rel(spark, sf, NODES), "node_id")
 
 
 def sparse_hits(spark: SparkSession, sf: str) -> DataFrame:
-    texts = rel(spark, sf, TEXTS)
-    figures = texts.agg(F.count("*").alias("n"), F.avg(F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("m")).first()
-    return r.bm25_topk(rel(spark, sf, PASSAGES), r.postings(texts), F.lit(float(figures["n"])), F.lit(float(figures["m"] or 1)), K)
+    return words(spark, sf).bm25(rel(spark, sf, PASSAGES), K)
 
 
 @register("cosine_topk", f"WITH {HITS} SELECT query_id, node_id, score, rank FROM hits")
 def cosine_topk(spark, sf):
-    return r.dense_topk(rel(spark, sf, ASKED), rel(spark, sf, VECTORS), K)
+    return vectors(spark, sf).search(rel(spark, sf, ASKED), K)[0]
+
+
+@register("cosine_reads")
+def cosine_reads(spark, sf):
+    """How many cells and vectors each query's search read; SQL knows no cells."""
+    return vectors(spark, sf).search(rel(spark, sf, ASKED), K)[1]
 
 
 @register("sparse_bm25_topk", f"WITH {TERMS} SELECT query_id, node_id, score, rank FROM sparse")
@@ -60,6 +77,51 @@ def sparse_bm25_topk(spark, sf):
     return sparse_hits(spark, sf)
 
 
+# The last tenth of the documents comes as an upsert that also puts new texts in the place of each seventh one before.
+_BEFORE = "SELECT doc_id AS node_id, text FROM {documents} WHERE doc_id < (SELECT max(doc_id) * 0.9 FROM {documents})"
+_BATCH = "SELECT doc_id AS node_id, CASE WHEN doc_id < (SELECT max(doc_id) * 0.9 FROM {documents}) THEN concat(substr(text, 1, 200), ' the thin') ELSE text END AS text FROM {documents} WHERE doc_id >= (SELECT max(doc_id) * 0.9 FROM {documents}) OR doc_id % 7 = 0"
+
+
+@register(
+    "bm25_after_upsert",
+    "WITH "
+    + TERMS.replace(
+        "FROM documents)",
+        f"FROM (SELECT node_id AS doc_id, text FROM ({duck(_BATCH)}) UNION ALL SELECT doc_id, text FROM documents WHERE doc_id < (SELECT max(doc_id) * 0.9 FROM documents) AND doc_id % 7 <> 0))",
+        1,
+    )
+    + " SELECT query_id, node_id, score, rank FROM sparse",
+)
+def bm25_after_upsert(spark, sf):
+    """A search after an upsert into the stored index: two segments, with the replaced rows left out."""
+    index = Postings.create(of_texts(rel(spark, sf, _BEFORE)), shared_folder(spark, "upserted"))
+    index.upsert(of_texts(rel(spark, sf, _BATCH)))
+    return index.bm25(rel(spark, sf, PASSAGES), K)
+
+
+_LEARNED = """{0}w AS (SELECT {1} AS node_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {2}),
+{0}t AS (SELECT node_id, unnest(w) AS word FROM {0}w), {0}c AS (SELECT node_id, word, count(*) AS c FROM {0}t GROUP BY ALL),
+{0}h AS (SELECT node_id, ('0x' || substr(md5(word), 1, 7))::BIGINT AS term, max(ln(1 + c)) AS v FROM {0}c GROUP BY ALL),
+{0} AS (SELECT node_id, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY node_id)), 4) AS weight FROM {0}h)"""
+
+
+@register(
+    "sparse_dot_topk",
+    f"""WITH {_LEARNED.format("d", "doc_id", "documents")}, {_LEARNED.format("q", "item_id", "benchmark")},
+s AS (SELECT q.node_id AS query_id, d.node_id, round(sum(q.weight * d.weight), 8) AS score FROM q JOIN d USING (term) GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id)::INTEGER AS rank FROM s QUALIFY rank <= {K}""",
+)
+def sparse_dot_topk(spark, sf):
+    """Products of learned term weights, by the provider's sparse vectors and a stored index of them."""
+    encode = Providers().encode
+
+    def build(path: str) -> Postings:
+        return Postings.create(of_weights(rel(spark, sf, TEXTS).select("node_id", encode(F.col("text"))["sparse"].alias("sparse"))), path)
+
+    asked = rel(spark, sf, PASSAGES).select("query_id", encode(F.col("text"))["sparse"].alias("sparse"))
+    return stored_once(spark, sf, "weights", build).dot(asked, K)
+
+
 # Two legs over the same nodes: cosine scores, and a second model's for the same candidates.
 _SECOND = "CAST(abs(node_id * 31 + query_id * 17) % 997 AS DOUBLE) / 100"
 _SCALED = "CASE WHEN max({0}) OVER w = min({0}) OVER w THEN 0.0 ELSE ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) END"
@@ -177,8 +239,7 @@ _LANG = "CASE WHEN query_id % 200 = 0 THEN 'it' ELSE 'xx' END"
 
 @register("lang_filtered_retrieve", f"WITH {SIM}, nodes AS ({duck(NODES)}), f AS (SELECT query_id, node_id, score FROM sim JOIN nodes USING (node_id) WHERE language = 'en' AND chunk_type = 'ARTICLE') SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id)::INTEGER AS rank FROM f QUALIFY rank <= 12")
 def lang_filtered_retrieve(spark, sf):
-    own = rel(spark, sf, NODES).where("language = 'en' and chunk_type = 'ARTICLE'").select("node_id")
-    return r.dense_topk(rel(spark, sf, ASKED), rel(spark, sf, VECTORS).join(own, "node_id"), K)
+    return vectors(spark, sf).search(rel(spark, sf, ASKED), K, where=F.expr("language = 'en' and chunk_type = 'ARTICLE'"))[0]
 
 
 @register("crosslingual_fallback", f"WITH {HITS}, own AS (SELECT query_id, node_id, score FROM h WHERE language = {_LANG}) SELECT * FROM own UNION ALL SELECT query_id, node_id, score FROM h WHERE query_id NOT IN (SELECT query_id FROM own)")

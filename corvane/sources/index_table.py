@@ -1,20 +1,32 @@
-"""The index as parquet tables: scans, upsert by key, patches and diagnostics."""
+"""The index's table: scans, upsert by key, patches and diagnostics.
+
+With ``buckets`` it is a versioned table whose upserts and patches write only the
+buckets they change (see ``bucket_table``); without, a plain folder of parquet
+files that any reader can open, which an upsert writes whole.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bucket_table import BucketTable
+
 PARTITIONS = ("language", "chunk_type")
 
 
-def create(nodes: DataFrame, path: str) -> None:
+def create(nodes: DataFrame, path: str, buckets: int | None = None, key: str = "key") -> None:
     """Replace the index; partitioned for the two filters that every retrieval has."""
+    if buckets:
+        BucketTable.create(nodes, path, key, buckets, PARTITIONS)
+        return
     nodes.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
 
 
 def scan(spark: SparkSession, path: str, **equal: str) -> DataFrame:
     """All rows with these values; partitions and row groups are skipped by them."""
+    if BucketTable.exists(spark, path):
+        return BucketTable(spark, path).scan(**equal)
     df = spark.read.parquet(path)
     for column, value in equal.items():
         df = df.where(F.col(column) == value)
@@ -32,8 +44,12 @@ def upsert(spark: SparkSession, path: str, batch: DataFrame, key: str = "key") -
     """Rows of the batch replace those with their key; the table is written beside and swapped in.
 
     Parquet has no merge: the new table is written whole, the old one set aside, the new one named, and only then the
-    old one deleted; a swap that was cut short is undone first. Of a key's rows in a batch the greatest counts.
+    old one deleted; a swap that was cut short is undone first. Of a key's rows in a batch the greatest counts. A table
+    with buckets has its changed buckets written and its version switched instead.
     """
+    if BucketTable.exists(spark, path):
+        BucketTable(spark, path).upsert(batch)
+        return
     jvm = spark.sparkContext._jvm
     src, dst, aside = (jvm.org.apache.hadoop.fs.Path(f"{path}{x}") for x in ("__staged", "", "__old"))
     fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -52,6 +68,11 @@ def upsert(spark: SparkSession, path: str, batch: DataFrame, key: str = "key") -
     spark.catalog.refreshByPath(path)
 
 
+def patch(spark: SparkSession, path: str, values: dict[str, Column], where: Column | None = None) -> int:
+    """Set columns of a table with buckets in place; how many rows changed."""
+    return BucketTable(spark, path).patch(values, where)[1]
+
+
 def changed(rows: DataFrame, column: str, new: Column) -> DataFrame:
     """Rows whose value would change, with old and new: the dry run of a patch."""
     return rows.withColumn("_new", new).where(~F.col(column).eqNullSafe(F.col("_new"))).withColumnsRenamed({column: "old", "_new": "new"})
