@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # How each language names external acts and annexes.
 EXTERNAL = {
     "en": r"(?U)Directive\s+\d{4}/\d+/\w+|Regulation\s+\(EU\)\s+No\s+[\d/]+",
@@ -37,6 +39,37 @@ def article_refs(text: Column, language: str = "en") -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["a"])
 
 
+# A run of articles in a line, and what follows one of another act.
+_BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+RUN = rf"(?i)\b(?:Articles?|Articol[oi]){_BLANK}+\d\w*(?:{_BLANK}*(?:,|and|e|or|o){_BLANK}+\d\w*)*"
+OTHER_ACT = rf"(?i)^{_BLANK}*(?:(?:to{_BLANK}+\d\w*{_BLANK}+)?of|del(?:la|lo|l')?){_BLANK}+(?:Regulation|Directive|Decision|Delegated|Implementing|Regolamento|Direttiva|Decisione)"
+
+
+def reference_runs(text: Column) -> Column:
+    """(kind, value, start) of a text's runs: ``article`` for each number of this document's articles, ``text`` for all between.
+
+    The values joined are the text; ``start`` counts characters from 0. A run of
+    articles that another act follows is text as a whole. A null text has no runs.
+    """
+    piece = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    number = r"\d\w*"
+
+    def numbers(run: Column) -> Column:
+        found, between = F.regexp_extract_all(run, F.lit(number), F.lit(0)), F.split(run, number, -1)
+        return F.flatten(F.zip_with(between, found, lambda b, n: F.when(n.isNull(), F.array(piece("text", b))).otherwise(F.array(piece("text", b), piece("article", n)))))
+
+    def whole(t: Column) -> Column:
+        runs, between = F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), F.split(t, RUN, -1)
+        after = F.slice(between, F.lit(2), F.greatest(F.size(between) - 1, F.lit(0)))
+        told = F.zip_with(runs, after, lambda r, a: F.when(a.rlike(OTHER_ACT), F.array(piece("text", r))).otherwise(numbers(r)))
+        every = F.filter(F.flatten(F.zip_with(between, told, lambda b, r: F.concat(F.array(piece("text", b)), F.coalesce(r, F.array().cast("array<struct<kind:string,value:string>>"))))), lambda x: x["value"] != "")
+        # Each run's start is the sum of lengths before it.
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,value:string,start:int>>").alias("out"))
+        return F.aggregate(every, begin, lambda s, x: F.struct((s["at"] + F.length(x["value"])).alias("at"), F.concat(s["out"], F.array(F.struct(x["kind"].alias("kind"), x["value"].alias("value"), s["at"].alias("start")))).alias("out")))["out"]
+
+    return let(text, whole)
+
+
 def external_refs(text: Column, language: str = "en") -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(EXTERNAL[language]), F.lit(0))))
 

@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from .queries import evaluation, graphs, ingest, ranking, reports, texts  # noqa: F401
+    from .queries import contents, evaluation, graphs, ingest, ranking, reports, texts  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
