@@ -10,6 +10,8 @@ from ..functions.text import let
 
 SEPARATOR = "\n\n---\n\n"
 MOST_CHARS = 100_000
+#: Places of a table of contents that one task orders.
+BLOCK = 10_000
 # Forms of numerical thresholds.
 THRESHOLDS = (
     r"(?iU)\b\d[\d,.]*%",
@@ -105,16 +107,32 @@ def key_terms(nodes: DataFrame, words: int = 50) -> DataFrame:
 
 
 def outline(entries: DataFrame) -> DataFrame:
-    """Lines of a table of contents: a heading where it changes, then the article, indented by depth; annexes last."""
-    w = Window.partitionBy("language").orderBy("is_annex", "pos")
+    """Lines of a table of contents: a heading where it changes, then the article, indented by depth; annexes last.
+
+    Rows are handled in blocks of BLOCK places of a language, so that no task gets a
+    whole language; a block is told the last row before it, for its first heading.
+    Entries with ``key_terms`` show up to 50 words of them.
+    """
     levels = [("Part", "part"), ("Title", "title"), ("Chapter", "chapter"), ("Section", "section")]
-    lines, changed = [], F.lit(False)
+    names = [c for _, c in levels]
+    blocks = entries.withColumn("_b", F.floor(F.col("pos") / BLOCK))
+    here = ["language", "is_annex", "_b"]
+    place = F.struct(*names)
+    lasts = blocks.groupBy(*here).agg(F.max_by(place, "pos").alias("_p"))
+    # A row for each block, few enough to be ordered within a language.
+    before = lasts.withColumn("_before", F.lag(F.struct(F.col("_p").alias("p"))).over(Window.partitionBy("language").orderBy("is_annex", "_b"))).select(*here, "_before")
+    w = Window.partitionBy(*here).orderBy("pos")
+    told = blocks.join(before, here).withColumn("_prev", F.coalesce(F.lag(F.struct(place.alias("p"))).over(w), F.col("_before")))
+    lines, changed = [], F.col("_prev").isNull()
     for depth, (name, c) in enumerate(levels):
         has = F.nullif(F.col(c), F.lit("")).isNotNull()
-        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(w))
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"_prev.p.{c}"))
         lines.append(F.when(has & changed, F.concat(F.lit("  " * depth + name + " "), F.col(c))))
     article = F.concat(F.lit("  " * len(levels)), F.when(F.col("is_annex"), "Annex ").otherwise("Article "), "article", F.lit(" — "), "article_title")
-    return entries.select("language", "pos", F.array_join(F.array_compact(F.array(*lines, article)), "\n").alias("lines"))
+    if "key_terms" in entries.columns:
+        terms = F.array_join(F.slice(F.split(F.trim(F.coalesce("key_terms", F.lit(""))), r"\s+"), 1, 50), " ")
+        article = F.when(terms != "", F.concat(article, F.lit(" | Key terms: "), terms)).otherwise(article)
+    return told.select("language", "pos", F.array_join(F.array_compact(F.array(*lines, article)), "\n").alias("lines"))
 
 
 def article_text(nodes: DataFrame) -> DataFrame:
@@ -165,3 +183,22 @@ def lookup_definitions(signals: DataFrame, definitions: DataFrame, fallback: str
     other = book.where(F.col("language") == fallback).select("signal", *(F.col(c).alias(f"_{c}") for c in ("number", "term", "text")))
     both = own.join(other, "signal", "left")
     return both.select("query_id", *(F.coalesce(c, f"_{c}").alias(c) for c in ("number", "term", "text"))).where("text is not null")
+
+
+def definition_answer(found: DataFrame) -> DataFrame:
+    """(query_id, answer) of looked-up definitions."""
+    head = F.concat(F.lit("**Article 4("), "number", F.lit(") — Definition of '"), "term", F.lit("'**\n\n"))
+    return found.select("query_id", F.concat(head, F.col("text")).alias("answer"))
+
+
+def definition_summary(definitions: DataFrame, terms: int = 10) -> DataFrame:
+    """(language, answer): what the article of definitions holds, for questions about it as a whole.
+
+    The first terms are those of the least numbers; a language has a bounded list, of which only these are gathered.
+    """
+    number = F.regexp_extract("number", r"^(\d+)", 1).try_cast("long")
+    w = Window.partitionBy("language").orderBy(number, "number")
+    first = definitions.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= terms).groupBy("language").agg(F.array_sort(F.collect_list(F.struct("_n", "term"))).alias("t"))
+    counted = definitions.groupBy("language").agg(F.count("*").alias("n")).join(first, "language")
+    said = F.concat(F.lit("Article 4 is the article of definitions. It contains "), "n", F.lit(" definitions including: "), F.array_join(F.transform("t", lambda x: x["term"]), ", "), F.lit(". Ask about a specific term."))
+    return counted.select("language", said.alias("answer"))

@@ -137,15 +137,17 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int, budget: Column) -> Data
     return traverse(seeds, edges, depth, budget)
 
 
-def expansion(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2, most_citing: int = 2, most_siblings: int = 3) -> DataFrame:
-    """(query_id, article, rank): what the graph adds to seeds (query_id, article, pos, budget).
+def expansion(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2, most_citing: int = 2, most_siblings: int = 3, exclude: DataFrame | None = None) -> DataFrame:
+    """(query_id, article, rank): what the graph adds to seeds (query_id, article, pos, budget), but for those of ``exclude`` (query_id, article).
 
     First what they refer to; then, within what is left of the budget, up to two
     articles that refer to them, and up to three of the first two seeds' section.
     """
     base = shared_folder(seeds.sparkSession, "expansion")
     seeds = stored(seeds, f"{base}/seeds")
-    found = stored(traverse(seeds, edges, depth, F.col("budget")).select("query_id", "article", "rank"), f"{base}/found/part=0")
+    outside = stored((exclude if exclude is not None else seeds).select("query_id", "article").distinct(), f"{base}/outside")
+    taken = lambda: outside.unionByName(found.select("query_id", "article"))
+    found = stored(traverse(seeds, edges, depth, F.col("budget"), exclude=outside).select("query_id", "article", "rank"), f"{base}/found/part=0")
 
     def left(most: int) -> DataFrame:
         """The seeds of queries that may still take some, with how many."""
@@ -157,9 +159,9 @@ def expansion(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int =
         stored(rows.join(n, "query_id", "left").select("query_id", "article", (F.col("rank") + F.coalesce("n", F.lit(0))).cast("int").alias("rank")), f"{base}/found/part={part}")
         return seeds.sparkSession.read.schema(found.schema).parquet(f"{base}/found").select(*found.columns)
 
-    found = add(1, traverse(left(most_citing), edges, 1, F.col("budget"), exclude=found, direction="reverse"))
+    found = add(1, traverse(left(most_citing), edges, 1, F.col("budget"), exclude=taken(), direction="reverse"))
     more = left(most_siblings)
-    near = siblings(more, nodes, most_siblings, exclude=found).join(more.groupBy("query_id").agg(F.max("budget").alias("budget")), "query_id").where(F.col("rank") <= F.col("budget"))
+    near = siblings(more, nodes, most_siblings, exclude=taken()).join(more.groupBy("query_id").agg(F.max("budget").alias("budget")), "query_id").where(F.col("rank") <= F.col("budget"))
     return add(2, near)
 
 

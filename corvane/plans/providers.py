@@ -105,6 +105,13 @@ class Providers:
     encode: Callable[[Column], Column] = encode_both
     score: Callable[[Column, Column], Column] = overlap_score
     rewrite: Callable[[Column], Column] = lambda q: q
+    #: A question that follows others, from it and its conversation's history; null keeps it as it is.
+    follow_up: Callable[[Column, Column], Column] = lambda q, history: q
+    #: A written passage with article hints (see ``parse_passage``), or article hints alone, for open questions; None: neither.
+    hypothesis: Callable[[Column], Column] | None = None
+    hints: Callable[[Column], Column] | None = None
+    #: Articles that the table of contents suggests for a question, as ``parse_routes`` gives them; None: no routing.
+    route: Callable[[Column], Column] | None = None
     #: None: questions aren't taken apart.
     sub_questions: Callable[[Column], Column] | None = None
     answer: Callable[[Column, Column], Column] = lambda q, c: extract_answer(c)
@@ -133,6 +140,16 @@ def parse_passage(text: Column) -> dict[str, Column]:
     return {"passage": F.trim(F.regexp_extract(text, r"(?is)PASSAGE\s*:\s*(.*?)(?:\n\s*ARTICLES\s*:|\z)", 1)), "hints": F.when(hints.rlike(r"^[\w,\s]+$"), hints)}
 
 
+def valid_hints(text: Column) -> Column:
+    """Hints that look like article numbers; else null."""
+    return F.when(F.trim(text).rlike(r"^[\w,\s]+$"), F.trim(text))
+
+
+def with_hints(text: Column, hints: Column) -> Column:
+    """A question or passage with article hints behind it."""
+    return F.when(F.coalesce(hints, F.lit("")) != "", F.concat(text, F.lit(" [Relevant CRR articles: "), hints, F.lit("]"))).otherwise(text)
+
+
 def parse_routes(text: Column, most: int = 6) -> Column:
     """Article numbers of a JSON answer, or else any in the text."""
     bare = F.trim(F.regexp_replace(text, r"```(?:json)?", ""))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import graph
 from ..plans import answer as plan
+from ..plans.providers import Providers
 from ..registry import register
 from ..sources import case_files, index_table, legal_html
 from ..streaming import ingest as streams
-from . import duck, rel
+from . import duck, rel, stored_once
 
 _NOISE = "regexp_replace({0}, '(?is)<{1}\\b.*?</{1}\\s*>', ' ', 'g')"
 _BARE = "html"
@@ -124,11 +124,12 @@ def window_session(spark, sf):
 
 @register("answer_batch")
 def answer_batch(spark, sf):
-    """The whole plan over all passages and documents, with the offline providers."""
-    docs = rel(spark, sf, "SELECT doc_id AS node_id, text, CAST(NULL AS STRING) AS language, source AS article, CAST(NULL AS STRING) AS article_title, 'ARTICLE' AS chunk_type, 'ARTICLE' AS level FROM {documents}")
+    """The whole plan over all passages and documents, with the offline providers; sources that follow each other in a language refer to each other."""
+    docs = rel(spark, sf, "SELECT doc_id AS node_id, text, CAST(NULL AS STRING) AS language, source AS article, CAST(NULL AS STRING) AS article_title, 'ARTICLE' AS chunk_type, 'ARTICLE' AS level, lang AS section, doc_id AS pos FROM {documents}")
     asked = rel(spark, sf, "SELECT item_id AS query_id, text AS query FROM {benchmark}")
-    edges = graph.reversed_edges(rel(spark, sf, "SELECT DISTINCT source AS src, lang AS dst, 'general' AS kind, 0 AS pos FROM {documents}"))
-    return plan.answer(asked, docs, edges)
+    edges = rel(spark, sf, "SELECT src, dst, 'general' AS kind, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS INT) AS pos FROM (SELECT DISTINCT source AS src, lead(source) OVER (PARTITION BY lang ORDER BY source) AS dst FROM (SELECT DISTINCT source, lang FROM {documents} WHERE source IS NOT NULL)) WHERE dst IS NOT NULL AND dst <> src")
+    corpus = stored_once(spark, sf, "corpus", lambda path: plan.Corpus.build(docs, Providers(), edges, path=path))
+    return plan.answer(asked, corpus)
 
 
 @register("question_tokens", "SELECT item_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))::INTEGER AS n FROM benchmark")

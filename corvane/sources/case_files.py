@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_question
+from .workspace import shared_folder, stored
 
 CASE = "id string, question string, expected_articles array<string>, reference_answer string, category string, difficulty string, question_type string, citation_type string, language string, notes string"
 
@@ -31,16 +32,35 @@ def append_cases(old: DataFrame, new: DataFrame) -> DataFrame:
     first = valid.withColumn("_k", key).groupBy("_k").agg(F.min_by(F.struct(*new.columns), F.struct(*new.columns)).alias("m")).select("_k", "m.*")
     fresh = first.join(old.select(key.alias("_k")), "_k", "left_anti")
     last = old.agg(F.coalesce(F.max(F.regexp_extract("id", r"(\d+)$", 1).cast("int")), F.lit(0)).alias("last"))
-    # A batch of new cases is what people wrote: small enough to be numbered in one task.
-    numbered = fresh.withColumn("_n", F.row_number().over(Window.orderBy("_k"))).join(F.broadcast(last))
+    numbered = numbered_in_order(fresh, "_k").join(F.broadcast(last))
     return numbered.withColumn("id", F.format_string("case_%03d", F.col("_n") + F.col("last"))).drop("_k", "_n", "last")
 
 
+def numbered_in_order(rows: DataFrame, key: str) -> DataFrame:
+    """The rows with ``_n``, from 1 in order of a unique key: numbers within ranges of the key, behind the rows of all ranges before."""
+    dealt = rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id())
+    dealt = stored(dealt, shared_folder(rows.sparkSession, "numbered"))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_c"))
+    # A row for each range: as many as there are partitions.
+    before = counts.select("_range", (F.sum("_c").over(Window.orderBy("_range")) - F.col("_c")).cast("int").alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return dealt.join(F.broadcast(before), "_range").withColumn("_n", within + F.col("_before")).drop("_range", "_before")
+
+
 def pending(cases: DataFrame, results: DataFrame) -> DataFrame:
     """Cases without a result of status ok; failed ones are tried again."""
     return cases.join(results.where("status = 'ok'").select("id").distinct(), "id", "left_anti")
 
 
+def chosen_cases(cases: DataFrame, ids: list[str] | None = None, limit: int | None = None, **equal: str) -> DataFrame:
+    """Cases with one of the ids, with these values of their columns in any case, and of these the first ones in the file's order."""
+    for column, value in equal.items():
+        cases = cases.where(F.lower(column) == value.lower())
+    if ids is not None:
+        cases = cases.where(F.col("id").isin(ids))
+    return cases if limit is None else cases.orderBy("pos").limit(limit)
+
+
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     """(case, section, body) of Markdown files: sections by their ``## `` headings."""
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"(case_\d+)", 1).alias("case"), "value")

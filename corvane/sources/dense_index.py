@@ -134,10 +134,10 @@ class DenseIndex:
                     # All that tie with the k-th stay: ids decide later.
                     bar = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(who), -np.inf)
                     row, col = np.nonzero((score >= bar[:, None]) & (score > -np.inf))
-                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(who[row])), members.take(pa.array(col)), pa.array(score[row, col])], names=["query_id", "node_id", "score"])
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(who[row])), pa.array(who[row], pa.int32()), members.take(pa.array(col)), pa.array(score[row, col])], names=["query_id", "q", "node_id", "score"])
 
         found = blocks.select("cell", "ids", "units").mapInArrow(run, schema)
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node_id")
+        order = Window.partitionBy("q").orderBy(F.col("score").desc(), "node_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     def search(self, queries: DataFrame, k: int, where: Column | None = None, keep_self: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -151,6 +151,7 @@ class DenseIndex:
         pieces = max(1, -(-count * (width + 2) * 8 // MOST_SENT))
         keep_self = keep_self or queries.schema["query_id"].dataType != self.blocks.schema["ids"].dataType.elementType
         schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("node_id", self.blocks.schema["ids"].dataType.elementType), T.StructField("score", T.DoubleType())])
+        inner = T.StructType([schema["query_id"], T.StructField("q", T.IntegerType()), schema["node_id"], schema["score"]])
         hits, reads = [], []
         for piece in range(pieces if cells else 0):
             asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == piece).select("query_id", "vector").toArrow().combine_chunks()
@@ -161,7 +162,7 @@ class DenseIndex:
             ids = columns[0].take(pa.array(at))
             if not len(units):
                 continue
-            found, read = self._piece(ids, units, cells, k, where, keep_self, schema)
+            found, read = self._piece(ids, units, cells, k, where, keep_self, inner)
             hits.append(found)
             reads.append(read)
         empty = self.spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
@@ -173,7 +174,7 @@ class DenseIndex:
     def _piece(self, ids: pa.Array, units: np.ndarray, cells: list, k: int, where: Column | None, keep_self: bool, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
         bounds, sizes = self._bounds(units, cells), np.array([r["n"] for r in cells])
         order = np.argsort(-bounds, axis=1, kind="stable")
-        # The best cells until k vectors besides the query's own are there.
+        # ``q`` numbers the piece's queries, whose ids may be of any type. The best cells until k vectors besides the query's own are there.
         held = np.cumsum(sizes[order], axis=1)
         need = np.minimum((held <= k).sum(axis=1) + 1, len(cells))
         first = np.zeros(bounds.shape, bool)
@@ -181,13 +182,14 @@ class DenseIndex:
             first[q, order[q, :n]] = True
         visit = lambda mask: {cells[c]["cell"]: np.flatnonzero(mask[:, c]) for c in np.flatnonzero(mask.any(axis=0)).tolist()}
         begun = stored(self._read(ids, units, visit(first), k, where, keep_self, schema), shared_folder(self.spark, "search"))
-        bars = {r[0]: r[1] for r in begun.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bar")).collect()}
-        bar = np.array([b if (b := bars.get(i)) is not None else -np.inf for i in ids.to_pylist()])
+        bar = np.full(len(units), -np.inf)
+        for r in begun.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("bar")).where("bar is not null").collect():
+            bar[r["q"]] = r["bar"]
         rest = ~first & (bounds + ROOM >= bar[:, None])
         both = begun
         if rest.any():
             more = self._read(ids, units, visit(rest), k, where, keep_self, schema)
-            w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node_id")
+            w = Window.partitionBy("q").orderBy(F.col("score").desc(), "node_id")
             both = begun.unionByName(more).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         read = pa.table({"query_id": ids, "cells": pa.array((first | rest).sum(axis=1)), "vectors": pa.array(((first | rest) * sizes[None, :]).sum(axis=1))})
-        return both, self.spark.createDataFrame(read)
+        return both.select("query_id", "node_id", "score", "rank"), self.spark.createDataFrame(read)

@@ -16,6 +16,7 @@ a text, and the product of learned term weights, where it is a weight.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -84,9 +85,24 @@ class Postings:
         each = once.select("node_id", "length", F.explode("terms").alias("t")).select("t.term", "node_id", "t.value", "length").withColumn("bucket", _bucket())
         n, length = once.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         _write_postings(each, n, f"{base}/postings")
+        self._write_terms(name)
         Files(self.spark, base).delete("_in")
         return name, n, length
 
+    def _write_terms(self, segment: str) -> None:
+        """A segment's document frequencies, beside its postings."""
+        if Files(self.spark, f"{self.path}/{segment}/postings").names():
+            rows = self.spark.read.parquet(f"{self.path}/{segment}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
+            rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{segment}/terms")
+
+    def frequencies(self, asked: DataFrame) -> DataFrame:
+        """(term, df) of the asked terms (term): from the segments' own counts as long as no row was replaced, else from live postings."""
+        _, manifest = Versions(self.spark, self.path).current()
+        if manifest["gone"]:
+            return self.of_terms(asked).groupBy("term").agg(F.count("*").alias("df"))
+        counted = self._all(manifest, "terms").join(_sent(asked.withColumn("bucket", _bucket())), ["bucket", "term"])
+        return counted.groupBy("term").agg(F.sum("df").alias("df"))
+
     def _read(self, segment: str, what: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{segment}/{what}").withColumn("segment", F.lit(segment))
 
@@ -121,6 +137,7 @@ class Postings:
         self._all(manifest, "docs").select("node_id", "length").write.parquet(f"{self.path}/{name}/docs")
         live = self._all(manifest, "postings").drop("segment")
         _write_postings(live, manifest["n"], f"{self.path}/{name}/postings")
+        self._write_terms(name)
         return versions.switch(seen, {**manifest, "segments": [name], "gone": []})
 
     def vacuum(self) -> None:
@@ -146,16 +163,17 @@ class Postings:
         live = self._all(manifest, "postings").where(F.col("bucket").isin(buckets))
         return live.join(_sent(asked), ["bucket", "term"])
 
-    def bm25(self, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-        """(query_id, node_id, score, rank) of the k best nodes of (query_id, text)."""
+    def bm25(self, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """(query_id, node_id, score, rank) of the k best nodes of (query_id, text); of those that ``keep`` leaves of all with a score, if given."""
         n, mean = self.figures()
         asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-        df = self.of_terms(asked.select("term").distinct()).groupBy("term").agg(F.count("*").alias("df"))
+        df = self.frequencies(asked.select("term").distinct())
         idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * F.col("value") * (k1 + 1) / (F.col("value") + k1 * (1 - b + b * F.col("length") / F.lit(mean or 1.0)))
         # The asked terms get their frequency first, so that postings meet one small side.
         met = self.of_terms(asked.join(df, "term"))
-        return _best(met.groupBy("query_id", "node_id").agg(F.round(F.sum(weight), 6).alias("score")), k)
+        scored = met.groupBy("query_id", "node_id").agg(F.round(F.sum(weight), 6).alias("score"))
+        return _best(keep(scored) if keep else scored, k)
 
     def dot(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, node_id, score, rank) of the k nodes with the greatest products with (query_id, sparse)."""
