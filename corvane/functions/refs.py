@@ -70,6 +70,22 @@ def reference_runs(text: Column) -> Column:
     return let(text, whole)
 
 
+# What follows an article's number where it is another act's.
+_ITS_ACT = (
+    r"(?i)^\s+(?:to\s+\d\w*\s+)?(?:of|del(?:la|lo|l')?)\s+(?:Regulation|Directive|Decision|Delegated|Implementing|Regolamento|Direttiva|Decisione|Rozporządzenie|Dyrektywa|Decyzja)"
+)
+
+
+def single_refs(text: Column, language: str = "en") -> Column:
+    """The number right after each word for an article, unless another act follows it: no runs and no ranges, in order of numbers."""
+    one = rf"(?i){ARTICLE_WORD[language]}s?\s+\d+[a-z]?"
+    found, between = F.regexp_extract_all(text, F.lit(one), F.lit(0)), F.split(text, one, -1)
+    after = F.slice(between, F.lit(2), F.greatest(F.size(between) - 1, F.lit(0)))
+    own = F.filter(F.zip_with(found, after, lambda m, a: F.when(~a.rlike(_ITS_ACT), F.regexp_extract(m, r"(\d+[a-zA-Z]?)$", 1))), lambda x: x.isNotNull())
+    keyed = F.transform(F.array_distinct(own), lambda a: F.struct(F.regexp_extract(a, r"^(\d+)", 1).try_cast("long").alias("n"), a.alias("a")))
+    return F.transform(F.array_sort(keyed), lambda x: x["a"])
+
+
 def external_refs(text: Column, language: str = "en") -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(EXTERNAL[language]), F.lit(0))))
 

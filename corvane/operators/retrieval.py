@@ -181,3 +181,11 @@ def source_record(hits: DataFrame) -> DataFrame:
     """Hits as they are shown: 500 characters of the text to display and a rounded score."""
     text = F.coalesce(F.nullif("display_text", F.lit("")), "text")
     return hits.select("query_id", "node_id", F.substring(text, 1, 500).alias("snippet"), F.round("score", 4).alias("score"))
+
+
+def source_chips(sources: DataFrame) -> DataFrame:
+    """The first source of each article, in order of rank; a query's own ``query_language``, if it has one, leaves out sources in another."""
+    own = F.col("query_language").isNull() | (F.coalesce("language", F.lit("")) == "") | (F.col("language") == F.col("query_language"))
+    named = sources.where(own & (F.coalesce("article", F.lit("")) != ""))
+    first = named.groupBy("query_id", "article").agg(F.min(F.struct("rank", "node_id")).alias("m"))
+    return _ranked(first.select("query_id", "article", "m.node_id", F.col("m.rank").alias("_r")), "query_id", F.col("_r"), F.col("node_id")).drop("_r")

@@ -61,6 +61,19 @@ def reference_runs(spark, sf):
     return runs.select("id", "run", "r.kind", "r.value", "r.start")
 
 
+_OLD_RUN, _OLD_ACT = r"(?i)Articles?\s+\d+[a-z]?", r"(?i)^\s+(?:to\s+\d\w*\s+)?(?:of|del(?:la|lo|l'')?)\s+(?:Regulation|Directive|Decision|Delegated|Implementing|Regolamento|Direttiva|Decisione|Rozporządzenie|Dyrektywa|Decyzja)"
+
+
+@register(
+    "single_refs",
+    f"""WITH t AS ({duck(_RUNS)}), p AS (SELECT id, regexp_extract_all(text, '{_OLD_RUN}') AS f, regexp_split_to_array(text, '{_OLD_RUN}') AS b FROM t),
+i AS (SELECT id, f, b, unnest(range(1, len(f) + 1)) AS i FROM p), n AS (SELECT DISTINCT id, regexp_extract(f[i], '([0-9]+[a-zA-Z]?)$', 1) AS a FROM i WHERE NOT regexp_matches(b[i + 1], '{_OLD_ACT}'))
+SELECT t.id, coalesce(string_agg(a, ',' ORDER BY regexp_extract(a, '^([0-9]+)', 1)::BIGINT, a), '') AS refs FROM t LEFT JOIN n USING (id) GROUP BY t.id""",
+)
+def single_refs(spark, sf):
+    return rel(spark, sf, _RUNS).select("id", F.array_join(refs.single_refs(F.col("text")), ",").alias("refs"))
+
+
 _PLAIN = "' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' '"
 
 

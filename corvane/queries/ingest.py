@@ -9,6 +9,7 @@ from ..plans import answer as plan
 from ..plans.providers import Providers
 from ..registry import register
 from ..sources import case_files, index_table, legal_html
+from ..sources.workspace import shared_folder
 from ..streaming import ingest as streams
 from . import duck, rel, stored_once
 
@@ -86,6 +87,37 @@ def jsonl_last_wins(spark, sf):
     return case_files.last_wins(rel(spark, sf, "SELECT user_id, event_id, event_type FROM {events}"), "user_id", "event_id")
 
 
+@register("id_counts", "WITH g AS (SELECT l_orderkey AS id, coalesce(CASE WHEN l_returnflag = 'R' THEN 'ok' WHEN l_returnflag = 'A' THEN 'error' END, 'error') AS s FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) = 1) SELECT count(*) AS cases, count(*) FILTER (WHERE s = 'ok') AS ok, count(*) FILTER (WHERE s <> 'ok') AS error FROM g")
+def id_counts(spark, sf):
+    rows = rel(spark, sf, "SELECT CAST(l_orderkey AS STRING) AS id, CASE WHEN l_returnflag = 'R' THEN 'ok' WHEN l_returnflag = 'A' THEN 'error' END AS status, struct(l_linenumber, l_returnflag) AS line FROM {lineitem}")
+    return case_files.id_counts(rows, "line")
+
+
+# The stored table: nine tenths of the documents, then an upsert of the rest with new texts for each eleventh one, then a patch.
+_STORED = "SELECT doc_id AS key, lang AS language, CASE WHEN doc_id % 3 = 0 THEN 'PARAGRAPH' ELSE 'ARTICLE' END AS chunk_type, md5(text) AS text FROM {documents} WHERE doc_id % 10 <> 9"
+_UPSERTED = "SELECT doc_id AS key, lang AS language, 'ARTICLE' AS chunk_type, concat('new ', source) AS text FROM {documents} WHERE doc_id % 10 = 9 OR doc_id % 11 = 0"
+_TABLE = f"""t AS (SELECT * FROM ({duck(_UPSERTED)}) UNION ALL SELECT * FROM ({duck(_STORED)}) WHERE key % 11 <> 0)"""
+
+
+@register("index_upsert", f"WITH {_TABLE} SELECT key, language, chunk_type, text FROM t WHERE language = 'en'")
+def index_upsert(spark, sf):
+    """A scan by language after an upsert into the versioned table."""
+    path = shared_folder(spark, "table")
+    index_table.create(rel(spark, sf, _STORED), path, buckets=8)
+    index_table.upsert(spark, path, rel(spark, sf, _UPSERTED))
+    return index_table.scan(spark, path, language="en")
+
+
+@register("index_patch", f"WITH {_TABLE} SELECT key, language, chunk_type, CASE WHEN chunk_type = 'PARAGRAPH' AND key % 4 = 0 THEN upper(text) ELSE text END AS text FROM t")
+def index_patch(spark, sf):
+    """All rows after a patch in place of the upserted table."""
+    path = shared_folder(spark, "table")
+    index_table.create(rel(spark, sf, _STORED), path, buckets=8)
+    index_table.upsert(spark, path, rel(spark, sf, _UPSERTED))
+    index_table.patch(spark, path, {"text": F.upper("text")}, F.expr("chunk_type = 'PARAGRAPH' and key % 4 = 0"))
+    return index_table.scan(spark, path)
+
+
 @register("resume_pending", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def resume_pending(spark, sf):
     results = rel(spark, sf, "SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 'ok' ELSE 'error' END AS status FROM {lineitem}")

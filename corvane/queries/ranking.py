@@ -278,6 +278,14 @@ def source_record(spark, sf):
     return r.source_record(h)
 
 
+_SHOWN = "CASE query_id % 300 WHEN 0 THEN 'en' WHEN 100 THEN 'it' END"
+
+
+@register("source_chips", f"WITH {HITS}, s AS (SELECT *, {_SHOWN} AS ql FROM h), f AS (SELECT query_id, article, min([rank, node_id]) AS m FROM s WHERE ql IS NULL OR language = ql GROUP BY ALL) SELECT query_id, article, m[2]::BIGINT AS node_id, row_number() OVER (PARTITION BY query_id ORDER BY m)::INTEGER AS rank FROM f")
+def source_chips(spark, sf):
+    return r.source_chips(hits(spark, sf).withColumn("query_language", F.expr(_SHOWN)))
+
+
 @register(
     "paragraph_windows",
     """WITH p AS (SELECT doc_id AS node_id, text, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\n+'), lambda x: trim(x)), lambda x: len(x) >= 30) AS p FROM documents),

@@ -52,6 +52,12 @@ def pending(cases: DataFrame, results: DataFrame) -> DataFrame:
     return cases.join(results.where("status = 'ok'").select("id").distinct(), "id", "left_anti")
 
 
+def id_counts(results: DataFrame, line: str) -> DataFrame:
+    """(cases, ok, error): distinct ids, by the status of each id's first line; a line without a status failed."""
+    first = results.where("id is not null").groupBy("id").agg(F.min_by(F.coalesce("status", F.lit("error")), line).alias("status"))
+    return first.agg(F.count("*").alias("cases"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("error"))
+
+
 def chosen_cases(cases: DataFrame, ids: list[str] | None = None, limit: int | None = None, **equal: str) -> DataFrame:
     """Cases with one of the ids, with these values of their columns in any case, and of these the first ones in the file's order."""
     for column, value in equal.items():

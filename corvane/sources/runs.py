@@ -89,3 +89,9 @@ def runs(files: DataFrame) -> DataFrame:
     has = lambda kind: F.bool_or(F.col("kind") == kind)
     by_run = parts.where("run <> ''").groupBy("run").agg(*(has(k).alias(k) for k in ("summary", "cases", "state")))
     return by_run.where("(summary and cases) or (state and not summary)").select("run", F.col("summary").alias("complete"))
+
+
+def read_pages(spark: SparkSession, path: str, language: str = "en") -> DataFrame:
+    """(page_id, url, language, html) of HTML files: bytes that aren't UTF-8 become replacement characters; the id is a hash of the file's path."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), F.lit(language).alias("language"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
