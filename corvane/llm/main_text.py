@@ -53,20 +53,24 @@ BLOCK = frozenset(
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre br".split())
 CLOSES_P = BLOCK - frozenset("br body html head option optgroup td th tr tbody thead tfoot caption".split())
 #: Elements whose text is never the article's.
-ASIDE = frozenset("script style textarea title iframe xmp noembed noframes head nav footer aside form noscript template button select option datalist dialog menu search svg math canvas object audio video map".split())
+ASIDE = frozenset("script style textarea title iframe xmp noembed noframes head nav footer aside noscript template button select option datalist dialog menu search svg canvas object audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert status tablist".split())
 # Words of class and id by what they say of an element.
-COMMENTS = frozenset("comment comments commentlist disqus reply replies respond reactions discussion".split())
+COMMENTS = frozenset("comment comments commentlist commentform commentarea commentsection commentbox commentthread disqus reply replies respond responses reactions discussion".split())
 SIDE = COMMENTS | frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promotion promoted banner cookie cookies consent gdpr
     notice notices notification notifications alert popup popover modal overlay newsletter subscribe subscription signup signin login paywall menu menus nav navbar navigation navi breadcrumb
-    breadcrumbs sidebar sidebars aside widget widgets footer foot header masthead topbar share sharing social related recommended recommendations trending toolbar pagination pager copyright
-    disclaimer outbrain taboola skip""".split()
+    breadcrumbs sidebar sidebars aside widget widgets footer foot masthead topbar share sharing social related recommended recommendations trending toolbar pagination pager copyright
+    disclaimer outbrain taboola skip adbox adbanner adunit adcontainer adwrapper leaderboard billboard topnav sidenav mainmenu submenu dropdown siteheader pageheader""".split()
 )
+#: Beginnings of such words, and the word for what is side matter only outside an article.
+STEMS, HEADER = ("cookie", "sidebar", "advert", "newsletter", "sponsor", "breadcrumb", "navbar", "footer"), "header"
 MAIN = frozenset("article articles entry post story main".split())
 
 _TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
+#: Names of what an element has, not of what it is.
+_HAS = re.compile(r"\b(?:has|with|no|without)[-_][\w-]+", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in RAW}
 
@@ -95,23 +99,26 @@ class Line:
         return " ".join("".join(self.pieces).split())
 
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element is side matter for sure, is called so by its names, and is called comments."""
+def _kind(tag: str, attributes: str, within: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is side matter for sure, is called so (as forms are, which may hold a whole page), and is called comments; ``within`` an article."""
     if tag in ASIDE:
         return True, False, False
+    if tag == "header" and not within:
+        return True, False, False
     if not attributes or attributes.isspace():
-        return False, False, False
+        return False, tag == "form", False
     got: dict[str, str] = {}
     for name, value in _ATTRIBUTE.findall(attributes):
         got.setdefault(name.lower(), entities.unescape(value.strip("\"'")))
     hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
     if hidden or got.get("role", "").lower() in ROLES:
         return tag not in ("html", "body"), False, False
-    words = {w.lower() for w in _WORD.findall(f"{got.get('class', '')} {got.get('id', '')}")}
+    words = {w.lower() for w in _WORD.findall(_HAS.sub(" ", f"{got.get('class', '')} {got.get('id', '')}"))}
     if tag in ("html", "body", "main"):
         return False, False, False
     comments = bool(words & COMMENTS)
-    return False, comments or (bool(words & SIDE) and not words & MAIN), comments
+    side = tag == "form" or bool(words & SIDE) or any(w.startswith(STEMS) for w in words) or (HEADER in words and not within)
+    return False, comments or (side and (tag == "form" or not words & MAIN)), comments
 
 
 class Page:
@@ -179,10 +186,7 @@ class Page:
             return
         top = self._open[-1]
         number, aside = top.holder, top.aside
-        if tag == "header":
-            sure, named, comments = not (self.article[number] or self.main[number]), False, False
-        else:
-            sure, named, comments = _kind(tag, attributes)
+        sure, named, comments = _kind(tag, attributes, bool(self.article[number] or self.main[number]))
         if tag in BLOCK or sure or named:
             number = len(self.parent)
             self.children[top.holder].append(number)
@@ -198,7 +202,7 @@ class Page:
                 (self.sure, sure or comments),
             ):
                 column.append(value)
-            if (sure or named) and (not aside or (self.sure[number] and not self.sure[aside])):
+            if (sure or named) and not (aside and self.sure[aside]):
                 aside = number
         self._open.append(Element(tag, len(self._open), number, aside, top.link or tag == "a"))
         self._count[tag] = self._count.get(tag, 0) + 1

@@ -133,6 +133,8 @@ PLANTED = {
     "odd name": (f"<div class='ad-content'>{LONG}</div>", LONG),
     "tables": (f"<body><div><a href=1>a</a> <a>b</a></div><table><tr><td><ul><li><a>x x x</a></ul></td><td><h2>T</h2><p>{LONG}</p><p>{P}</p><p>Fin</p></td></tr></table><div>(c) me</div>", f"T {LONG}{P}Fin"),
     "two columns": (f"<body><div><div>{'<p>News in brief.</p>' * 3}</div><div><p>Intro</p>{f'<p>{LONG}</p>' * 4}<p>Last.</p></div><div>{P}</div></div>", f"Intro {LONG * 4}Last."),
+    "page in a form": (f"<body><form id='aspnetForm'><div class='site-header'>{P}</div><div class='content'><h1>T</h1><p>{LONG}</p><p>{LONG}</p><p>End.</p></div><div class='cookieBar'>{P}</div></form>", f"T {LONG}{LONG}End."),
+    "headers": (f"<div id='header'>{P}</div><article class='has-sidebar'><div class='header'><h1>T</h1></div><p>{P}</p><form class='post'>{P}</form></article>", f"T {P}"),
     "menu inside": (f"<article><p>{LONG}</p><ul>{'<li><a href=x>Item</a></li>' * 5}</ul><p>{P}</p></article>", f"{LONG}{P}"),
     "no markup": ("plain  text\nonly", "plain text only"),
     "attributes": ("<article><p title='a>b' data-x=\"</p>\">x</p><p hidden>y</p><p style='display: none'>z</p></article>", "x"),
