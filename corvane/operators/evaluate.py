@@ -33,9 +33,11 @@ def mrr(got: Column, wanted: Column) -> Column:
 
 def with_metrics(cases: DataFrame, suffix: str = "", got: str = "retrieved", wanted: str = "expected") -> DataFrame:
     """The rows with all metrics; both lists are normalised and made distinct in order first."""
-    g, w = (F.array_distinct(F.transform(c, normalise_article)) for c in (got, wanted))
+    # Columns of their own: worked out once for all metrics, as expressions used more than once aren't merged into them.
+    g, w = F.col("_got"), F.col("_wanted")
+    listed = cases.withColumns({name: F.array_distinct(F.transform(c, normalise_article)) for name, c in (("_got", got), ("_wanted", wanted))})
     family = lambda c: F.transform(c, article_family)
-    return cases.withColumns(
+    return listed.withColumns(
         {
             f"hit_at_1{suffix}": F.coalesce(hit(g, w, 1), F.lit(0)),
             f"hit_at_1_family{suffix}": F.coalesce(hit(family(g), family(w), 1), F.lit(0)),
@@ -43,7 +45,7 @@ def with_metrics(cases: DataFrame, suffix: str = "", got: str = "retrieved", wan
             f"mrr{suffix}": mrr(g, w),
             **{f"precision_at_{k}{suffix}": precision(g, w, k) for k in (3, 5)},
         }
-    )
+    ).drop("_got", "_wanted")
 
 
 def with_expanded(cases: DataFrame) -> DataFrame:

@@ -61,7 +61,9 @@ class Corpus:
         path = path or shared_folder(nodes.sparkSession, "corpus")
         whole = nodes.withColumns({c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in nodes.columns})
         whole = stored(whole, f"{path}/nodes")
-        dense = DenseIndex.build(whole.select("node_id", providers.embed(F.col("text")).alias("vector"), "language"), f"{path}/dense", keys=("language",))
+        # What is embedded is the text with its place, where nodes have one, and no other column.
+        embedded = F.coalesce("embedding_text", "text") if "embedding_text" in nodes.columns else F.col("text")
+        dense = DenseIndex.build(whole.select("node_id", providers.embed(embedded).alias("vector"), "language"), f"{path}/dense", keys=("language",))
         return Corpus(whole, dense, Postings.create(of_texts(whole), f"{path}/words"), edges, definitions)
 
 

@@ -32,3 +32,9 @@ def stored_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[st
     if key not in _STORED:
         _STORED[key] = build(shared_folder(spark, name))
     return _STORED[key]
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan whose rows take long, over all cores: a table of few files is few tasks, one of many stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

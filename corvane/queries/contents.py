@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import language, refs
 from ..registry import register
 from ..sources import toc
-from . import duck, rel
+from . import duck, rel, spread
 
 _ITEM = '<li><div class="isrb-tree-item">{0}</div>{1}</li>'
 _LINK = '<li><div class="contextual-region"><span><a href="#">{0}</a></span></div></li>'
@@ -34,7 +34,7 @@ SELECT page_id, pos, CASE pos WHEN 0 THEN p_size || 'a' WHEN 1 THEN (p_size + 1)
 )
 def toc_entries(spark, sf):
     terms = rel(spark, sf, "SELECT DISTINCT CAST(p_size + 1 AS STRING) AS article, concat('terms ', CAST(p_size AS STRING)) AS key_terms, p_size FROM {part}").where("p_size % 2 = 0").drop("p_size")
-    every = toc.entries(rel(spark, sf, _PAGES))
+    every = toc.entries(spread(rel(spark, sf, _PAGES)))
     # One page's own terms: an article's number stands for another part on another page.
     mine = toc.with_key_terms(every.where("pos = 1"), terms)
     return mine.unionByName(every.where("pos <> 1").withColumn("key_terms", F.lit("")))

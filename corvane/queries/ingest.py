@@ -11,7 +11,7 @@ from ..registry import register
 from ..sources import case_files, index_table, legal_html
 from ..sources.workspace import shared_folder
 from ..streaming import ingest as streams
-from . import duck, rel, stored_once
+from . import duck, rel, spread, stored_once
 
 _NOISE = "regexp_replace({0}, '(?is)<{1}\\b.*?</{1}\\s*>', ' ', 'g')"
 _BARE = "html"
@@ -38,7 +38,7 @@ _PAGE = """SELECT p_partkey AS page_id, 'en' AS language, p_name, p_size, concat
 SELECT page_id, level, node_id, title, chapter, refs, text, level = 'ARTICLE' AS has_table, level = 'ARTICLE' AS has_formula FROM a WHERE NOT (level = 'ANNEX' AND false)""",
 )
 def html_table_markdown(spark, sf):
-    n = legal_html.nodes(rel(spark, sf, _PAGE).select("page_id", "language", "html"))
+    n = legal_html.nodes(spread(rel(spark, sf, _PAGE).select("page_id", "language", "html")))
     return n.select("page_id", "level", "node_id", F.coalesce("article_title", "annex_title").alias("title"), "chapter", F.array_join("referenced_articles", ",").alias("refs"), "text", "has_table", "has_formula")
 
 

@@ -69,11 +69,21 @@ def chosen_cases(cases: DataFrame, ids: list[str] | None = None, limit: int | No
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     """(case, section, body) of Markdown files: sections by their ``## `` headings."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"(case_\d+)", 1).alias("case"), "value")
+    # A case's name is in its file's, or else in its folder's.
+    name = F.coalesce(*(F.nullif(F.regexp_extract(f"_metadata.{c}", r"(case_\d+)[^/]*" + end, 1), F.lit("")) for c, end in (("file_name", "$"), ("file_path", r"/[^/]*$"))), F.lit(""))
+    files = spark.read.text(path, wholetext=True).select(name.alias("case"), "value")
     parts = F.slice(F.split("value", r"(?m)^## "), 2, 1000)
     return files.select("case", F.posexplode(parts).alias("pos", "p")).select("case", F.trim(F.substring_index("p", "\n", 1)).alias("section"), F.regexp_replace(F.expr("substring(p, instr(p, chr(10)) + 1)"), r"^\s+|\s+$", "").alias("body"))
 
 
+def write_feedback(sections: DataFrame, path: str) -> None:
+    """Markdown files of (case, pos, section, body) rows, a folder for each case: what ``read_feedback`` reads back."""
+    part = F.concat(F.lit("## "), "section", F.lit("\n"), "body", F.lit("\n"))
+    rows = sections.groupBy("case").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("s")))), lambda r: r["s"]), "\n").alias("s"))
+    text = rows.select("case", F.concat(F.lit("# "), "case", F.lit("\n\n"), "s").alias("value"))
+    text.repartition("case").write.mode("overwrite").partitionBy("case").text(path)
+
+
 def next_case(spark: SparkSession, names: DataFrame) -> DataFrame:
     """One number on from the greatest in (name)."""
     return names.agg((F.coalesce(F.max(F.regexp_extract("name", r"case_(\d+)", 1).cast("int")), F.lit(0)) + 1).alias("next"))

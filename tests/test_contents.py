@@ -1,10 +1,12 @@
-"""Tables of contents, runs of references and languages."""
+"""Tables of contents, runs of references, languages, and small sources and sinks."""
+
+import tempfile
 
 from pyspark.sql import functions as F
 
 from corvane.functions import language, refs
-from corvane.operators import context
-from corvane.sources import toc
+from corvane.operators import context, retrieval
+from corvane.sources import case_files, runs, toc
 
 from .conftest import DATA
 
@@ -90,3 +92,36 @@ def test_outline_crosses_parts(spark):
     df = spark.createDataFrame(rows, "language string, pos int, article string, article_title string, part string, title string, chapter string, section string, is_annex boolean")
     lines = [r["lines"] for r in context.outline(df).orderBy("is_annex", "pos").collect()]
     assert lines[0].split("\n")[:2] == ["Part ONE", "  Title I"] and lines[3].split("\n")[:3] == ["Part TWO", "  Title I", "    Chapter 1"] and "\n" not in lines[4]
+
+
+def test_single_references(spark):
+    texts = {"Article 17a and Articles 3 of this, article 3": ["3", "17a"], "Article 9 of Directive 1": [], "Article 9 to 12 of Regulation 1, Article 100": ["100"], "none": [], "": []}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", refs.single_refs(F.col("t")).alias("r"))
+    assert {r["t"]: r["r"] for r in df.collect()} == texts
+
+
+def test_source_chips(spark):
+    rows = [(1, 1, 10, "92", "it", "en"), (1, 2, 11, "92", "en", "en"), (1, 3, 12, "92", "en", "en"), (1, 4, 13, "7", None, "en"), (1, 5, 14, "", "en", "en"), (2, 1, 15, "92", "it", None), (2, 2, 16, None, "it", None)]
+    df = spark.createDataFrame(rows, "query_id int, rank int, node_id long, article string, language string, query_language string")
+    got = sorted((r["query_id"], r["rank"], r["article"], r["node_id"]) for r in retrieval.source_chips(df).collect())
+    assert got == [(1, 1, "92", 11), (1, 2, "7", 13), (2, 1, "92", 15)]
+
+
+def test_case_counts_and_choice(spark):
+    rows = [("a", "error", 1), ("a", "ok", 2), ("b", "ok", 3), ("c", None, 4), (None, "ok", 5)]
+    assert case_files.id_counts(spark.createDataFrame(rows, "id string, status string, line int"), "line").collect()[0].asDict() == {"cases": 3, "ok": 1, "error": 2}
+    cases = spark.createDataFrame([("a", "Easy", 3), ("b", "hard", 1), ("c", "easy", 2)], "id string, difficulty string, pos int")
+    assert [r["id"] for r in case_files.chosen_cases(cases, ["a", "c"], difficulty="EASY", limit=1).collect()] == ["c"]
+    assert case_files.chosen_cases(cases).count() == 3 and case_files.chosen_cases(cases, []).count() == 0
+
+
+def test_pages_and_feedback_files(spark):
+    base = tempfile.mkdtemp(prefix="spark-")
+    with open(base + "/a.html", "wb") as f:
+        f.write("<p>caf\u00e9".encode() + b"\xff</p>")
+    page = runs.read_pages(spark, base + "/*.html", "it").collect()[0]
+    assert (page["html"], page["language"]) == ("<p>caf\u00e9\ufffd</p>", "it") and page["url"].endswith("a.html")
+    rows = [("case_001", 0, "Question", "what\nnow"), ("case_001", 1, "Answer", "that"), ("case_012", 0, "Question", "why")]
+    case_files.write_feedback(spark.createDataFrame(rows, "case string, pos int, section string, body string"), base + "/cases")
+    got = sorted((r["case"], r["section"], r["body"]) for r in case_files.read_feedback(spark, base + "/cases/*/*").collect())
+    assert got == sorted((c, s, b) for c, _, s, b in rows)
