@@ -27,7 +27,8 @@ from ..functions.text import tokens
 from .workspace import Files, Versions, stored
 
 #: Folders that a segment's terms are dealt to; asked terms that are sent to all tasks; documents for each file of a bucket.
-BUCKETS, MOST_ASKED, FILE_DOCS = 16, 1 << 18, 100_000
+BUCKETS, MOST_ASKED, FILE_DOCS = 16, 1 << 18, 20_000
+ROW_GROUP = 16 << 20
 
 
 def of_texts(nodes: DataFrame) -> DataFrame:
@@ -52,10 +53,20 @@ def _bucket(term: str = "term") -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _one_each(docs: DataFrame) -> DataFrame:
+    """One row of each id, the longest; only rows of ids that stand more than once are shuffled with their terms."""
+    repeated = docs.groupBy("node_id").agg(F.count("*").alias("c")).where("c > 1").select("node_id")
+    if repeated.isEmpty():
+        return docs
+    best = docs.join(repeated, "node_id", "left_semi").groupBy("node_id").agg(F.max(F.struct("length", "terms")).alias("d"))
+    return docs.join(repeated, "node_id", "left_anti").unionByName(best.select("node_id", "d.length", "d.terms"))
+
+
 def _write_postings(rows: DataFrame, documents: int, path: str) -> None:
     """By bucket and a hash of the document: a term of any share of the postings is written by many tasks."""
     dealt = rows.repartition("bucket", F.pmod(F.xxhash64("node_id"), F.lit(1 + documents // FILE_DOCS)))
-    dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    # Small row groups: less is held while they are written, and a term's are few.
+    dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(path)
 
 
 @dataclass
@@ -78,9 +89,8 @@ class Postings:
         """Write a segment; its name, documents and their total length. Of rows with one id the longest counts."""
         name = f"s-{uuid.uuid4().hex}"
         base = f"{self.path}/{name}"
-        once = docs.where("node_id is not null").groupBy("node_id").agg(F.max(F.struct("length", "terms")).alias("d")).select("node_id", "d.length", "d.terms")
-        # The rows are read twice below: written once, and gone with the segment's end.
-        once = stored(once, f"{base}/_in")
+        # Written once, as the rows are read several times below, and gone with the segment's end.
+        once = _one_each(stored(docs.where("node_id is not null").select("node_id", "length", "terms"), f"{base}/_in"))
         once.select("node_id", "length").write.mode("overwrite").parquet(f"{base}/docs")
         each = once.select("node_id", "length", F.explode("terms").alias("t")).select("t.term", "node_id", "t.value", "length").withColumn("bucket", _bucket())
         n, length = once.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
@@ -89,9 +99,12 @@ class Postings:
         Files(self.spark, base).delete("_in")
         return name, n, length
 
+    def _has_postings(self, segment: str) -> bool:
+        return any(n.startswith("bucket=") for n in Files(self.spark, f"{self.path}/{segment}/postings").names())
+
     def _write_terms(self, segment: str) -> None:
         """A segment's document frequencies, beside its postings."""
-        if Files(self.spark, f"{self.path}/{segment}/postings").names():
+        if self._has_postings(segment):
             rows = self.spark.read.parquet(f"{self.path}/{segment}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
             rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{segment}/terms")
 
@@ -108,7 +121,11 @@ class Postings:
 
     def _all(self, manifest: dict, what: str) -> DataFrame:
         """Live rows of all segments."""
-        rows = [self._read(s, what) for s in manifest["segments"] if what == "docs" or Files(self.spark, f"{self.path}/{s}/postings").names()]
+        rows = [self._read(s, what) for s in manifest["segments"] if what == "docs" or self._has_postings(s)]
+        if not rows:  # documents without a term have no postings
+            docs = self._read(manifest["segments"][0], "docs").limit(0)
+            columns = {"term": F.lit(""), "bucket": F.lit(0)} | ({"df": F.lit(0).cast("long")} if what == "terms" else {"value": F.lit(0.0), "length": F.lit(0).cast("long")})
+            return docs.select("segment", "node_id", *(v.alias(c) for c, v in columns.items()))
         both = reduce(DataFrame.unionByName, rows)
         if not manifest["gone"]:
             return both

@@ -112,6 +112,18 @@ def test_postings_upsert_merge(spark):
     assert re.search(r"PartitionFilters: \[[^]]*bucket", plan) and "NestedLoop" not in plan
 
 
+def test_postings_of_odd_documents(spark):
+    asked = spark.createDataFrame([(0, "own funds")], "query_id long, text string")
+    frame = lambda rows: postings.of_texts(spark.createDataFrame(rows, "node_id long, text string"))
+    none = postings.Postings.create(frame([(1, ""), (2, None)]), folder())
+    assert none.bm25(asked, 3).count() == 0 and none.figures() == (2, 0.0)
+    none.upsert(frame([(2, "own funds"), (3, "own")]))
+    assert rows_of(none.bm25(asked, 3), "node_id", "rank") == [(2, 1), (3, 2)]
+    twice = postings.Postings.create(frame([(1, "own"), (1, "own own funds"), (2, "funds"), (None, "own")]), folder())
+    assert twice.figures() == (2, 2.0) and {r["node_id"] for r in twice.bm25(asked, 3).collect()} == {1, 2}
+    assert postings.Postings.create(frame([]), folder()).bm25(asked, 3).count() == 0
+
+
 def test_sparse_weights(spark):
     docs = [(1, {3: 0.5, 7: 1.5}), (2, {7: 2.0}), (3, {}), (4, None), (5, {3: 0.0, 9: 1.0})]
     index = postings.Postings.create(postings.of_weights(spark.createDataFrame(docs, "node_id long, sparse map<int,float>")), folder())
