@@ -14,6 +14,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import shared_folder, stored
 from .text import LETTERS, let
 
 #: Trigrams that a language's profile keeps.
@@ -59,18 +60,21 @@ def fit(texts: DataFrame, most: int = MOST_GRAMS) -> DataFrame:
 def identify(texts: DataFrame, profiles: DataFrame) -> DataFrame:
     """(doc_id, language, score) of each (doc_id, text) with a trigram: the language with the greatest sum of weights, the first by name among equals.
 
-    Profiles are a few hundred rows for each language and go to all tasks; a text's
-    trigrams are counted before they meet them.
+    Profiles are a few hundred rows for each language and go to all tasks, with a
+    column for each language. A text's trigrams meet them where they are made and
+    are summed there: what is shuffled is a row for each text.
     """
-    counts = texts.select("doc_id", F.explode(grams(F.col("text"))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("c"))
-    unseen = profiles.where("gram = ''").select("language", F.col("weight").alias("unseen"))
-    known = profiles.where("gram <> ''").join(unseen, "language").select("gram", "language", (F.col("weight") - F.col("unseen")).alias("gain"))
-    gains = counts.join(F.broadcast(known), "gram").groupBy("doc_id", "language").agg(F.sum(F.col("c") * F.col("gain")).alias("gain"))
-    sizes = counts.groupBy("doc_id").agg(F.sum("c").alias("n"))
-    # Every text meets every language, which are few; one without a known trigram scores as unseen.
-    scored = sizes.join(F.broadcast(unseen)).join(gains, ["doc_id", "language"], "left").withColumn("score", F.col("unseen") * F.col("n") + F.coalesce("gain", F.lit(0)))
-    best = scored.groupBy("doc_id").agg(F.min_by(F.struct("language", "score"), F.struct(-F.col("score"), "language")).alias("b"))
-    return best.select("doc_id", "b.language", "b.score")
+    profiles = stored(profiles, shared_folder(texts.sparkSession, "profiles"))
+    unseen = {r["language"]: r["weight"] for r in profiles.where("gram = ''").orderBy("language").collect()}
+    gains = [F.max(F.when(F.col("language") == x, F.col("weight") - F.lit(w))).alias(f"g{i}") for i, (x, w) in enumerate(unseen.items())]
+    known = profiles.where("gram <> ''").groupBy("gram").agg(*gains) if gains else profiles.select("gram")
+    each = texts.select("doc_id", F.explode(grams(F.col("text"))).alias("gram")).join(F.broadcast(known), "gram", "left")
+    sums = each.groupBy("doc_id").agg(F.count("*").alias("n"), *(F.coalesce(F.sum(f"g{i}"), F.lit(0)).alias(f"g{i}") for i in range(len(unseen))))
+    scored = [F.struct((-(F.col("n") * F.lit(w) + F.col(f"g{i}"))).alias("less"), F.lit(x).alias("language")) for i, (x, w) in enumerate(unseen.items())]
+    if not scored:
+        return texts.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(None).cast("long").alias("score")).limit(0)
+    best = sums.withColumn("b", F.array_min(F.array(*scored)))
+    return best.select("doc_id", "b.language", (-F.col("b.less")).alias("score"))
 
 
 def _sample_profiles() -> dict[str, tuple[dict[str, float], float]]:
