@@ -50,6 +50,8 @@ def grams(text: Column) -> Column:
 def fit(texts: DataFrame, most: int = MOST_GRAMS) -> DataFrame:
     """(language, gram, weight) from (language, text), in millionths; the empty gram has the weight of all that are unseen."""
     counts = texts.where("language is not null").select("language", F.explode(grams(F.col("text"))).alias("gram")).groupBy("language", "gram").agg(F.count("*").alias("c"))
+    # Texts are read once: the counts, a row for each language and trigram, are used twice.
+    counts = stored(counts, shared_folder(texts.sparkSession, "grams"))
     total = counts.groupBy("language").agg(F.sum("c").alias("total"))
     w = Window.partitionBy("language").orderBy(F.col("c").desc(), "gram")
     top = counts.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
