@@ -96,6 +96,27 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("back_reference").alias("kind"), "pos")
 
 
+def _most_met(front: DataFrame, outside: DataFrame | None) -> int:
+    """The most nodes that one query's walk reaches, begins with and leaves out."""
+    asked = front.groupBy("query_id").agg((F.count("*") + F.max("budget")).alias("n"))
+    if outside is not None:
+        left_out = outside.groupBy("query_id").agg(F.count("*").alias("o"))
+        asked = asked.join(left_out, "query_id", "left").withColumn("n", F.col("n") + F.coalesce("o", F.lit(0)))
+    return asked.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def _first_edges(edges: DataFrame, most: int) -> DataFrame:
+    """Of each node's edges (src, dst, p, e) those to its first ``most`` nodes, each by its first edge.
+
+    A walk takes a node's edges in this order, whichever query walks. A node that
+    is not among them has ``most`` before it, of which a query can have seen or left
+    out some and takes the others first: it is reached from elsewhere or not at all.
+    """
+    once = edges.groupBy("src", "dst").agg(F.min(F.struct("p", "e")).alias("at"))
+    in_order = Window.partitionBy("src").orderBy("at", "dst")
+    return once.withColumn("_n", F.row_number().over(in_order)).where(F.col("_n") <= most).select("src", "dst", "at.p", "at.e")
+
+
 def traverse(seeds: DataFrame, edges: DataFrame, depth: int, budget: Column, exclude: DataFrame | None = None, direction: str = "forward") -> DataFrame:
     """(query_id, article, depth, rank): articles reached from the seeds (query_id, article, pos), nearest first.
 
@@ -110,13 +131,14 @@ def traverse(seeds: DataFrame, edges: DataFrame, depth: int, budget: Column, exc
     spark, base = seeds.sparkSession, shared_folder(seeds.sparkSession, "walk")
     if direction == "reverse":
         edges = reversed_edges(edges)
-    out = stored(edges.where(F.col("dst") != SKIPPED).select("src", "dst", priority(F.col("kind")).alias("p"), F.col("pos").alias("e")), f"{base}/edges")
     # Ranks of seeds come before all others: 1 - their number and up to 0.
     own = seeds.groupBy("query_id", "article").agg(F.min("pos").alias("pos"), F.max(budget).alias("budget"))
     in_order = Window.partitionBy("query_id").orderBy(F.col("pos").desc(), F.col("article").desc())
     front = stored(own.select("query_id", "article", F.lit(0).alias("depth"), (1 - F.row_number().over(in_order)).alias("rank"), "budget"), f"{base}/seen/level=0")
     columns = front.schema
     outside = None if exclude is None else stored(exclude.select("query_id", "article").distinct(), f"{base}/exclude")
+    every = edges.where(F.col("dst") != SKIPPED).select("src", "dst", priority(F.col("kind")).alias("p"), F.col("pos").alias("e"))
+    out = stored(_first_edges(every, _most_met(front, outside)), f"{base}/edges")
     for d in range(1, depth + 1):
         seen = spark.read.schema(columns).parquet(f"{base}/seen")
         met = front.join(out, front["article"] == out["src"]).groupBy("query_id", F.col("dst").alias("article")).agg(F.min(F.struct("rank", "p", "e")).alias("at"))
