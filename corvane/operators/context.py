@@ -38,9 +38,12 @@ NOTE = "\n\n> **Completeness note:** The following numerical thresholds appear i
 
 def key_facts(context: Column) -> Column:
     """A heading and a line with its thresholds for each section that has any; empty if none has."""
-    lines = F.transform(F.split(context, SEPARATOR), lambda s: F.when(F.size(thresholds(s)) > 0, F.concat(F.lit("- "), _header(s), F.lit(": "), F.array_join(thresholds(s), ", "))))
-    lines = F.filter(lines, lambda x: x.isNotNull())
-    return F.when(F.size(lines) > 0, F.concat(F.lit(FACTS), F.array_join(lines, "\n"), F.lit("\n\n"))).otherwise("")
+
+    def line(s: Column) -> Column:
+        return let(thresholds(s), lambda t: F.when(F.size(t) > 0, F.concat(F.lit("- "), _header(s), F.lit(": "), F.array_join(t, ", "))))
+
+    lines = F.filter(F.transform(F.split(context, SEPARATOR), line), lambda x: x.isNotNull())
+    return let(lines, lambda n: F.when(F.size(n) > 0, F.concat(F.lit(FACTS), F.array_join(n, "\n"), F.lit("\n\n"))).otherwise(""))
 
 
 def missing_thresholds(context: Column, answer: Column) -> Column:
@@ -48,9 +51,13 @@ def missing_thresholds(context: Column, answer: Column) -> Column:
     cited = F.regexp_extract_all(answer, F.lit(r"(?iU)Article\s+(\w+)"), F.lit(1))
 
     def note(s: Column) -> Column:
-        article = F.regexp_extract(_header(s), r"(?iU)^Article\s+(\w+)", 1)
-        absent = F.filter(thresholds(s), lambda t: F.instr(answer, t) == 0)
-        return F.when((article != "") & F.array_contains(cited, article) & (F.size(absent) > 0), F.concat(F.lit("Article "), article, F.lit(": "), F.array_join(absent, ", ")))
+        def told(article: Column) -> Column:
+            absent = F.filter(thresholds(s), lambda t: F.instr(answer, t) == 0)
+            listed_ = let(absent, lambda a: F.when(F.size(a) > 0, F.concat(F.lit("Article "), article, F.lit(": "), F.array_join(a, ", "))))
+            return F.when((article != "") & F.array_contains(cited, article), listed_)
+
+        # Each section's header and thresholds are searched once, and thresholds only of articles that are cited.
+        return let(F.regexp_extract(_header(s), r"(?iU)^Article\s+(\w+)", 1), told)
 
     return F.array_join(F.filter(F.transform(F.split(context, SEPARATOR), note), lambda x: x.isNotNull()), "; ")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.functions import text
+from corvane.operators import context as c
 from corvane.operators import graph as g
 
 
@@ -18,3 +20,27 @@ def test_a_walk_joins_few_edges_of_a_much_cited_article(spark):
     # 1 seed and 3 left out and 2 reached: no more of the 1,000 edges are joined.
     few = g._first_edges(edges.select("src", "dst", F.lit(3).alias("p"), F.col("pos").alias("e")), 6)
     assert sorted((r["dst"], r["e"]) for r in few.collect()) == [(str(i), 0) for i in range(100, 106)]
+
+
+def _written(df) -> str:
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_thresholds_are_searched_once_a_section(spark):
+    row = spark.createDataFrame([("Article 5\n\nAt least 3% or 9 days", "Article 5 asks for 3%.")], "context string, answer string")
+    for made, want in (
+        (c.key_facts(F.col("context")), c.FACTS + "- Article 5: 3%, 9 days\n\n"),
+        (c.missing_thresholds(F.col("context"), F.col("answer")), "Article 5: 9 days"),
+        (c.completed(F.col("context"), F.col("answer")), "Article 5 asks for 3%." + c.NOTE + "Article 5: 9 days."),
+    ):
+        out = row.select(made.alias("x"))
+        assert out.first()["x"] == want
+        assert _written(out).count(r"basis\s+points") == 1
+
+
+def test_a_question_is_normalised_once(spark):
+    row = spark.createDataFrame([("What is the LCR under art. 4?",), ("See article 92",), ("Hello!",), (None,)], "q string")
+    out = row.select(text.classified(F.col("q")).alias("c")).select("c.*")
+    assert [tuple(r) for r in out.collect()] == [("DEFINITION", None, "4"), ("DIRECT_ARTICLE", None, "92"), ("CONVERSATIONAL", None, None), ("SPECIFIC", None, None)]
+    once = _written(row.select(text.normalise_query(F.col("q")).alias("x")))
+    assert _written(out).count("perpetual") == once.count("perpetual") > 0
