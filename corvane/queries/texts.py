@@ -126,8 +126,8 @@ UNION ALL SELECT id, CASE WHEN o_custkey % 400 + 1 = 4 THEN 'DEFINITION' ELSE 'D
 )
 def classify_query(spark, sf):
     q = F.col("query")
-    plain = text.normalise_query(q)
-    return rel(spark, sf, ASKED).select("id", text.classify(q).alias("kind"), text.definition_signal(plain).alias("signal"), text.direct_article(plain).alias("article"), text.is_multi_hop(q).alias("multi_hop"))
+    read = rel(spark, sf, ASKED).select("id", text.classified(q).alias("c"), text.is_multi_hop(q).alias("multi_hop"))
+    return read.select("id", "c.kind", "c.signal", "c.article", "multi_hop")
 
 
 @register("detect_language", "SELECT doc_id, CASE WHEN regexp_matches(text, '[ąćęłńóśźżĄĆĘŁŃÓŚŹŻ]') THEN 'pl' WHEN regexp_matches(text, '[àèéìíîòóùúÀÈÉÌÍÎÒÓÙÚ]') THEN 'it' ELSE 'en' END AS language FROM documents")
