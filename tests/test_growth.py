@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corvane.functions import text
 from corvane.operators import context as c
 from corvane.operators import graph as g
+from corvane.sources.postings import _blocks, _group_best
 
 
 def test_a_walk_joins_few_edges_of_a_much_cited_article(spark):
@@ -44,3 +47,11 @@ def test_a_question_is_normalised_once(spark):
     assert [tuple(r) for r in out.collect()] == [("DEFINITION", None, "4"), ("DIRECT_ARTICLE", None, "92"), ("CONVERSATIONAL", None, None), ("SPECIFIC", None, None)]
     once = _written(row.select(text.normalise_query(F.col("q")).alias("x")))
     assert _written(out).count("perpetual") == once.count("perpetual") > 0
+
+
+def test_a_search_shuffles_no_row_for_each_query_and_node():
+    """A group of nodes gives a query k rows at most, ties by id, and none where no term is shared."""
+    part = pd.DataFrame({"node_id": [9, 3, 5, 7], "tid": [0, 0, 0, 1], "v": [1.0, 1.0, 1.0, 2.0]})
+    blocks = _blocks(np.array([0, 1, 1]), np.array([0, 0, 1]), np.array([1.0, 1.0, 1.0]), 3)
+    out = _group_best(part, np.array([10, 20, 30]), blocks, 2, 6)
+    assert [tuple(r) for r in out.itertuples(index=False)] == [(10, 3, 1.0), (10, 7, 2.0), (20, 7, 2.0)]
