@@ -126,19 +126,17 @@ def retrieve(queries: DataFrame, corpus: Corpus, settings: Settings, filtered: b
     asked = queries.select("query_id", "normalised", "language", settings.providers.embed(F.col("normalised")).alias("vector"))
     asked = stored(asked, shared_folder(queries.sparkSession, "asked"))
     own = lambda language: (F.col("language") == language) | F.col("language").isNull()
-    if filtered:
-        legs = [corpus.dense.search(asked.where(F.col("language") == x), settings.top_k, own(x), keep_self=True)[0] for (x,) in asked.select("language").distinct().collect()]
+    words = asked.select("query_id", F.col("normalised").alias("text"), "language")
+    languages = [x for (x,) in asked.select("language").distinct().collect()] if filtered else []
+    if languages:
+        legs = [corpus.dense.search(asked.where(F.col("language").eqNullSafe(x)), settings.top_k, own(x), keep_self=True)[0] for x in languages]
+        # A language's questions meet its own nodes' postings only: no row is made for a question and a node of another.
+        sparse_legs = [corpus.words.bm25(words.where(F.col("language").eqNullSafe(x)).drop("language"), settings.top_k, among=corpus.nodes.where(own(x))) for x in languages]
     else:
-        legs = [corpus.dense.search(asked, settings.top_k, keep_self=True)[0]]
-    dense = legs[0] if legs else corpus.dense.search(asked, settings.top_k)[0]
-    for leg in legs[1:]:
-        dense = dense.unionByName(leg)
-
-    def keep(scored: DataFrame) -> DataFrame:
-        met = scored.join(corpus.nodes.select("node_id", "language"), "node_id").join(asked.select("query_id", F.col("language").alias("_l")), "query_id")
-        return met.where("language = _l or language is null").select(*scored.columns)
-
-    sparse = corpus.words.bm25(asked.select("query_id", F.col("normalised").alias("text")), settings.top_k, keep=keep if filtered else None)
+        legs, sparse_legs = [corpus.dense.search(asked, settings.top_k, keep_self=True)[0]], [corpus.words.bm25(words.drop("language"), settings.top_k)]
+    dense, sparse = legs[0], sparse_legs[0]
+    for leg, sparse_leg in zip(legs[1:], sparse_legs[1:]):
+        dense, sparse = dense.unionByName(leg), sparse.unionByName(sparse_leg)
     return retrieval.similarity_cutoff(retrieval.hybrid_fusion(dense, sparse, settings.alpha, settings.top_k), settings.cutoff)
 
 
