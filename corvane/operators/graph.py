@@ -167,6 +167,8 @@ def expansion(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int =
     """
     base = shared_folder(seeds.sparkSession, "expansion")
     seeds = stored(seeds, f"{base}/seeds")
+    # Edges are found by searching texts: once for both walks.
+    edges = stored(edges.select("src", "dst", "kind", "pos"), f"{base}/edges")
     outside = stored((exclude if exclude is not None else seeds).select("query_id", "article").distinct(), f"{base}/outside")
     taken = lambda: outside.unionByName(found.select("query_id", "article"))
     found = stored(traverse(seeds, edges, depth, F.col("budget"), exclude=outside).select("query_id", "article", "rank"), f"{base}/found/part=0")
