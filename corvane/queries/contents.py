@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import language, refs
 from ..registry import register
 from ..sources import toc
+from ..sources.workspace import shared_folder, stored
 from . import duck, rel, spread
 
 _ITEM = '<li><div class="isrb-tree-item">{0}</div>{1}</li>'
@@ -34,10 +35,10 @@ SELECT page_id, pos, CASE pos WHEN 0 THEN p_size || 'a' WHEN 1 THEN (p_size + 1)
 )
 def toc_entries(spark, sf):
     terms = rel(spark, sf, "SELECT DISTINCT CAST(p_size + 1 AS STRING) AS article, concat('terms ', CAST(p_size AS STRING)) AS key_terms, p_size FROM {part}").where("p_size % 2 = 0").drop("p_size")
-    every = toc.entries(spread(rel(spark, sf, _PAGES)))
+    # Written, so that its true size is known: entries are not shuffled to meet it. Pages are parsed once, for all places.
+    terms = stored(terms, shared_folder(spark, "terms"))
     # One page's own terms: an article's number stands for another part on another page.
-    mine = toc.with_key_terms(every.where("pos = 1"), terms)
-    return mine.unionByName(every.where("pos <> 1").withColumn("key_terms", F.lit("")))
+    return toc.with_key_terms(toc.entries(spread(rel(spark, sf, _PAGES))), terms, F.col("pos") == 1)
 
 
 _RUNS = """SELECT p_partkey AS id, concat('See ', CASE p_size % 3 WHEN 0 THEN 'Article ' WHEN 1 THEN 'articles ' ELSE 'Articolo  ' END, CAST(p_size AS STRING), CASE p_partkey % 4 WHEN 0 THEN ', 7a and 9' WHEN 1 THEN ' e 12' ELSE '' END,

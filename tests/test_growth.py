@@ -6,11 +6,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from corvane import registry
 from corvane.functions import text
 from corvane.operators import context as c
 from corvane.operators import graph as g
+from corvane.sources import html_tree, toc
 from corvane.sources.postings import _blocks, _group_best
 
+from .conftest import DATA
+
 
 def test_a_walk_joins_few_edges_of_a_much_cited_article(spark):
     """An article that 500 others cite, twice each: a query takes the first that it hasn't seen or left out."""
@@ -55,3 +59,32 @@ def test_a_search_shuffles_no_row_for_each_query_and_node():
     blocks = _blocks(np.array([0, 1, 1]), np.array([0, 0, 1]), np.array([1.0, 1.0, 1.0]), 3)
     out = _group_best(part, np.array([10, 20, 30]), blocks, 2, 6)
     assert [tuple(r) for r in out.itertuples(index=False)] == [(10, 3, 1.0), (10, 7, 2.0), (20, 7, 2.0)]
+
+
+def test_pages_of_contents_are_parsed_once(spark):
+    plan = registry.queries()["toc_entries"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+    rows = spark.createDataFrame([(1, 0, "5", False), (1, 1, "5", False), (1, 2, "5", True), (1, 3, None, False)], "page_id long, pos int, article string, is_annex boolean")
+    terms = spark.createDataFrame([("5", "five")], "article string, key_terms string")
+    assert sorted((r["pos"], r["key_terms"]) for r in toc.with_key_terms(rows, terms, F.col("pos") > 0).collect()) == [(0, ""), (1, "five"), (2, ""), (3, "")]
+
+
+def _shape(node):
+    return node.tag, node.attrs, [_shape(c) if isinstance(c, html_tree.Node) else c for c in node.children]
+
+
+def test_plain_pages_have_the_tokenizers_tree():
+    """What the expression for plain pages cuts is what the standard tokenizer gives; it leaves all other pages."""
+    some = ["<p>", "</p>", '<div class="a b">', "<div id='x' hidden>", "</div>", "<br>", "<br />", "<i/>", "<ul><li>", "</ul>", "text", " &amp; &lt x", "&", "<!-- c-d -->", "\n", '<a b="1" b="2">']
+    odd = ["<!-->", " < ", "<A>", "<a b=c>", '<a b="1"c="2">', "<script>", "</script>", "<title>", "<!doctype html>", "<p", "</a >", "<a b='>'>", '<a b="&amp;">', "<a b/ c>"]
+    r, plain = np.random.default_rng(1), 0
+    for _ in range(5000):
+        page = "".join(r.choice(some + odd if r.random() < 0.3 else some, 6))
+        slow, fast = html_tree._Builder(), html_tree._Builder()
+        slow.feed(page)
+        slow.close()
+        if html_tree._built(fast, page):
+            plain += 1
+            assert _shape(fast.root) == _shape(slow.root), page
+        assert _shape(html_tree.parse(page)) == _shape(slow.root), page
+    assert plain > 3000
