@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corvane import registry
-from corvane.functions import text
+from corvane.functions import language, text
 from corvane.operators import context as c
 from corvane.operators import graph as g
 from corvane.sources import html_tree, toc
@@ -88,3 +88,35 @@ def test_plain_pages_have_the_tokenizers_tree():
             assert _shape(fast.root) == _shape(slow.root), page
         assert _shape(html_tree.parse(page)) == _shape(slow.root), page
     assert plain > 3000
+
+
+def _languages(docs):
+    """(doc_id, language, score) by counting every trigram in turn."""
+    plain = {i: (x, f" {' '.join(''.join(c if c.isalpha() else ' ' for c in t.lower()).split())} ") for i, x, t in docs if t is not None}
+    counts = {}
+    for x, t in plain.values():
+        for i in range(len(t) - 2) if x else ():
+            counts.setdefault(x, {}).setdefault(t[i : i + 3], []).append(1)
+    weight = {x: {g: round(1e6 * np.log((len(n) + 1) / (sum(map(len, c.values())) + 500))) for g, n in sorted(c.items(), key=lambda e: (-len(e[1]), e[0]))[:500]} for x, c in counts.items()}
+    unseen = {x: round(1e6 * np.log(1 / (sum(map(len, c.values())) + 500))) for x, c in counts.items()}
+    scores = {i: [(-sum(weight[x].get(t[j : j + 3], unseen[x]) for j in range(len(t) - 2)), x) for x in counts] for i, (_, t) in plain.items() if len(t) > 2}
+    return sorted((i, min(s)[1], -min(s)[0]) for i, s in scores.items())
+
+
+def test_trigrams_are_never_rows(spark, monkeypatch):
+    """Texts in pieces, supplementary letters, and texts without a trigram, a text or a language; a row for each text leaves Python."""
+    long = "the cat and the hat " * 40
+    docs = [(1, "en", long), (2, "it", "il gatto e il cappello"), (3, None, "the hat"), (4, "en", ""), (5, "it", None), (6, "en", "\U00010400\U00010401 x\U00010402"), (7, "it", "a"), (8, "en", "..."), (9, "pl", "żółw")]
+    df = spark.createDataFrame(docs, "doc_id long, language string, text string")
+    found = language.identify(df, language.fit(df))
+    assert sorted(tuple(r) for r in found.collect()) == _languages(docs)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert language.identify(df, language.fit(df.where("language = 'none'"))).count() == 0
+    monkeypatch.setattr(language, "CHARS", 7)
+    numbers = [language._as_grams(n) for n, _, _ in language._numbered([None, long, "ab", "abc", "abcd"])]
+    assert sum(numbers, []) == [long[i : i + 3] for i in range(len(long) - 2)] + ["abc", "abc", "bcd"]
+    known, gains = language._as_numbers(["abc", "bcd"]), np.array([[1, 10, 0]])
+    sums = np.zeros(5, dtype=int)
+    for n, rows, starts in language._numbered([None, "xabcd" * 5, "ab", "abc", "abcd"]):
+        np.add.at(sums, rows, language._gains(n, starts, known, gains)[0])
+    assert sums.tolist() == [0, 55, 0, 1, 11]
