@@ -67,21 +67,28 @@ def completed(context: Column, answer: Column) -> Column:
     return let(missing_thresholds(context, answer), lambda m: F.when(m == "", answer).otherwise(F.concat(answer, F.lit(NOTE), m, F.lit("."))))
 
 
-def build_context(hits: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+def build_context(hits: DataFrame, parents: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """(query_id, context): a section for each hit in order of rank.
 
     With ``parents`` (article, language, text), there is one section an article,
-    where it first appears, with the parent's whole text where it has one.
+    where it first appears, with the parent's whole text where it has one. Many
+    hits are dealt over as many ``tasks`` as keep one task's share bounded; the
+    session's number of partitions doesn't grow with them.
     """
+
+    def dealt(rows: DataFrame, *by: str) -> DataFrame:
+        return rows if tasks is None else rows.repartition(tasks, *by)
+
     if parents is not None:
-        w = Window.partitionBy("query_id", F.coalesce(F.nullif("article", F.lit("")), F.col("node_id").cast("string"))).orderBy("rank", "node_id")
-        first = hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        hits = dealt(hits.withColumn("_a", F.coalesce(F.nullif("article", F.lit("")), F.col("node_id").cast("string"))), "query_id", "_a")
+        w = Window.partitionBy("query_id", "_a").orderBy("rank", "node_id")
+        first = hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_a")
         whole = parents.select("article", "language", F.col("text").alias("_whole"))
         hits = first.join(whole, ["article", "language"], "left").withColumn("text", F.coalesce("_whole", "text")).drop("_whole")
     head = F.concat_ws(" — ", F.concat(F.lit("Article "), F.col("article")), F.nullif("article_title", F.lit("")))
-    section = F.concat(head, F.lit("\n\n"), "text")
-    rows = F.array_sort(F.collect_list(F.struct("rank", section.alias("s"))))
-    return hits.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda r: r["s"]), SEPARATOR).alias("context"))
+    sections = dealt(hits.select("query_id", "rank", F.concat(head, F.lit("\n\n"), "text").alias("s")), "query_id")
+    rows = F.array_sort(F.collect_list(F.struct("rank", "s")))
+    return sections.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda r: r["s"]), SEPARATOR).alias("context"))
 
 
 def truncate(context: Column, most: int = MOST_CHARS) -> Column:

@@ -154,12 +154,28 @@ def article_normalise(spark, sf):
 # Contexts: sections of parts that a supplier offers.
 _SECTIONS = """SELECT l_suppkey AS query_id, CAST(l_linenumber AS INT) + 10 * CAST(l_orderkey AS INT) AS rank, l_orderkey * 10 + l_linenumber AS node_id, CAST(l_partkey % 50 AS STRING) AS article, CAST(NULL AS STRING) AS article_title, 'en' AS language,
   concat('At least ', CAST(l_linenumber AS STRING), '.5% of EUR ', CAST(l_partkey AS STRING), ' million within ', CAST(l_suppkey % 90 + 1 AS STRING), ' days or ', CAST(l_linenumber * 5 AS STRING), ' basis points') AS text FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber) x"""
+#: Lines that one task groups.
+LINES = 1 << 19
+
+
+def _tasks(lines):
+    """As many tasks as the lines need, and one a core at least."""
+    return max(lines.sparkSession.sparkContext.defaultParallelism, -(-lines.count() // LINES))
+
+
+def _sections(spark, sf):
+    """The sections, and the tasks over which their lines are dealt before they are grouped: a task's share stays as it is when the table grows."""
+    lines = rel(spark, sf, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {lineitem}")
+    tasks = _tasks(lines)
+    return spark.sql(_SECTIONS, lineitem=lines.repartition(tasks, "l_orderkey", "l_linenumber")), tasks
+
+
 _TH = "list_sort(list_distinct(list_transform(list_concat(list_concat(regexp_extract_all({0}, '(?i)\\b[0-9][0-9,.]*%'), regexp_extract_all({0}, '(?i)\\b[0-9]+\\s*(?:calendar\\s+)?(?:days?|months?|years?|business\\s+days?)')), list_concat(regexp_extract_all({0}, '(?i)\\bEUR\\s*[0-9,.]+(?:\\s*(?:million|billion))?'), regexp_extract_all({0}, '(?i)\\b[0-9]+(?:\\.[0-9]+)?\\s*basis\\s+points?'))), lambda x: trim(x))))"
 
 
 @register("threshold_extract", f"WITH s AS ({duck(_SECTIONS)}) SELECT node_id, array_to_string({_TH.format('text')}, '|') AS thresholds FROM s")
 def threshold_extract(spark, sf):
-    return rel(spark, sf, _SECTIONS).select("node_id", F.array_join(c.thresholds(F.col("text")), "|").alias("thresholds"))
+    return _sections(spark, sf)[0].select("node_id", F.array_join(c.thresholds(F.col("text")), "|").alias("thresholds"))
 
 
 @register(
@@ -168,7 +184,7 @@ def threshold_extract(spark, sf):
 SELECT node_id, CASE WHEN len(m) > 0 THEN 'Article ' || article || ': ' || array_to_string(m, ', ') ELSE '' END AS note FROM (SELECT *, list_filter({_TH.format("text")}, lambda x: NOT contains(answer, x)) AS m FROM a)""",
 )
 def missing_thresholds(spark, sf):
-    s = rel(spark, sf, _SECTIONS)
+    s, _ = _sections(spark, sf)
     whole = F.concat(F.lit("Article "), "article", F.lit("\n\n"), "text")
     answer = F.concat(F.lit("Article "), "article", F.lit(" asks for "), F.get(F.split("text", " "), F.lit(2)), F.lit("."))
     return s.select("node_id", c.missing_thresholds(whole, answer).alias("note"))
@@ -179,25 +195,27 @@ _NOTED = f"""s AS ({duck(_SECTIONS)}), a AS (SELECT *, 'Article ' || article ||
 
 @register("key_facts", f"WITH {_NOTED} SELECT node_id, CASE WHEN len(th) > 0 THEN 'KEY NUMERICAL THRESHOLDS (extracted from retrieved articles — ensure ALL relevant ones are addressed in your answer):' || chr(10) || '- Article ' || article || ': ' || array_to_string(th, ', ') || chr(10) || chr(10) ELSE '' END AS facts FROM a")
 def key_facts(spark, sf):
-    return rel(spark, sf, _SECTIONS).select("node_id", c.key_facts(F.concat(F.lit("Article "), "article", F.lit("\n\n"), "text")).alias("facts"))
+    return _sections(spark, sf)[0].select("node_id", c.key_facts(F.concat(F.lit("Article "), "article", F.lit("\n\n"), "text")).alias("facts"))
 
 
 @register("completeness_note", f"WITH {_NOTED}, m AS (SELECT *, list_filter(th, lambda x: NOT contains(answer, x)) AS m FROM a) SELECT node_id, answer || CASE WHEN len(m) > 0 THEN chr(10) || chr(10) || '> **Completeness note:** The following numerical thresholds appear in the cited articles but were not explicitly stated above: Article ' || article || ': ' || array_to_string(m, ', ') || '.' ELSE '' END AS answer FROM m")
 def completeness_note(spark, sf):
     whole = F.concat(F.lit("Article "), "article", F.lit("\n\n"), "text")
     answer = F.concat(F.lit("Article "), "article", F.lit(" asks for "), F.get(F.split("text", " "), F.lit(2)), F.lit("."))
-    return rel(spark, sf, _SECTIONS).select("node_id", c.completed(whole, answer).alias("answer"))
+    return _sections(spark, sf)[0].select("node_id", c.completed(whole, answer).alias("answer"))
 
 
 @register("context_build", f"WITH s AS ({duck(_SECTIONS)}) SELECT query_id, md5(string_agg('Article ' || article || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context FROM s GROUP BY query_id")
 def context_build(spark, sf):
-    return c.build_context(rel(spark, sf, _SECTIONS)).select("query_id", F.md5("context").alias("context"))
+    hits, tasks = _sections(spark, sf)
+    return c.build_context(hits, tasks=tasks).select("query_id", F.md5("context").alias("context"))
 
 
 @register("context_parents", f"WITH s AS ({duck(_SECTIONS)}), f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, article ORDER BY rank) = 1), j AS (SELECT f.*, CASE WHEN article::INT < 25 THEN 'whole article ' || article ELSE text END AS t FROM f) SELECT query_id, md5(string_agg('Article ' || article || chr(10) || chr(10) || t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context FROM j GROUP BY query_id")
 def context_parents(spark, sf):
     parents = spark.range(25).select(F.col("id").cast("string").alias("article"), F.lit("en").alias("language"), F.concat(F.lit("whole article "), F.col("id").cast("string")).alias("text"))
-    return c.build_context(rel(spark, sf, _SECTIONS), parents).select("query_id", F.md5("context").alias("context"))
+    hits, tasks = _sections(spark, sf)
+    return c.build_context(hits, parents, tasks).select("query_id", F.md5("context").alias("context"))
 
 
 _SEP = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"

@@ -10,6 +10,7 @@ from corvane import registry
 from corvane.functions import language, text
 from corvane.operators import context as c
 from corvane.operators import graph as g
+from corvane.queries import texts
 from corvane.sources import html_tree, toc
 from corvane.sources.postings import _blocks, _group_best
 
@@ -120,3 +121,20 @@ def test_trigrams_are_never_rows(spark, monkeypatch):
     for n, rows, starts in language._numbered([None, "xabcd" * 5, "ab", "abc", "abcd"]):
         np.add.at(sums, rows, language._gains(n, starts, known, gains)[0])
     assert sums.tolist() == [0, 55, 0, 1, 11]
+
+
+def test_tasks_of_sections_grow_with_lines(spark, monkeypatch):
+    """No shuffle under a context or a threshold has the session's number of partitions, which doesn't grow; contexts are the same."""
+    monkeypatch.setattr(texts, "LINES", 500)
+    tasks = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500)
+    assert tasks > 10
+    for name, shuffles in (("context_parents", 3), ("context_build", 2), ("threshold_extract", 1)):
+        plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count(f", {tasks}), REPARTITION_BY_NUM") == shuffles, name
+    hits = [(1, 1, 10, "7", "T", "en", "a"), (1, 2, 11, "7", None, "en", "b"), (1, 3, 12, "", None, "en", "c"), (1, 4, 13, None, "U", "en", "d"), (2, 1, 14, "7", None, "it", "e"), (2, 2, 15, "8", None, "en", None)]
+    df = spark.createDataFrame(hits, "query_id int, rank int, node_id long, article string, article_title string, language string, text string")
+    parents = spark.createDataFrame([("7", "en", "whole")], "article string, language string, text string")
+    for book in (None, parents):
+        some, more = (sorted(tuple(r) for r in c.build_context(df, book, n).collect()) for n in (None, 3))
+        assert some == more and len(some) == 2
+    assert some[0][1].startswith("Article 7 — T\n\nwhole" + c.SEPARATOR)
